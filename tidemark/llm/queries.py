@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .shared import fold, read, tokenizer_path  # noqa: F401
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -17,14 +23,26 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition import judge
+
+    return judge(read(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
     return encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), texts=False)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op4_packing, op5_repetition, op9_sentencepiece, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -95,11 +95,11 @@ def usable(vector: Column, dims: int | None = None) -> Column:
     return ok if dims is None else ok & (F.size(vector) == dims)
 
 
-def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, cells: int | None = None, probes: float = 0.35, rerank: int = 200, eta: float = 4.0, width: int = 2, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, cell_rows: int = 4096, probes: float = 0.8, rerank: int = 100, eta: float = 4.0, width: int = 2, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where `queries` holds, the k nearest others found by largest inner product.
 
-    The index is fitted on at most sample_rows rows drawn by hash; every row is coded and kept in the cell of its nearest centre (about the square root
-    of the row count, at most 4,096, unless given). A query visits the share `probes` of the cells whose centres have the largest product
+    The index is fitted on at most sample_rows rows drawn by hash; every row is coded and kept in the cell of its nearest centre, about one for
+    cell_rows rows and at most 4,096. A query visits the share `probes` of the cells whose centres have the largest product
     with it, and more if those hold too few rows. Within a cell, rows and queries are dealt into blocks of about `block` and `block`/4, so
     a cell that holds most rows is many tasks. A block's scan sums table entries by four-bit codes, takes the `rerank` best and scores those exactly,
     in double precision on the given vectors; ties go to the smaller id. Null, zero, non-finite vectors and those of another length than the
@@ -119,7 +119,7 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
     sample = np.array([r["v"] for r in drawn.toLocalIterator()], np.float32).reshape(-1, dims)
     if not len(sample):
         sample = np.array([rows.first()["v"]], np.float32)
-    n_cells = cells or max(1, min(4096, round(n**0.5)))
+    n_cells = max(1, min(4096, round(n / cell_rows)))
     book = fit(sample, n_cells, width, eta)
     n_cells = len(book.centres)
     shared = spark.sparkContext.broadcast(book)  # at most 4,096 centres and 16 words a subspace

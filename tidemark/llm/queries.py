@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, read, tokenizer_path  # noqa: F401
+from .shared import fold, read, tokenizer_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    out = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+#: Fixed verdicts by host and path.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels reach a url by the document number at the end of its path: bad is low quality or toxic."""
+    from .urls import judge, parse
+
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(parse(F.col("url"))[1], r"/([0-9]{1,18})(?:\.html)?/?$", 1)
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(((F.min("quality") == 0) | (F.max("toxic") == 1)).alias("bad"))
+    labelled = pages.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id")
+    return judge(pages, URL_RULES, labelled)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -29,6 +51,13 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    out = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
@@ -42,7 +71,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_packing, op5_repetition, op9_sentencepiece, op10_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op8_quality, op9_sentencepiece, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

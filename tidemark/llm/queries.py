@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fold, read, tokenizer_path
@@ -32,9 +32,8 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge, parse
 
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    number = F.regexp_extract(parse(F.col("url"))[1], r"/([0-9]{1,18})(?:\.html)?/?$", 1)
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(((F.min("quality") == 0) | (F.max("toxic") == 1)).alias("bad"))
-    labelled = pages.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id")
+    labelled = pages.select("url", document_number(parse(F.col("url"))[1]).alias("doc_id")).join(labels, "doc_id")
     return judge(pages, URL_RULES, labelled)
 
 
@@ -51,6 +50,22 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents"))
 
 
+def document_number(path: Column) -> Column:
+    """The document that a page shows: the number at the end of its path."""
+    return F.regexp_extract(path, r"/([0-9]{1,18})(?:\.html)?/?$", 1).try_cast("bigint")
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from .language import fit, identify, page_evidence
+
+    evidence = page_evidence(read(spark, sf_dir, "pages"), document_number(F.col("path")))
+    return identify(docs, fit(docs), evidence)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(spark, read(spark, sf_dir, "documents"), sf_dir)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -71,7 +86,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op8_quality, op9_sentencepiece, op10_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op6_language, op8_quality, op9_sentencepiece, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

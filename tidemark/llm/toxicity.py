@@ -68,11 +68,25 @@ def stems(words: dict[bytes, int], ordinary: bytes, most: int = 64) -> list[byte
     return out
 
 
-def dictionaries(words: dict[str, int], passages: list[bytes], size: int = 8192, family: int = 16) -> tuple[bytes, bytes]:
+def ordinary_parts(word: bytes, words: dict[bytes, int], ordinary: bytes, least: int = 4) -> list[bytes]:
+    """The longest parts of a word that ordinary text has too, by the measure of stems()."""
+    out, covered = [], 0
+    for i in range(len(word) - least + 1):
+        for j in range(len(word), max(i + least, covered + 1) - 1, -1):
+            x = word[i:j]
+            if ordinary.count(x) > 0.02 * sum(n for w, n in words.items() if x in w):
+                out.append(x)
+                covered = j
+                break
+    return out
+
+
+def dictionaries(words: dict[str, int], passages: list[bytes], own_stems: list[bytes], size: int = 8192, family: int = 16) -> tuple[bytes, bytes]:
     """Contents of the ordinary and the toxic dictionary.
 
     The ordinary one is trained by zstandard on ordinary passages. The toxic one is what toxic text has of its own, the most frequent words around each
-    stem, in front of the same ordinary content, so that a window of ordinary text has the same matches in both and the same length.
+    stem, in front of the same ordinary content; the ordinary dictionary has there what ordinary text shares of those words. So a window of ordinary text has much the same
+    matches in both and the same length.
     """
     passages = [p for p in passages if p]
     try:
@@ -80,11 +94,14 @@ def dictionaries(words: dict[str, int], passages: list[bytes], size: int = 8192,
     except (zstandard.ZstdError, ValueError):  # too few passages to train on
         ordinary = b"\n".join(passages)[: size - 1000]
     spaced = {f" {w} ".encode(): n for w, n in words.items()}
-    own = b""
-    for stem in reversed(stems(spaced, b"\n".join(passages))):
+    own = rest = b""
+    blob = b"\n".join(passages)
+    for stem in reversed(own_stems):
         of = sorted((w for w in spaced if stem in w), key=lambda w: (-spaced[w], w))[:family]
         own += b"".join(w[:-1] for w in reversed(of))
-    return ordinary or b" " * 8, own + (ordinary or b" " * 8)
+        rest += b"".join(x for w in reversed(of) for x in ordinary_parts(w, spaced, blob))
+    ordinary = ordinary or b" " * 8
+    return rest + ordinary, own + ordinary
 
 
 @dataclass
@@ -92,7 +109,7 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
-    level: int = 19
+    level: int = 12
     window: int = 256
 
     def measures(self) -> _Measure:
@@ -131,11 +148,12 @@ class _Measure:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3000, least_ratio: float = 20.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3000, least_ratio: float = 20.0, least_share: float = 0.7) -> Model:
     """The dictionaries and the calibration, from at most sample_rows labelled rows of each class, drawn by a hash of the id.
 
-    Words of toxic texts count if at least 1.5 % of those (and four) have them, least_ratio times the share of ordinary ones; at most 5,000 reach the driver, with four
-    passages of 96 characters a text. With one class only, or none, every score is that class's share.
+    A word of toxic texts counts by the different words that it follows there, so that copies of one text weigh no more than it: it needs as many as 1.5 % of
+    those texts (and four), and least_ratio times as many a text as in ordinary ones. At most 5,000 words reach the driver, with four passages of 96 characters a text. A stem of
+    theirs enters the toxic dictionary if least_share of the sampled texts that hold it, weighted to the classes' sizes, are toxic. With one class only, or none, every score is that class's share.
     """
     spark = docs.sparkSession
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -151,7 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = stored(texts.join(F.broadcast(drawn), "_id").dropDuplicates(["_id"]))
     got = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     g0, g1 = got.get(0, 0), got.get(1, 0)
-    words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("w")).where("length(w) <= 40")
+    found = sample.select("y", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("ws"))
+    pairs = F.transform(F.arrays_zip(F.col("ws").alias("w"), F.concat(F.array(F.lit("")), F.col("ws")).alias("before")), lambda x: F.struct(x["w"].alias("w"), x["before"].alias("before")))
+    words = found.select("y", F.explode(F.array_distinct(pairs)).alias("x")).select("y", "x.w", "x.before").where("w is not null and length(w) <= 40").distinct()
     words = words.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
     ratio = (F.col("a") + 0.5) / (g1 + 1) / ((F.col("b") + 2) / (g0 + 1))
     words = words.where((F.col("a") >= F.greatest(F.lit(4), F.lit(0.015 * g1))) & (ratio >= least_ratio)).orderBy(F.desc("a"), "w").limit(5000)
@@ -160,7 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     cut = [F.substring(flat, 1 + F.pmod(F.xxhash64("_id", F.lit(k)), F.greatest(F.lit(1), F.length(flat) - 96)).cast("int"), F.lit(96)) for k in range(4)]
     passages = sorted(r["p"].encode("utf-8", "surrogatepass") for r in sample.where("y = 0").select(F.explode(F.array(*cut)).alias("p")).collect())
     random.Random(5).shuffle(passages)
-    ordinary, toxic = dictionaries(own, passages)
+    candidates = stems({f" {w} ".encode(): n for w, n in own.items()}, b"\n".join(passages))
+    padded = F.concat(F.lit(" "), flat, F.lit(" "))
+    names = [x.decode("utf-8", "ignore") for x in candidates]
+    holds = [F.count_if(F.contains(padded, F.lit(x)) & (F.col("y") == y)).alias(f"s{y}_{k}") for y in (0, 1) for k, x in enumerate(names)]
+    have = sample.agg(*holds).first() if names else None
+    # of all texts that hold the stem, at the classes' true sizes, so many must be toxic
+    sure = [x for k, x in enumerate(candidates) if have[f"s1_{k}"] / g1 * n1 >= least_share * (have[f"s1_{k}"] / g1 * n1 + have[f"s0_{k}"] / g0 * n0)]
+    ordinary, toxic = dictionaries(own, passages, sure)
     model = Model(ordinary, toxic)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

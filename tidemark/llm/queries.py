@@ -66,6 +66,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(spark, read(spark, sf_dir, "documents"), sf_dir)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find, of_kind, spelled
+
+    found = find(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -86,7 +94,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op6_language, op8_quality, op9_sentencepiece, op10_neighbours)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op6_language, op7_pii, op8_quality, op9_sentencepiece, op10_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

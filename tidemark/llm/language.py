@@ -77,7 +77,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             total += np.frombuffer(c)
         return pd.DataFrame({"k": [pdf["k"].iloc[0]], "counts": [total.tobytes()]})
 
-    counted = arrow_map(drawn.select(lang_col, text_col), count, "k long, counts binary")
+    # the drawn rows are few: eight tasks give eight tables a language, whatever the number of input partitions
+    counted = arrow_map(drawn.select(lang_col, text_col).repartition(8), count, "k long, counts binary")
     table = np.zeros((SLOTS, len(languages)))
     for r in counted.groupBy("k").applyInPandas(add, "k long, counts binary").toLocalIterator():  # one row a language
         table[:, r["k"]] = np.frombuffer(r["counts"])

@@ -36,30 +36,36 @@ def longest_rule(host: Column, path: Column, rules: Sequence[str]) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: scheme, host labels and their hyphenated parts, the last two labels, path segments (numbers as one token), query keys."""
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    """Distinct tokens: scheme, the host's words, its last two labels together, path segments (numbers as one token), query keys."""
     parts = F.filter(F.split(host, r"[.\-]"), lambda x: x != "")
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     keys = F.regexp_extract_all(url, F.lit(r"[?&]([^=&#?]+)="), F.lit(1))
     named = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
     all_ = F.concat(
         F.array(F.concat(F.lit("scheme:"), F.lower(F.substring_index(url, "://", 1)))),
-        named("label:", labels), named("part:", parts), F.array(F.concat(F.lit("domain:"), F.substring_index(host, ".", -2)), F.concat(F.lit("top:"), F.substring_index(host, ".", -1))),
+        named("host:", parts), F.array(F.concat(F.lit("domain:"), F.substring_index(host, ".", -2))),
         named("path:", F.transform(segments, lambda x: F.regexp_replace(x, r"[0-9]+", "0"))), named("key:", keys),
     )
     return F.array_distinct(F.coalesce(all_, F.array().cast("array<string>")))
 
 
-def mine(labelled: DataFrame, *, min_support: float = 0.004, min_confidence: float = 0.6, max_items: int = 4) -> DataFrame:
+def mine(labelled: DataFrame, *, min_support: float = 0.005, min_rows: int = 20, min_confidence: float = 0.6, max_items: int = 4, common: float = 0.95) -> DataFrame:
     """antecedent (tokens), confidence, support of the rules that lead to block.
 
-    labelled has tokens and bad (boolean). FP-growth mines the frequent token sets; a rule stays if its antecedent has at most max_items tokens and no other
-    rule with a part of its tokens is as confident.
+    labelled has tokens and bad (boolean). FP-growth mines the token sets that min_support of the rows and min_rows have; tokens of more than `common` of the rows tell
+    nothing and stay out. A rule stays if its antecedent has at most max_items tokens and no other rule with a part of its tokens is as confident.
     """
-    items = labelled.select(F.concat("tokens", F.array(F.when(F.col("bad"), F.lit("=" + BLOCK)).otherwise(F.lit("=" + ALLOW)))).alias("items"))
-    if items.isEmpty():
-        return items.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(items)
+    spark = labelled.sparkSession
+    labelled = stored(labelled.select("tokens", "bad"))
+    n = labelled.count()
+    if n < min_rows:
+        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    everywhere = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > common * n)
+    everywhere = [r["t"] for r in everywhere.collect()]  # at most 1 / common times as many as a row has tokens
+    telling = F.array_except("tokens", F.array(*map(F.lit, everywhere)).cast("array<string>"))
+    items = labelled.select(F.concat(telling, F.array(F.when(F.col("bad"), F.lit("=" + BLOCK)).otherwise(F.lit("=" + ALLOW)))).alias("items"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence, numPartitions=parts).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == "=" + BLOCK) & (F.size("antecedent") <= max_items))
     rules = stored(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
     wide, part = rules.alias("w"), rules.select(F.col("antecedent").alias("p_antecedent"), F.col("confidence").alias("p_confidence"), F.col("antecedent")[0].alias("p_first"))
@@ -75,7 +81,7 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.004, min_confidence: float = 0.6) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.005, min_confidence: float = 0.6) -> DataFrame:
     """id, host, path, rule, verdict and confidence for every row of pages.
 
     rules: verdict by rule; the longest that fits decides. Elsewhere a url is blocked if a mined rule matches it, and allowed otherwise. labelled: url and bad (boolean,

@@ -93,9 +93,17 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op6_language, op7_pii, op8_quality, op9_sentencepiece, op10_neighbours)}
+    of = (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op6_language, op7_pii, op8_quality, op9_sentencepiece, op10_neighbours, pipeline)
+    return {f.__name__: f for f in of}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Every operator here hashes, learns or tokenises beyond what SQL expresses; tests/llm holds their brute-force twins."""
     return {}

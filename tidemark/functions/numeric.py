@@ -28,8 +28,9 @@ def red_nir(red: Column, nir: Column) -> Column:
 
 
 def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
+    """x moved into [low, high]; null stays null, which greatest and least alone would skip."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.greatest(lit(low), F.least(lit(high), x))
+    return F.when(x.isNotNull(), F.greatest(lit(low), F.least(lit(high), x)))
 
 
 def to_byte(x: Column, low: Column | float, high: Column | float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -52,36 +52,55 @@ def matches(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Se
     t = truths.select(*cols, F.lit(None).cast("double").alias("score"), crowd.alias("crowd"), F.lit(1).alias("side"))
     kind = dict(dets.dtypes)["category_id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ds = pdf[pdf["side"] == 0].sort_values(["score", "x1", "y1", "x2", "y2"], ascending=[False, True, True, True, True], kind="stable").head(max_dets)
-        ts = pdf[pdf["side"] == 1].sort_values(["crowd", "x1", "y1", "x2", "y2"], kind="stable")
-        a, b = ds[["x1", "y1", "x2", "y2"]].to_numpy(float), ts[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        iscrowd = ts["crowd"].to_numpy(int)
+    def one(side: np.ndarray, corner: np.ndarray, score: np.ndarray, crowd: np.ndarray) -> list[tuple[float, float, int]]:
+        """iou, score, tp of one image and category."""
+        ds, ts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        ds = ds[np.lexsort((*corner[ds].T[::-1], -score[ds]))][:max_dets]
+        ts = ts[np.lexsort((*corner[ts].T[::-1], crowd[ts]))]
+        a, b, iscrowd = corner[ds], corner[ts], crowd[ts]
         w = np.clip(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
         h = np.clip(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
         area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
         union = np.where(iscrowd[None, :] == 1, area(a)[:, None], area(a)[:, None] + area(b)[None, :] - w * h)
         over = np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
+        real = iscrowd == 0
         out = []
         for level in ious:
-            taken = np.zeros(len(b), bool)
-            for i, s in enumerate(ds["score"]):
-                best, at = min(level, 1 - 1e-10), -1
-                for j in range(len(b)):
-                    if taken[j] and not iscrowd[j]:
-                        continue
-                    if at >= 0 and not iscrowd[at] and iscrowd[j]:
-                        break
-                    if over[i, j] >= best:
-                        best, at = over[i, j], j
-                if at >= 0 and iscrowd[at]:
-                    continue
-                if at >= 0:
-                    taken[at] = True
-                out.append((pdf["category_id"].iloc[0], level, s, int(at >= 0)))
-        return pd.DataFrame(out, columns=["category_id", "iou", "score", "tp"])
-
-    return d.unionByName(t).groupBy("image_id", "category_id").applyInPandas(run, f"category_id {kind}, iou double, score double, tp int")
+            free = real.copy()
+            for i in range(len(a)):
+                # a free real box of largest overlap first (of equals the last), then any crowd
+                best = np.where(free & (over[i] >= level), over[i], -1.0)
+                if len(best) and best.max() >= 0:
+                    free[len(best) - 1 - int(best[::-1].argmax())] = False
+                    out.append((level, score[ds[i]], 1))
+                elif not (over[i][~real] >= level).any():
+                    out.append((level, score[ds[i]], 0))
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["category_id", "iou", "score", "tp"]
+        held: pd.DataFrame | None = None
+
+        def matched(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
+            side, corner = pdf["side"].to_numpy(int), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+            score, crowd, category = pdf["score"].to_numpy(float), pdf["crowd"].to_numpy(int), pdf["category_id"].to_numpy()
+            rows = [(category[p], *r) for p, q in zip(edges, edges[1:]) for r in one(side[p:q], corner[p:q], score[p:q], crowd[p:q])]
+            return pd.DataFrame(rows, columns=names)
+
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            keys = pdf[["image_id", "category_id"]]
+            edges = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            held = pdf.iloc[edges[-1] :].reset_index(drop=True)
+            yield matched(pdf.iloc[: edges[-1]], edges)
+        if held is not None:
+            yield matched(held, np.array([0, len(held)]))
+
+    # images are matched from sorted partitions: a call for each image costs more than its matching
+    rows = d.unionByName(t).repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id")
+    return rows.mapInPandas(run, f"category_id {kind}, iou double, score double, tp int")
 
 
 def average_precision(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Sequence[float] = IOUS) -> DataFrame:

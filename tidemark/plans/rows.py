@@ -105,9 +105,9 @@ def q_json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", parse.get(m, "k", F.lit("-1")).try_cast("int").alias("k"), parse.get(m, "none", F.lit("-1")).cast("int").alias("missing"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, cast(format('{:.5e}', l_extendedprice / 7) AS double) AS x FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, cast(format('{:.5e}', sqrt(l_extendedprice)) AS double) AS x FROM lineitem")
 def q_sigfig(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", parse.significant(F.col("l_extendedprice") / 7).alias("x"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", parse.significant(F.sqrt("l_extendedprice")).alias("x"))
 
 
 @query("""SELECT strftime(d, '%Y-%m-%d') AS d0, strftime(last_day(d), '%Y-%m-%d') AS d1, strftime(d + 14, '%Y-%m-%d') AS tag FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::date AS d)""")
@@ -170,9 +170,9 @@ def q_lookup_left(spark, sf):
     return asof.lookup(table(spark, sf, "supplier"), lut, "s_nationkey", keep_old=["s_name"]).select("s_suppkey", "s_name")
 
 
-@query("SELECT l_orderkey, max_by(l_quantity, l_linenumber * 1000000 + l_partkey) AS q FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, max_by(l_quantity, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) AS q FROM lineitem GROUP BY l_orderkey")
 def q_last_of(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("q"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("q"), (F.col("l_linenumber") * F.lit(10**10) + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("pos"))
     return asof.last_of(rows, "l_orderkey", "pos")
 
 

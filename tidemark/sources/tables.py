@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; empty cells stay empty text."""
-    return spark.read.option("header", True).option("emptyValue", "").option("nullValue", "\u0000").csv(path)
+    """All columns as text; empty cells are empty text, never null."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
 def list_files(spark: SparkSession, pattern: str, *, recursive: bool = False) -> DataFrame:

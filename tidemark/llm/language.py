@@ -37,11 +37,11 @@ class Profiles:
     table: np.ndarray  # SLOTS x languages
     most: float = 40.0
 
-    def scores(self, text: str) -> list[float]:
-        """Log likelihood by language against their mean, as of at most `most` independent pieces; zeros without letters."""
+    def scores(self, text: str) -> list[float] | None:
+        """Log likelihood by language against their mean, as of at most `most` independent pieces; None without letters."""
         ids = grams(text)
         if not len(ids):
-            return [0.0] * len(self.languages)
+            return None
         mean = np.zeros(len(self.languages))
         for k in range(0, len(ids), 1 << 20):
             mean += self.table[ids[k : k + (1 << 20)]].sum(0)
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, profiles: Profiles, evidence: DataFrame | None = N
     of_known = lambda c: F.when(F.array_contains(known, F.col(c)), F.col(c)).otherwise(F.when(F.col(c).isNotNull(), F.lit("other")))
     best = lambda p: F.element_at(known, F.array_position(p, F.array_max(p)).cast("int"))
     rows = rows.select(id_col, "t", F.coalesce("host", "own_host").alias("host"), of_known("declared").alias("declared"), of_known("suffix").alias("suffix"))
-    rows = rows.withColumn("p", _softmax(F.col("t"))).withColumn("text_lang", F.when(F.exists("t", lambda v: v != 0), best(F.col("p"))))
+    rows = rows.withColumn("p", _softmax(F.col("t"))).withColumn("text_lang", F.when(F.col("t").isNotNull(), best(F.col("p"))))
     rows = stored(rows.withColumn("domain", F.substring_index("host", ".", -2)))
     sure = rows.where("text_lang is not null and array_max(p) >= 0.9")
     counts = lambda df, *keys: df.groupBy(*keys).agg(*[F.count_if(F.col("text_lang") == x).cast("double").alias(f"n{k}") for k, x in enumerate(langs)])

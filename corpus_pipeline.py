@@ -1,6 +1,8 @@
 """A corpus pipeline over documents: language, quality, near-duplicates, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and leave other columns out. Null texts count as
+empty: they have no language, so the first stage drops them, and no stage fails on them. The first three stages drop rows without a doc_id. Rows that
+share a doc_id stay together until the near-duplicates stage keeps one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,11 +19,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids (distinct, not null)."""
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(ids, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the fused evidence is sure of; lang becomes that language."""
+    docs = docs.select(*COLUMNS)
     found = identified(spark, docs, sf_dir).where("kept").groupBy("doc_id").agg(F.min("lang").alias("found"))
     return docs.join(found, "doc_id").withColumn("lang", F.col("found")).select(*COLUMNS)
 

@@ -62,6 +62,16 @@ def chip_indices(chips: DataFrame, *, green: str = "b03", red: str = "b04", nir:
     return rows.select(*[c for c in chips.columns if c not in drop], *stats, F.col("_sndwi.n").alias("valid_px"))
 
 
+def pixel_indices(pixels: DataFrame, *keys: str, green: Column, red: Column, nir: Column, usable: Column | None = None, scale: float = 10000.0) -> DataFrame:
+    """The same statistics from one row a pixel: plain aggregates with partial sums, so a raster of any size is no row and no task of its own."""
+    g, r, n = (numeric.reflectance(c, scale) for c in (green, red, nir))
+    indices = {"ndwi": numeric.ndwi(g, n), "fai": numeric.fai(g, r, n), "rednir": numeric.red_nir(r, n)}
+    ok = usable if usable is not None else F.lit(True)
+    good = {k: F.when(ok & finite(v), v) for k, v in indices.items()}
+    stats = [f(v).alias(f"{k}_{name}") for k, v in good.items() for name, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return pixels.groupBy(*keys).agg(*stats, F.count(good["ndwi"]).cast("int").alias("valid_px"))
+
+
 def stretched(values: Column, low: float = 0.02, high: float = 0.98) -> Column:
     """Bytes of an array stretched between two of its quantiles (linear between ranks), over its finite values."""
     good = F.array_sort(F.transform(F.filter(values, finite), lambda v: v.cast("double")))

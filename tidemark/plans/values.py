@@ -43,14 +43,26 @@ for _group, _keys in {"none": "''", "season": SEASON, "year": "year(datetime)::v
     QUERIES[f"q_label_{_group}"], ORACLES[f"q_label_{_group}"] = _run, _label_sql(_keys)
 
 
-@query("""SELECT l_orderkey, round(avg((g - n) / (g + n + 1e-6)), 8) AS ndwi_mean, round(stddev_pop((g - n) / (g + n + 1e-6)), 8) AS ndwi_std, round(avg(r - (g + (n - g) * (105.0 / 300.0))), 8) AS fai_mean, round(avg(r / (n + 1e-6)), 6) AS rednir_mean, count(*)::int AS valid_px
- FROM (SELECT l_orderkey, l_quantity * 100 / 10000 AS g, l_discount * 10000 / 10000 AS r, l_tax * 10000 / 10000 + 0.01 AS n FROM lineitem) GROUP BY l_orderkey""")
+INDICES = """SELECT l_orderkey, round(avg((g - n) / (g + n + 1e-6)), 8) AS ndwi_mean, round(stddev_pop((g - n) / (g + n + 1e-6)), 8) AS ndwi_std, round(avg(r - (g + (n - g) * (105.0 / 300.0))), 8) AS fai_mean, round(avg(r / (n + 1e-6)), 6) AS rednir_mean, count(*)::int AS valid_px
+ FROM (SELECT l_orderkey, l_quantity * 100 / 10000 AS g, l_discount * 10000 / 10000 AS r, l_tax * 10000 / 10000 + 0.01 AS n FROM lineitem) GROUP BY l_orderkey"""
+
+
+def _rounded(out):
+    return out.select("l_orderkey", *[F.round(c, 6 if c.startswith("red") else 8).alias(c) for c in ("ndwi_mean", "ndwi_std", "fai_mean", "rednir_mean")], "valid_px")
+
+
+@query(INDICES)
 def q_chip_indices(spark, sf):
+    px = table(spark, sf, "lineitem")
+    return _rounded(raster.pixel_indices(px, "l_orderkey", green=F.col("l_quantity") * 100, red=F.col("l_discount") * 10000, nir=F.col("l_tax") * 10000 + 100))
+
+
+@query(INDICES)
+def q_chip_indices_packed(spark, sf):
     px = F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") * 100).alias("g"), (F.col("l_discount") * 10000).alias("r"), (F.col("l_tax") * 10000 + 100).alias("n"))
     chips = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(px)).alias("px"))
     chips = chips.select("l_orderkey", *[F.transform("px", _field(c)).alias(b) for c, b in (("g", "b03"), ("r", "b04"), ("n", "b08"))])
-    out = raster.chip_indices(chips, classes=None)
-    return out.select("l_orderkey", *[F.round(c, 6 if c.startswith("red") else 8).alias(c) for c in ("ndwi_mean", "ndwi_std", "fai_mean", "rednir_mean")], "valid_px")
+    return _rounded(raster.chip_indices(chips, classes=None))
 
 
 def _field(name):

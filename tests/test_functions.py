@@ -288,3 +288,10 @@ def test_streams(spark, tmp_path):
     q = enrich_arrivals(stream, lambda b: alerts(b, F.col("v")), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination()
     assert {r["id"]: r["alert"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: False, 2: True}
+
+
+def test_last_of_ties_and_nulls(spark):
+    rows = [(1, 2, "b", 5), (1, 2, "c", 1), (1, 1, "z", 9), (2, None, "n", 1), (2, 0, "m", None), (3, None, "p", 1), (3, None, "q", None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "k int, pos int, v string, w int").repartition(3)
+        assert sorted(tuple(r) for r in asof.last_of(df, "k", "pos").collect()) == [(1, "c", 1), (2, "m", None), (3, "q", None)]

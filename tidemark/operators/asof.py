@@ -28,9 +28,13 @@ def nearest_day(left: DataFrame, right: DataFrame, *, left_time: str, right_time
 
 
 def last_of(df: DataFrame, key: str, position: str) -> DataFrame:
-    """One row a key, the last by position: how a lookup table reads when later rows overwrite earlier ones."""
+    """One row a key, the last by position: how a lookup table reads when later rows overwrite earlier ones.
+
+    Of rows that share the last position the one with the greatest values wins, column by column, so a repeated run gives the same row.
+    Null positions come first; columns must be orderable.
+    """
     cols = [c for c in df.columns if c not in (key, position)]
-    return df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(position)).alias("_r")).select(key, *[F.col(f"_r.{c}") for c in cols])
+    return df.groupBy(key).agg(F.max(F.struct(F.col(position).alias("_p"), *cols)).alias("_r")).select(key, *[F.col(f"_r.{c}") for c in cols])
 
 
 def lookup(left: DataFrame, table: DataFrame, key: str, *, how: str = "left", keep_old: Sequence[str] = ()) -> DataFrame:

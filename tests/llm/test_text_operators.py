@@ -161,13 +161,46 @@ def test_near_duplicates_against_brute_force(spark, corpus):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
-def test_ring_finds_every_pair_within_budget():
-    rng, ring = random.Random(8), simhash.Ring(4)
-    for _ in range(3000):
-        x = sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 5)))
-        assert any(x & m == 0 and len(ring.near(np.array([x], np.uint64), np.array([k // 3]))) for k, m in enumerate(ring.masks))
-        y = sum(1 << b for b in rng.sample(range(64), 5))
+@pytest.mark.parametrize("budget", [1, 2, 4])
+def test_ring_finds_every_pair_within_budget(budget):
+    rng, ring = random.Random(8), simhash.Ring(budget)
+    for _ in range(1500):
+        x = sum(1 << b for b in rng.sample(range(64), rng.randrange(0, budget + 1)))
+        starts = [s for s in range(ring.n) if len(ring.near(np.array([x], np.uint64), np.array([s])))]
+        assert starts and all(any(x & m == 0 for m in ring.masks(s, chain)) for s in starts for chain in ring.chains)
+        y = sum(1 << b for b in rng.sample(range(64), budget + 1))
         assert not any(len(ring.near(np.array([y], np.uint64), np.array([s]))) for s in range(ring.n))
+    assert ring.chains == {1: [2], 2: [5], 4: [5, 8, 11]}[budget]
+
+
+def groups_of(links, nodes):
+    root = {k: k for k in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        ra, rb = find(a), find(b)
+        root[max(ra, rb)] = min(ra, rb)
+    return {k: find(k) for k in nodes}
+
+
+@pytest.mark.parametrize("bounds, chains", [(simhash.Bounds(), [5]), (simhash.Bounds(block_rows=50, lags=8, groups=3, run_rows=20), [5, 8, 11]), (simhash.Bounds(block_rows=2000, lags=8, groups=10, run_rows=40), [5, 8, 11])])
+def test_hot_keys_go_on_to_longer_chains(spark, monkeypatch, bounds, chains):
+    used, links = [], simhash._links
+    monkeypatch.setattr(simhash, "_links", lambda rows, ring, chain, *more: used.append(chain) or links(rows, ring, chain, *more))
+    rng = random.Random(4)
+    low = {rng.getrandbits(64) >> 44 for _ in range(400)}  # equal in 44 bits: hot in most chains, few links
+    same = {(0xABCDEF << 40) | rng.getrandbits(26) << rng.randrange(0, 14) for _ in range(200)}
+    pairs = {x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 6))) for x in [*low, *same] if rng.random() < 0.2}
+    fps = sorted(low | same | pairs)
+    want = groups_of([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4], fps)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    found = simhash.near_links(spark.createDataFrame(signed, "fp long"), simhash.Ring(4), bounds).collect()
+    found = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in found]
+    assert used == chains and all((a ^ b).bit_count() <= 4 for a, b in found) and groups_of(found, fps) == want
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,16 +16,28 @@ from tidemark.functions.parse import finite
 WATER, CLOUDY = 6, (0, 1, 3, 8, 9, 10)
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of value, where value is worked out once a row however often fn uses it, also inside other lambdas."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def robust(values: Column, mask: Column | None = None) -> Column:
     """Struct of mean, population std and count of the finite values of an array where the mask is positive; NaN, NaN, 0 for none."""
     pairs = F.arrays_zip(values.alias("v"), (mask if mask is not None else F.transform(values, lambda _: F.lit(1))).alias("m"))
     good = F.transform(F.filter(pairs, lambda p: (p["m"] > 0) & finite(p["v"])), lambda p: p["v"].cast("double"))
-    n = F.size(good)
-    total = F.aggregate(good, F.lit(0.0), lambda a, x: a + x)
-    mean = total / n
-    spread = F.aggregate(good, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
     nan = F.lit(float("nan"))
-    return F.struct(F.when(n > 0, mean).otherwise(nan).alias("mean"), F.when(n > 0, F.sqrt(spread)).otherwise(nan).alias("std"), n.alias("n"))
+
+    def stats(good: Column) -> Column:
+        n = F.size(good)
+        mean = F.aggregate(good, F.lit(0.0), lambda a, x: a + x) / n
+
+        def around(m: Column) -> Column:
+            spread = F.aggregate(good, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n
+            return F.struct(F.when(n > 0, m).otherwise(nan).alias("mean"), F.when(n > 0, F.sqrt(spread)).otherwise(nan).alias("std"), n.alias("n"))
+
+        return bound(F.when(n > 0, mean), around)
+
+    return bound(good, stats)
 
 
 def usable_pixels(classes: Column | None, data: Column, values: Column) -> Column:
@@ -74,16 +86,18 @@ def pixel_indices(pixels: DataFrame, *keys: str, green: Column, red: Column, nir
 
 def stretched(values: Column, low: float = 0.02, high: float = 0.98) -> Column:
     """Bytes of an array stretched between two of its quantiles (linear between ranks), over its finite values."""
-    good = F.array_sort(F.transform(F.filter(values, finite), lambda v: v.cast("double")))
 
-    def quantile(q: float) -> Column:
+    def quantile(good: Column, q: float) -> Column:
         at = (F.size(good) - 1) * q
         lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
         a, b = F.try_element_at(good, lo + 1), F.try_element_at(good, hi + 1)
         return a + (b - a) * (at - lo)
 
-    a, b = quantile(low), quantile(high)
-    return F.transform(values, lambda v: numeric.to_byte(v.cast("double"), a, F.greatest(b, a + 1e-6)))
+    def limits(good: Column) -> Column:
+        return F.struct(quantile(good, low).alias("a"), quantile(good, high).alias("b"))
+
+    good = F.array_sort(F.transform(F.filter(values, finite), lambda v: v.cast("double")))
+    return bound(bound(good, limits), lambda q: F.transform(values, lambda v: numeric.to_byte(v.cast("double"), q["a"], F.greatest(q["b"], q["a"] + 1e-6))))
 
 
 def dilated(pixels: DataFrame, *keys: str) -> DataFrame:

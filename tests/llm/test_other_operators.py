@@ -84,6 +84,22 @@ def test_neighbours(spark):
     assert len(few) == 2 * 6 and ann.search(vectors(spark, x[:0]), F.lit(True)).count() == 0
 
 
+def test_neighbours_at_defaults(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_600, 32)).astype(np.float32)  # five cells
+    x[:400] = x[0] * (1 + 1e-6 * np.arange(400)[:, None])  # many rows of one code, the largest ids nearest
+    asked = np.r_[0, rng.choice(np.arange(400, len(x)), 100, replace=False)]
+    got = ann.search(vectors(spark, x), F.col("vec_id").isin(asked.tolist())).collect()
+    d = x.astype(np.float64)
+    hits = []
+    for q in asked:
+        s = d @ d[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(len(s)), -s))[:20]
+        hits.append(len({r["vec_id"] for r in got if r["query_id"] == q} & set(best.tolist())))
+    assert hits[0] == 20 and np.mean(hits[1:]) / 20 >= 0.95
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(150)] + [(7, 7)]

@@ -95,14 +95,14 @@ def usable(vector: Column, dims: int | None = None) -> Column:
     return ok if dims is None else ok & (F.size(vector) == dims)
 
 
-def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, cell_rows: int = 4096, probes: float = 0.8, rerank: int = 100, eta: float = 4.0, width: int = 2, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, cell_rows: int = 4096, probes: float = 1.0, rerank: int = 100, eta: float = 4.0, width: int = 2, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where `queries` holds, the k nearest others found by largest inner product.
 
     The index is fitted on at most sample_rows rows drawn by hash; every row is coded and kept in the cell of its nearest centre, about one for
-    cell_rows rows and at most 4,096. A query visits the share `probes` of the cells whose centres have the largest product
+    cell_rows rows and at most 4,096. A query visits all cells, or with `probes` under 1 that share of them, those whose centres have the largest product
     with it, and more if those hold too few rows. Within a cell, rows and queries are dealt into blocks of about `block` and `block`/4, so
-    a cell that holds most rows is many tasks. A block's scan sums table entries by four-bit codes, takes the `rerank` best and scores those exactly,
-    in double precision on the given vectors; ties go to the smaller id. Null, zero, non-finite vectors and those of another length than the
+    a cell that holds most rows is many tasks. A block's scan sums table entries by four-bit codes, takes the rows of the `rerank` best distinct
+    codes, however many share one, and scores those exactly, in double precision on the given vectors; ties go to the smaller id. Null, zero, non-finite vectors and those of another length than the
     commonest take no part; rows with one id are candidates each; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -173,22 +173,23 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
         packed = np.frombuffer(b"".join(cs["codes"]), np.uint8).reshape(len(cs), -1)
         raw = np.frombuffer(b"".join(cs["raw"]), np.float32).reshape(len(cs), dims)
         m = len(book.words)
-        codes = np.empty((len(cs), 2 * packed.shape[1]), np.uint8)
+        _, firsts, code_of = np.unique(packed.view(f"V{packed.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        packed = packed[firsts]  # rows of one code get one score
+        codes = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
         codes[:, 0::2], codes[:, 1::2] = packed & 15, packed >> 4
         codes = codes[:, :m].T.copy()
         q = np.frombuffer(b"".join(qs["q"]), np.float32).reshape(len(qs), dims)
         padded = np.pad(q, ((0, 0), (0, m * book.width - dims))).astype(np.float64).reshape(len(q), m, book.width)
         tables = np.einsum("qmw,mkw->qmk", padded, book.words).astype(np.float32)
-        take = min(len(ids), rerank)
+        take = min(len(packed), rerank)
         parts = []
         for i, (query_id, row) in enumerate(zip(qs["query_id"].to_numpy(), q)):
-            if take < len(ids):  # the cell's centre adds the same to all
+            if take < len(packed):  # the cell's centre adds the same to all
                 scores = tables[i, 0][codes[0]]
                 for j in range(1, m):
                     scores = scores + tables[i, j][codes[j]]
-                edge = np.partition(scores, len(ids) - take)[len(ids) - take]
-                over = np.flatnonzero(scores > edge)
-                chosen = np.r_[over, np.flatnonzero(scores == edge)[: take - len(over)]]
+                edge = np.partition(scores, len(packed) - take)[len(packed) - take]
+                chosen = np.flatnonzero((scores >= edge)[code_of])
             else:
                 chosen = np.arange(len(ids))
             chosen = chosen[ids[chosen] != query_id]

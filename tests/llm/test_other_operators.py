@@ -38,6 +38,17 @@ def test_url_rules_mined(spark):
     assert all((r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in got)
 
 
+def test_url_rules_mined_at_every_size(spark):
+    rng = random.Random(6)
+    for n in (60, 900, 6000):  # twelve spam urls of one host label and of one path word; other labels by chance
+        rows = [(k, f"http://{rng.choice('mw')}.h{rng.randrange(40)}x.com/{rng.choice(['en', 'de'])}/{k}?ref=x{rng.randrange(3)}", rng.random() < 0.25) for k in range(n)]
+        rows += [(n + k, f"http://m.big-win.h{k}y.com/en/{k}", True) for k in range(12)] + [(n + 20 + k, f"http://w.h{k}z.com/de/cheap_pills-{k}", True) for k in range(12)]
+        df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+        asked = spark.createDataFrame([(0, "http://a.big-win.b.org/x"), (1, "http://b.c/pills/now"), (2, "http://m.h1x.com/en/1")], "page_id long, url string")
+        got = {r["page_id"]: r["verdict"] for r in urls.judge(asked, {}, df.select("url", "bad")).collect()}
+        assert got == {0: "block", 1: "block", 2: "allow"}, n
+
+
 def test_language(spark):
     rng = random.Random(1)
     vocab = {"xx": ["kato", "muri", "pelo", "zanta"], "yy": ["schlo", "bergen", "wurst", "krau"]}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,40 +36,66 @@ def longest_rule(host: Column, path: Column, rules: Sequence[str]) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: scheme, the host's words, its last two labels together, path segments (numbers as one token), query keys."""
-    parts = F.filter(F.split(host, r"[.\-]"), lambda x: x != "")
-    segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    keys = F.regexp_extract_all(url, F.lit(r"[?&]([^=&#?]+)="), F.lit(1))
-    named = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
+    """Distinct tokens: scheme, host labels and their words, the last label and the last two, path segments and their words, query keys, pairs and words of values; numbers are one token."""
+    filled = lambda xs: F.filter(xs, lambda x: x != "")
+    named = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), F.regexp_replace(x, r"[0-9]+", "0")))
+    host_parts = lambda at: F.transform(filled(F.split(host, at)), lambda x: F.concat(F.lit("host:"), x))
+    segments = F.split(path, "/")
+    words = lambda xs: filled(F.flatten(F.transform(xs, lambda x: F.split(x, r"[^\p{L}\p{N}]+"))))
+    found = lambda at: F.regexp_extract_all(url, F.lit(at), F.lit(1))
     all_ = F.concat(
         F.array(F.concat(F.lit("scheme:"), F.lower(F.substring_index(url, "://", 1)))),
-        named("host:", parts), F.array(F.concat(F.lit("domain:"), F.substring_index(host, ".", -2))),
-        named("path:", F.transform(segments, lambda x: F.regexp_replace(x, r"[0-9]+", "0"))), named("key:", keys),
+        host_parts(r"\."), host_parts(r"[.\-]"), F.array(F.concat(F.lit("domain:"), F.substring_index(host, ".", -2)), F.concat(F.lit("top:"), F.substring_index(host, ".", -1))),
+        named("path:", filled(segments)), named("path:", words(segments)),
+        named("key:", found(r"[?&]([^=&#?]+)=")), named("pair:", found(r"[?&]([^=&#?]+=[^&#]+)")), named("value:", words(found(r"[?&][^=&#?]+=([^&#]+)"))),
     )
     return F.array_distinct(F.coalesce(all_, F.array().cast("array<string>")))
 
 
-def mine(labelled: DataFrame, *, min_support: float = 0.005, min_rows: int = 20, min_confidence: float = 0.6, max_items: int = 4, common: float = 0.95) -> DataFrame:
+def mine(labelled: DataFrame, *, min_rows: int = 5, min_confidence: float = 0.6, max_items: int = 4, common: float = 0.95, chance: float = 0.05) -> DataFrame:
     """antecedent (tokens), confidence, support of the rules that lead to block.
 
-    labelled has tokens and bad (boolean). FP-growth mines the token sets that min_support of the rows and min_rows have; tokens of more than `common` of the rows tell
-    nothing and stay out. A rule stays if its antecedent has at most max_items tokens and no other rule with a part of its tokens is as confident.
+    labelled has tokens and bad (boolean). Token sets of up to max_items tokens are grown from those that min_rows bad rows have; a set with the rows of one of its parts
+    is not grown, as it would say the same. Tokens of more than `common` of the rows tell nothing and stay out. A set is a rule if min_confidence of its rows are bad,
+    and so many that with labels dealt at random any set at all would look like this with a probability of at most `chance` (Chernoff's bound times the sets
+    looked at), at every number of rows. No other rule with a part of its tokens is as confident.
     """
     spark = labelled.sparkSession
-    labelled = stored(labelled.select("tokens", "bad"))
-    n = labelled.count()
-    if n < min_rows:
-        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
-    everywhere = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") > common * n)
-    everywhere = [r["t"] for r in everywhere.collect()]  # at most 1 / common times as many as a row has tokens
-    telling = F.array_except("tokens", F.array(*map(F.lit, everywhere)).cast("array<string>"))
-    items = labelled.select(F.concat(telling, F.array(F.when(F.col("bad"), F.lit("=" + BLOCK)).otherwise(F.lit("=" + ALLOW)))).alias("items"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence, numPartitions=parts).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == "=" + BLOCK) & (F.size("antecedent") <= max_items))
-    rules = stored(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
-    wide, part = rules.alias("w"), rules.select(F.col("antecedent").alias("p_antecedent"), F.col("confidence").alias("p_confidence"), F.col("antecedent")[0].alias("p_first"))
-    looser = wide.select("antecedent", "confidence", F.explode("antecedent").alias("p_first")).join(part, "p_first")
+    rows = stored(labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).withColumn("row", F.monotonically_increasing_id()))
+    total, bad = rows.agg(F.sum("n"), F.sum("bad")).first()
+    none = spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    if not bad or bad == total:
+        return none
+    each = rows.select("row", "n", "bad", F.explode("tokens").alias("token"))
+    known = each.groupBy("token").agg(F.sum("n").alias("held"), F.sum("bad").alias("held_bad")).where((F.col("held_bad") >= min_rows) & (F.col("held") <= common * total))
+    known = stored(known.orderBy("held", "token").withColumn("id", F.monotonically_increasing_id()))  # ids go up with the rows held
+    had = each.join(known.select("token", "id"), "token").groupBy("row").agg(F.array_sort(F.collect_list("id")).alias("rest"), F.first("n").alias("n"), F.first("bad").alias("bad"))
+    grown = had.select(F.array().cast("array<bigint>").alias("items"), F.lit(total).cast("long").alias("held"), "rest", "n", "bad")
+    levels, looked_at = [], 0
+    for size in range(max_items):
+        grown = grown.select("items", "held", "n", "bad", "rest", F.posexplode("rest").alias("at", "id"))
+        grown = grown.select(F.concat("items", F.array("id")).alias("items"), "held", "n", "bad", F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+        sets = grown.groupBy("items").agg(F.first("held").alias("parent"), F.sum("n").alias("held"), F.sum("bad").alias("held_bad"))
+        sets = stored(sets.where((F.col("held_bad") >= min_rows) & (F.col("held") < F.col("parent"))).drop("parent"))
+        here = sets.count()
+        levels.append(sets)
+        looked_at += here
+        if not here or size == max_items - 1:
+            break
+        grown = stored(grown.drop("held").where(F.size("rest") > 0).join(sets.select("items", "held"), "items"))
+    if not looked_at:
+        return none
+    found = levels[0]
+    for sets in levels[1:]:
+        found = found.unionByName(sets)
+    base, sure = bad / total, F.col("held_bad") / F.col("held")
+    apart = sure * F.log(sure / base) + F.when(sure < 1, (1 - sure) * F.log((1 - sure) / (1 - base))).otherwise(0.0)
+    found = found.where((sure >= min_confidence) & (sure > base) & (F.col("held") * apart >= math.log(looked_at / chance)))
+    found = found.select("items", sure.alias("confidence"), (F.col("held_bad") / total).alias("support"), F.explode("items").alias("id")).join(known.select("id", "token"), "id")
+    rules = stored(found.groupBy("items", "confidence", "support").agg(F.array_sort(F.collect_list("token")).alias("antecedent")).select("antecedent", "confidence", "support"))
+    wide = rules.select("antecedent", "confidence", F.explode("antecedent").alias("p_first"))
+    part = rules.select(F.col("antecedent").alias("p_antecedent"), F.col("confidence").alias("p_confidence"), F.col("antecedent")[0].alias("p_first"))
+    looser = wide.join(part, "p_first")
     looser = looser.where((F.size("p_antecedent") < F.size("antecedent")) & (F.size(F.array_except("p_antecedent", "antecedent")) == 0) & (F.col("p_confidence") >= F.col("confidence")))
     return rules.join(looser.select("antecedent").distinct(), "antecedent", "left_anti")
 
@@ -81,7 +107,7 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.005, min_confidence: float = 0.6) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", min_rows: int = 5, min_confidence: float = 0.6) -> DataFrame:
     """id, host, path, rule, verdict and confidence for every row of pages.
 
     rules: verdict by rule; the longest that fits decides. Elsewhere a url is blocked if a mined rule matches it, and allowed otherwise. labelled: url and bad (boolean,
@@ -91,7 +117,7 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, *, id_co
     url = F.col("url")
     host, path = parse(url)
     of = lambda df: df.select("*", host.alias("host"), path.alias("path")).select("*", tokens(url, F.col("host"), F.col("path")).alias("tokens"))
-    found = mine(of(labelled.where("url is not null and bad is not null").select("url", "bad")).select("tokens", "bad"), min_support=min_support, min_confidence=min_confidence)
+    found = mine(of(labelled.where("url is not null and bad is not null").select("url", "bad")).select("tokens", "bad"), min_rows=min_rows, min_confidence=min_confidence)
     rows = pages.select(pages[id_col].alias(id_col), pages[url_col].cast("string").alias("url"))
     hits = matched(of(rows.where("url is not null").select("url").distinct()), found)
     rule = longest_rule(F.col("host"), F.col("path"), list(rules))

@@ -96,6 +96,14 @@ def test_pieces_match_the_library(spark, corpus):
     assert small["ids_sha256"] == hashlib.sha256(b"2").hexdigest() and pieces.encode(df.limit(0), PIECES).count() == 0
 
 
+def test_pieces_decode_the_ids_given():
+    enc = pieces.PieceEncoder(PIECES)
+    assert enc.encode("a   b é  \U0001f9ff ")[1] == "a   b é  \U0001f9ff "
+    enc._run = lambda n: [pieces.SPACE] * (n + 1)  # wrong ids for runs of spaces must show in the text
+    ids, text = enc.encode("a   b")
+    assert text == enc.decode(ids) != "a   b"
+
+
 def brute_repeats(ws):
     n = len(ws)
     out = [0] * n

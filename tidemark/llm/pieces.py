@@ -177,14 +177,17 @@ class PieceEncoder:
         return out
 
     def encode(self, text: str) -> tuple[str, str]:
-        """The decimal ids with the end id, joined by spaces, and the text that they decode to, unit by unit."""
+        """The decimal ids with the end id, joined by spaces, and the text that decode() gives for all of them."""
+        ids = self._encoded(text)
+        return ids, self.decode(ids)
+
+    def _encoded(self, text: str) -> str:
         if not text:
-            return str(self.end), ""
-        plain = text.replace(SPACE, " ")
-        words = plain.split(" ")
+            return str(self.end)
+        words = text.replace(SPACE, " ").split(" ")
         get, make = self.cache.get, self._make
         if "" not in words:
-            return " ".join([get(w) or make(w) for w in words]) + f" {self.end}", plain
+            return " ".join([get(w) or make(w) for w in words]) + f" {self.end}"
         got, empty, mark = [], 0, self.digits[SPACE]
         for w in [*words, None]:
             if w == "":
@@ -198,7 +201,7 @@ class PieceEncoder:
                 empty = 0
             if unit:
                 got.append(unit)
-        return " ".join(got) + f" {self.end}", plain
+        return " ".join(got) + f" {self.end}"
 
 
 @lru_cache(1)

@@ -76,6 +76,12 @@ def test_assign_uses_all_places():
         assert len(fill) == n and sum(fill.values()) == sum(lengths) and all(v & (v - 1) == 0 for v in fill.values())
 
 
+def test_assign_finds_the_one_with_room():
+    lengths = [200] + [101] * 80 + [56] + [1] * 2160  # forty cheaper sequences have 54 places left, the dearest has 56
+    got, n = packing.assign(lengths, 256, 1.0, 1 / 256)
+    assert n == 41 and [(k, s) for d, s, k, *_ in got if d == 81] == [(56, 0)]
+
+
 def test_pieces_match_the_library(spark, corpus):
     rows, df = corpus
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)

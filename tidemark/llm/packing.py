@@ -16,14 +16,14 @@ from .shared import arrow_map
 SCHEMA = "{id} long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def assign(lengths: list[int], size: int, linear: float, quadratic: float, tries: int = 32) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def assign(lengths: list[int], size: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces (document, start, length, sequence, offset) and the number of sequences.
 
     The sequences have exactly as many places as there are tokens: as many of `size` as are full, and for what is
     left one for each power of two in it, so nothing is padded. Whole runs of `size` of a long document take a
     sequence each. The rest go in descending length to the sequence of lowest cost that can hold them, where a piece of
-    n tokens costs linear*n + quadratic*n*n; the search looks at `tries` sequences in order of cost. What fits none of
-    those is cut at the end of the cheapest.
+    n tokens costs linear*n + quadratic*n*n. What fits none is cut at the end of the cheapest. The search is exact: a tree
+    over the places left holds the cheapest sequence of each range.
     """
     total = sum(lengths)
     out, seq, rest = [], 0, []
@@ -37,20 +37,41 @@ def assign(lengths: list[int], size: int, linear: float, quadratic: float, tries
     left = total - seq * size
     heapq.heapify(rest)
     room = {seq + i: size for i in range(left // size)}
-    costs = [(0.0, s) for s in room]
-    while rest and costs:
+    leaves = 1 << (size - 1).bit_length()
+    none = (float("inf"), -1)
+    costs: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]  # a heap for each number of places left
+    tree = [none] * (2 * leaves)
+
+    def renew(places: int) -> None:
+        i = leaves + places - 1
+        tree[i] = costs[places][0] if costs[places] else none
+        while i := i >> 1:
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+    def cheapest(places: int) -> tuple[float, int]:
+        i = leaves + places - 1
+        best = tree[i]
+        while i > 1:
+            if not i & 1:
+                best = min(best, tree[i + 1])
+            i >>= 1
+        return best
+
+    costs[size] = [(0.0, s) for s in room]
+    renew(size)
+    while rest and tree[1] != none:
         minus, doc, start = heapq.heappop(rest)
-        n, seen = -minus, []
-        while costs and len(seen) < tries and room[costs[0][1]] < n:
-            seen.append(heapq.heappop(costs))
-        cost, s = heapq.heappop(costs) if costs and room[costs[0][1]] >= n else seen.pop(0)
-        for x in seen:
-            heapq.heappush(costs, x)
-        put = min(n, room[s])
-        out.append((doc, start, put, s, size - room[s]))
+        n = -minus
+        cost, s = found if (found := cheapest(n)) != none else tree[1]
+        free = room[s]
+        heapq.heappop(costs[free])
+        renew(free)
+        put = min(n, free)
+        out.append((doc, start, put, s, size - free))
         room[s] -= put
         if room[s]:
-            heapq.heappush(costs, (cost + linear * put + quadratic * put * put, s))
+            heapq.heappush(costs[room[s]], (cost + linear * put + quadratic * put * put, s))
+            renew(room[s])
         if put < n:
             heapq.heappush(rest, (put - n, doc, start + put))
     seq += left // size

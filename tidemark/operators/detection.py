@@ -23,10 +23,11 @@ def suppressed(df: DataFrame, group: Sequence[str], *, score: str = "score", box
     rows = df.where(F.col(score) >= score_min)
     item = F.struct((-F.col(score)).alias("m"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(box)])
     at = lambda s: tuple(s[f"c{k}"] for k in range(4))
+    full = lambda acc: F.lit(False) if top is None else F.size(acc) >= top
     kept = F.aggregate(
         F.array_sort(F.collect_list(item)),
         F.array().cast("array<struct<m:double,c0:double,c1:double,c2:double,c3:double>>"),
-        lambda acc, s: F.when(F.exists(acc, lambda k: iou(at(k), at(s)) > iou_max), acc).otherwise(F.array_append(acc, s)),
+        lambda acc, s: F.when(full(acc) | F.exists(acc, lambda k: iou(at(k), at(s)) > iou_max), acc).otherwise(F.array_append(acc, s)),
     )
     out = rows.groupBy(*group).agg(kept.alias("_k")).select(*group, F.posexplode("_k").alias("rank", "_b"))
     out = out.select(*group, (F.col("rank") + 1).alias("rank"), (-F.col("_b.m")).alias("score"), *[F.col(f"_b.c{k}").alias(c) for k, c in enumerate(box)])

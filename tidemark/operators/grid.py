@@ -67,18 +67,28 @@ def sample(points: DataFrame, cells: DataFrame, *, key: str, radius: int = 7, mo
 
 
 def nearest_curvilinear(points: DataFrame, cells: DataFrame, *, key: str, cell_degrees: float = 0.5) -> DataFrame:
-    """key, value of the nearest cell (plain distance in degrees) where each cell has its own lat and lon.
+    """key, value of the nearest cell (plain distance in degrees) where each cell has its own lat and lon; null only for a path without cells.
 
-    Cells and points meet in square buckets of cell_degrees and the eight around; a point farther than a bucket from every cell has null.
+    Cells and points meet in square buckets of cell_degrees and the eight around. Whatever lies within a bucket's side is then found, so an answer that
+    near is final; the other points go on to buckets of four times the side, up to one that holds the globe.
     """
-    b = lambda c: F.floor(F.col(c) / cell_degrees).cast("long")
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    cs = cells.select("path", F.col("lat").alias("clat"), F.col("lon").alias("clon"), "value", "i", "j", b("lat").alias("by"), b("lon").alias("bx"))
-    ps = points.select(key, "path", "lat", "lon", F.explode(around).alias("dy")).select("*", F.explode(around).alias("dx"))
-    ps = ps.select(key, "path", "lat", "lon", (b("lat") + F.col("dy")).alias("by"), (b("lon") + F.col("dx")).alias("bx"))
+    left, answers, side = points.select(key, "path", "lat", "lon"), None, cell_degrees
     d = F.hypot(F.col("clat") - F.col("lat"), F.col("clon") - F.col("lon"))
-    best = ps.join(cs, ["path", "by", "bx"]).groupBy(key).agg(F.min_by("value", F.struct(d, "i", "j")).alias("value"))
-    return points.select(key).join(best, key, "left")
+    while True:
+        b = lambda c, side=side: F.floor(F.col(c) / side).cast("long")
+        cs = cells.select("path", F.col("lat").alias("clat"), F.col("lon").alias("clon"), "value", "i", "j", b("lat").alias("by"), b("lon").alias("bx"))
+        ps = left.select("*", F.explode(around).alias("dy")).select("*", F.explode(around).alias("dx"))
+        ps = ps.select(key, "path", "lat", "lon", (b("lat") + F.col("dy")).alias("by"), (b("lon") + F.col("dx")).alias("bx"))
+        best = ps.join(cs, ["path", "by", "bx"]).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col("i"), F.col("j"), F.col("value"))).alias("_b"))
+        if last := side >= 720:
+            found = best.select(key, "_b.value")
+        else:
+            found = best.where(F.col("_b.d") <= side).select(key, "_b.value")
+        answers = found if answers is None else answers.unionByName(found)
+        if last:
+            return points.select(key).join(answers, key, "left")
+        left, side = left.join(found.select(key), key, "left_anti"), side * 4
 
 
 def clip(cells: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.parse import finite
+from tidemark.session import written
 
 
 def regression(df: DataFrame, truth: str, pred: str, *keys: str) -> DataFrame:
@@ -55,10 +56,24 @@ def hex_bins(df: DataFrame, x: str, y: str, size: float, *, min_count: int = 1,
 
 
 def running_best(df: DataFrame, order: str, value: str, *keys: str) -> DataFrame:
-    """best so far, and whether the row is a new one (strictly smaller)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("best", F.min(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("is_new", F.coalesce(F.col(value) < before, F.col(value).isNotNull()))
+    """best so far, and whether the row is a new one (strictly smaller).
+
+    Without keys the table is range-partitioned by order and written with its partition; each partition's rows also see the least value of the
+    partitions before, one row a partition.
+    """
+    v, earlier = F.col(value), F.lit(None)
+    rows, groups = df, list(keys)
+    if not groups:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows, groups = written(df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())), ["_p"]
+        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        least = rows.groupBy("_p").agg(F.min(value).alias("_l")).select("_p", F.min("_l").over(before).alias("_l"))
+        rows, earlier = rows.join(F.broadcast(least), "_p"), F.col("_l")
+    w = Window.partitionBy(*groups).orderBy(order)
+    least_of = lambda x: F.least(x, earlier) if not keys else x
+    before = least_of(F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    best = least_of(F.min(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select(*df.columns, best.alias("best"), F.coalesce(v < before, v.isNotNull()).alias("is_new"))
 
 
 def best_row(df: DataFrame, preferred: Sequence[str], order: str, *keys: str) -> DataFrame:
@@ -101,11 +116,12 @@ def overlap(df: DataFrame, pred: str, truth: str, sample: str, channel: str, eps
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row a distinct score, descending, with true and false positives so far.
 
-    The scores are range-partitioned; a running sum within each partition and the totals of those before it, one row a partition, give the cumulative counts.
+    The scores are range-partitioned and written with their partition, once, so that both readers see the same ranges; a running sum within each partition and
+    the totals of those before it, one row a partition, give the cumulative counts.
     """
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = counts.repartitionByRange(parts, F.desc("s")).withColumn("k", F.spark_partition_id())
+    spread = written(counts.repartitionByRange(parts, F.desc("s")).withColumn("k", F.spark_partition_id()))
     w = Window.partitionBy("k").orderBy(F.desc("s"))
     local = spread.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
     totals = spread.groupBy("k").agg(F.sum("p").alias("p0"), F.sum("n").alias("n0"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parse import key_values, near_zero, number, present, whole
@@ -72,12 +72,19 @@ def keep_map(df: DataFrame, spec: Column) -> DataFrame:
 
 
 def best_of(df: DataFrame, key: str | Sequence[str], value: str, position: Sequence[str]) -> DataFrame:
-    """For each key the row of the largest value (nulls last); of equals, the first by position. The key columns must exist."""
+    """For each key the row of the largest value, a number (NaN above all, nulls last); of equals, the first by position. The key columns must exist.
+
+    A minimum over structs, so partial results meet instead of whole groups.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     if missing := [k for k in keys if k not in df.columns]:
         raise ValueError(f"no column {missing}")
-    order = Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last(), *[F.col(c).asc() for c in position])
-    return df.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    v = F.col(value)
+    rank = F.struct(v.isNull().alias("a"), (~F.isnan(v.cast("double"))).alias("b"), (-v).alias("c"), *[F.col(c) for c in position])
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c).alias(f"_{k}") for k, c in enumerate(rest)]), rank).alias("_best"))
+    out = {c: F.col(f"_best._{k}").alias(c) for k, c in enumerate(rest)}
+    return best.select(*[out.get(c, F.col(c)) for c in df.columns])
 
 
 def fullness(df: DataFrame) -> DataFrame:

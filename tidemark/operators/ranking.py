@@ -7,18 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "id", start: int = 1) -> DataFrame:
     """Consecutive numbers over the whole table in the given order, without sorting it in one task.
 
-    Rows are range-partitioned by the order; each partition's count, one row a partition, gives the offset of the next.
+    Rows are range-partitioned by the order (ties by a hash of the row, so a value that many rows share is spread), sorted there and numbered within
+    their partition. That is written once: a second evaluation could draw other ranges. The counts of what was written, one row a partition, give each
+    partition's first number.
     """
-    spread = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
-    local = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(F.broadcast(before.select("_p", "_b")), "_p")  # one row a partition
-    return out.withColumn(name, F.col("_b") + F.col("_n") + (start - 1)).drop("_p", "_n", "_b")
+    tie = F.xxhash64(*df.columns)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn("_t", tie).repartitionByRange(parts, *order, "_t").sortWithinPartitions(*order, "_t").drop("_t")
+    local = written(placed.withColumn("_i", F.monotonically_increasing_id()))  # the partition's number above 33 bits of place
+    place = local.withColumns({"_p": F.shiftrightunsigned("_i", 33), "_n": F.col("_i").bitwiseAND((1 << 33) - 1)})
+    counts = place.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    out = place.join(F.broadcast(before), "_p")  # one row a partition
+    return out.select(*df.columns, (F.col("_b") + F.col("_n") + start).alias(name))
 
 
 def numbered_in(df: DataFrame, group: str, order: Sequence[str], name: str = "k") -> DataFrame:
@@ -41,11 +48,15 @@ def split_by_rank(df: DataFrame, key: Column, shares: Sequence[tuple[str, float]
 
 
 def stratified(df: DataFrame, label: str, key: Column, share: float = 0.75, seed: str = "42", name: str = "split") -> DataFrame:
-    """train or test, with floor(share * n) of each class in train."""
-    h = F.md5(F.concat(F.lit(seed), F.lit(":"), key.cast("string")))
-    w = Window.partitionBy(label)
-    ranked = df.withColumns({"_rank": F.row_number().over(w.orderBy(h)), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.withColumn(name, F.when(F.col("_rank") <= F.floor(F.col("_n") * share), "train").otherwise("test")).drop("_rank", "_n")
+    """train or test, with floor(share * n) of each class in train.
+
+    Ranks within a class are global numbers by class and hash, less those of the classes before: a class may be any part of the table.
+    """
+    ranked = numbered(df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.lit(":"), key.cast("string")))), [label, "_h"], "_rank")
+    sizes = ranked.groupBy(F.col(label).alias("_l")).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    out = ranked.join(sizes, ranked[label].eqNullSafe(sizes["_l"]))
+    named = F.when(F.col("_rank") - F.col("_first") < F.floor(F.col("_n") * share), "train").otherwise("test")
+    return out.select(*df.columns, named.alias(name))
 
 
 def positional_split(df: DataFrame, order: Sequence[str], share: float = 0.8, name: str = "split") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import boxes, numeric
 from tidemark.operators import detection, grid, labels, metrics, ml, ranking, raster
 from tidemark.plans.base import ORACLES, QUERIES, query, table
+from tidemark.session import shared_folder
 from tidemark.sources.labels import parse_boxes, pixel_boxes
 from tidemark.sources.tables import summary_lines
 
@@ -264,7 +265,7 @@ def q_nms(spark, sf):
 @query()
 def q_ap(spark, sf):
     d = _dets(spark, sf)
-    truths = _corner(table(spark, sf, "lineitem")).where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("image_id"), F.lit(1).alias("category_id"), (F.col("x1") + 4).alias("x1"), "y1", (F.col("x2") + 4).alias("x2"), "y2")
+    truths = _corner(table(spark, sf, "lineitem")).select(F.col("l_orderkey").alias("image_id"), F.lit(1).alias("category_id"), (F.col("x1") + 4).alias("x1"), "y1", (F.col("x2") + 4).alias("x2"), "y2")
     return detection.average_precision(d, truths)
 
 
@@ -311,8 +312,7 @@ def q_stream_alert(spark, sf):
     """The alert rule run as a stream over the events file; the result table is what the stream wrote."""
     from tidemark.streaming.jobs import alerts
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    out = f"{folder}/alerts-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    out = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     q = alerts(stream, F.col("value"), 200.0).select("event_id", "pred", "alert").writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
     q.awaitTermination()

@@ -1,8 +1,15 @@
-"""Session factory."""
+"""Session factory, and tables written to the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Places of the tables that written() made and discard() has not deleted, in order.
+_WRITTEN: list[str] = []
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +21,41 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
     for k, v in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset, a temporary folder on one machine (local mode), and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write df once into the shared folder and read it back: one evaluation for all readers, no lineage, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time for discard()."""
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
+    """Delete the tables written after `since`, but for those that the frames in keep are read from.
+
+    Frames that were planned on a deleted table can no longer be computed, so call this once the results that need them are written.
+    """
+    files = [f for df in keep for f in df.inputFiles()]
+    gone = [p for p in _WRITTEN[since:] if not any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in gone:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+        _WRITTEN.remove(p)

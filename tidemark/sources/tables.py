@@ -35,8 +35,20 @@ def read_csv_union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def read_csv_glob(spark: SparkSession, pattern: str) -> DataFrame:
-    """As read_csv_union over the files of a glob; only their names reach the driver."""
-    return read_csv_union(spark, [r["path"] for r in list_files(spark, pattern).select("path").collect()])
+    """As read_csv_union over the files of a glob: the first line of each is found in one scan, and the files of one header are one read.
+
+    Only paths and headers reach the driver, and the plan has a branch for each different header.
+    """
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
+    first = lines.where("at = 0").groupBy("path").agg(F.min_by("value", "k").alias("header"))
+    groups = first.groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy("header").collect()
+    if not groups:
+        raise ValueError("no files")
+    frames = []
+    for g in groups:
+        raw = spark.read.option("header", True).csv(g["paths"])
+        frames.append(raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns], F.input_file_name().alias("source_file")))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -14,13 +14,25 @@ from pyspark.sql import DataFrame
 from .shared import arrow_map
 
 SPACE = "▁"
+#: Stands for a line end that follows its word without a space; no text that Arrow hands over holds it.
+LINE = "\udfff"
+
+
+class _Units(dict):
+    """Ids by unit; what is not there is made."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, word: str) -> str:
+        return self.make(word)
 
 
 class PieceEncoder:
     """The ids of a merge-type (BPE) SentencePiece model with byte fallback and an identity normaliser.
 
     No piece has a space mark after another character, so the text falls into units, a space mark and what follows it up
-    to the next, that are encoded apart and kept in a cache. A unit is encoded without running its merges: the automaton gives the longest
+    to the next, that are encoded apart and kept in a cache. Where no piece holds a line end, that ends a unit too and begins the next. A unit is encoded without running its merges: the automaton gives the longest
     piece at a place; a piece may follow another only if merging the two again gives the same two; where no piece may follow, the
     place is marked in a bitfield of failed positions and the encoder goes back one piece and tries its next shorter prefix.
     """
@@ -45,9 +57,11 @@ class PieceEncoder:
         self.text_of = {i: p.replace(SPACE, " ") for p, i in self.id_of.items()} | {self.end: ""}
         self.fits: dict[str, dict[str, bool]] = {}
         self.n_fits = 0
-        self.text_for = {str(i): t for i, t in self.text_of.items()}
+        alone = {i: chr(b) for b, i in self.byte_id.items() if b < 128}  # such a byte is a character whatever stands beside it
+        self.text_for = {str(i): t for i, t in (self.text_of | alone).items()}
         self.digits = {p: str(i) for p, i in self.id_of.items()}
-        self.cache: dict[str, str] = {}
+        self.lines_apart = not any("\n" in p for p in self.id_of)
+        self.cache: dict[str, str] = _Units(self._make)
         self.older: dict[str, str] = {}
         self.cache_units, self.long_unit = cache_units, long_unit
 
@@ -137,7 +151,7 @@ class PieceEncoder:
     def decode(self, ids: str) -> str:
         """Text of the decimal ids: pieces with spaces for marks, bytes as UTF-8, control ids left out, the first space dropped."""
         try:
-            text = "".join([self.text_for[i] for i in ids.split(" ")])
+            text = "".join(map(self.text_for.__getitem__, ids.split(" ")))
         except KeyError:
             text = self._plain([int(i) for i in ids.split()])
         return text[1:] if text[:1] == " " else text
@@ -159,20 +173,21 @@ class PieceEncoder:
         return "".join(out)
 
     def _make(self, word: str) -> str:
-        """Ids of a space mark and the word, as text. They are decoded at once, and must give the word back."""
-        if (out := self.older.get(word)) is None:
-            pieces = self.unit(SPACE + word)
+        """Ids of a space mark and the word, or of a line end and the word behind LINE, as text. They are decoded at once, and must give the word back."""
+        if (out := self.cache.get(word) or self.older.get(word)) is None:
+            line = word[:1] == LINE
+            pieces = ["\n", *(self.unit(word[1:]) if len(word) > 1 else [])] if line else self.unit(SPACE + word)
             try:
                 out = " ".join([self.digits[p] for p in pieces])
-                back = "".join(pieces)[1:]
+                back = "".join(pieces)
             except KeyError:
                 ids = self._ids(pieces)
-                out, back = " ".join(map(str, ids)), self._plain(ids)[1:]
-            if back != word:
+                out, back = " ".join(map(str, ids)), self._plain(ids)
+            if back[1:] != word[line:]:
                 raise ValueError(f"ids of {word!r} decode to {back!r}")
-        if len(word) <= self.long_unit:
+        if len(word) <= self.long_unit and word not in self.cache:
             if len(self.cache) >= self.cache_units:
-                self.cache, self.older = {}, self.cache
+                self.cache, self.older = _Units(self._make), self.cache
             self.cache[word] = out
         return out
 
@@ -184,16 +199,17 @@ class PieceEncoder:
     def _encoded(self, text: str) -> str:
         if not text:
             return str(self.end)
-        words = text.replace(SPACE, " ").split(" ")
-        get, make = self.cache.get, self._make
+        text = text.replace(SPACE, " ")
+        words = (text.replace("\n", " " + LINE) if self.lines_apart else text).split(" ")
+        ids_of = self.cache.__getitem__
         if "" not in words:
-            return " ".join([get(w) or make(w) for w in words]) + f" {self.end}"
+            return " ".join(map(ids_of, words)) + f" {self.end}"
         got, empty, mark = [], 0, self.digits[SPACE]
         for w in [*words, None]:
             if w == "":
                 empty += 1
                 continue
-            unit = "" if w is None else get(w) or make(w)
+            unit = "" if w is None else ids_of(w)
             if empty:
                 if unit == mark or unit.startswith(mark + " "):  # the unit's own mark stands alone and joins the run
                     empty, unit = empty + 1, unit[len(mark) + 1 :]

@@ -1,10 +1,9 @@
-"""Toxicity by compression distance between two zstandard dictionaries (operator 2)."""
+"""Toxicity by compression distance between two trained zstandard dictionaries (operator 2)."""
 
 from __future__ import annotations
 
 import random
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,11 +14,15 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map, stored
 
-FEATURES = 9
+#: Savings of a window are counted up to so many bytes.
+MOST = 16
+#: Precisions, on the labelled rows, that the thresholds of savings are calibrated to.
+LEVELS = (0.25, 0.5, 0.75, 0.9)
 
 
 def clean(text: str) -> bytes:
-    return " ".join(text.lower().split()).encode("utf-8", "surrogatepass")
+    """Lower case, single blanks, and a blank at both ends, so that a word looks the same wherever it stands."""
+    return b" " + " ".join(text.lower().split()).encode("utf-8", "surrogatepass") + b" "
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -35,84 +38,72 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def stems(words: dict[bytes, int], ordinary: bytes, most: int = 64) -> list[bytes]:
-    """Substrings that the words of toxic text share and ordinary text lacks, by how many bytes a match would save.
-
-    Each is taken from the words that no earlier one covers, and covers at least 0.4 % of all.
-    """
-    total = sum(words.values())
-    parts = {w: {w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + 12) + 1)} for w in words}
-    count: Counter[bytes] = Counter()
-    for w, n in words.items():
-        for x in parts[w]:
-            count[x] += n
-    seen: dict[bytes, int] = {}
-    left, out = dict(words), []
-    while left and len(out) < most:
-        saved: Counter[bytes] = Counter()
-        for w, n in left.items():
-            for x in parts[w]:
-                if count[x] >= 0.002 * total:
-                    saved[x] += n * (len(x) - 2)
-        pick = None
-        for x, _ in sorted(saved.items(), key=lambda kv: (-kv[1], kv[0]))[:400]:
-            if x not in seen:
-                seen[x] = ordinary.count(x)
-            if seen[x] <= 0.02 * count[x]:
-                pick = x
-                break
-        if pick is None or sum(n for w, n in left.items() if pick in w) < 0.004 * total:
-            return out
-        out.append(pick)
-        left = {w: n for w, n in left.items() if pick not in w}
+def grams(text: bytes, n: int) -> np.ndarray:
+    """The n-byte pieces of a text as numbers, n at most 8."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(b) - n + 1), np.uint64)
+    for i in range(n if len(out) else 0):
+        out = out << np.uint64(8) | b[i : i + len(out)]
     return out
 
 
-def ordinary_parts(word: bytes, words: dict[bytes, int], ordinary: bytes, least: int = 4) -> list[bytes]:
-    """The longest parts of a word that ordinary text has too, by the measure of stems()."""
-    out, covered = [], 0
-    for i in range(len(word) - least + 1):
-        for j in range(len(word), max(i + least, covered + 1) - 1, -1):
-            x = word[i:j]
-            if ordinary.count(x) > 0.02 * sum(n for w, n in words.items() if x in w):
-                out.append(x)
-                covered = j
-                break
+def texts_with(texts: Sequence[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each n-byte piece, and the number of texts that hold it."""
+    each = [np.unique(grams(t, n)) for t in texts]
+    return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def among(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of x would be in the ascending `known`, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return at, known[at] == x
+
+
+def own_runs(toxic: Sequence[bytes], ordinary: Sequence[bytes], pieces: Sequence[int], least_share: float, least_ratio: float) -> list[bytes]:
+    """The runs of toxic texts that ordinary texts lack: covered by pieces of the given byte lengths that least_share of the toxic texts hold (and four),
+    and least_ratio times as large a share of them as of the ordinary ones. Each run counts once a text."""
+    good = {}
+    for n in pieces:
+        x, held = texts_with(toxic, n)
+        known, count = texts_with(ordinary, n)
+        at, there = among(x, known)
+        beside = np.where(there, count[at] if len(count) else 0, 0)
+        good[n] = x[(held >= max(4, least_share * len(toxic))) & (held / len(toxic) > least_ratio * (beside + 1) / len(ordinary))]
+    out = []
+    for t in toxic:
+        marks = np.zeros(len(t) + 1, np.int64)
+        for n in pieces:
+            hits = np.flatnonzero(among(grams(t, n), good[n])[1])
+            np.add.at(marks, hits, 1)
+            np.add.at(marks, hits + n, -1)
+        edges = np.flatnonzero(np.diff(np.r_[0, np.cumsum(marks[:-1]) > 0, 0]))
+        out += sorted({t[a:b] for a, b in zip(edges[::2], edges[1::2])})
     return out
 
 
-def dictionaries(words: dict[str, int], passages: list[bytes], own_stems: list[bytes], size: int = 8192, family: int = 16) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary.
-
-    The ordinary one is trained by zstandard on ordinary passages. The toxic one is what toxic text has of its own, the most frequent words around each
-    stem, in front of the same ordinary content; the ordinary dictionary has there what ordinary text shares of those words. So a window of ordinary text has much the same
-    matches in both and the same length.
-    """
-    passages = [p for p in passages if p]
+def trained(size: int, samples: list[bytes], k: int) -> bytes:
+    """A zstandard dictionary trained on the samples; where they are too few to train on, the samples themselves."""
+    samples = [s for s in samples if len(s) >= 8]
     try:
-        ordinary = zstandard.train_dictionary(size, passages, k=64, d=8).as_bytes()[-size + 1000 :]
-    except (zstandard.ZstdError, ValueError):  # too few passages to train on
-        ordinary = b"\n".join(passages)[: size - 1000]
-    spaced = {f" {w} ".encode(): n for w, n in words.items()}
-    own = rest = b""
-    blob = b"\n".join(passages)
-    for stem in reversed(own_stems):
-        of = sorted((w for w in spaced if stem in w), key=lambda w: (-spaced[w], w))[:family]
-        own += b"".join(w[:-1] for w in reversed(of))
-        rest += b"".join(x for w in reversed(of) for x in ordinary_parts(w, spaced, blob))
-    ordinary = ordinary or b" " * 8
-    return rest + ordinary, own + ordinary
+        return zstandard.train_dictionary(size, samples, k=k, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[:size]
 
 
 @dataclass
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+    """ordinary, toxic: the trained dictionaries; thresholds in saved bytes; weights of the calibration."""
+
+    ordinary: bytes = b""
+    toxic: bytes = b""
+    thresholds: tuple[int, ...] = (1, 2, 3, 4)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
     level: int = 12
-    window: int = 256
+    window: int = 128
 
-    def measures(self) -> _Measure:
+    def measure(self) -> _Measure:
         return _Measure(self)
 
 
@@ -120,93 +111,111 @@ class _Measure:
     """Compressors of one worker."""
 
     def __init__(self, model: Model):
-        self.window, self.weights = model.window, model.weights
+        self.model = model
 
         def sizer(content: bytes):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content or b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(model.level)
             return zstandard.ZstdCompressor(level=model.level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
 
-        self.ordinary, self.toxic = sizer(model.ordinary), sizer(model.toxic)
+        # what ordinary text repeats lies at the same distance in both, so that windows of it come to the same length
+        self.ordinary, self.toxic = sizer(model.ordinary), sizer(model.toxic + model.ordinary)
 
-    def features(self, text: str) -> list[float]:
-        """What the windows of the whole text save under the toxic dictionary, in bytes, against thresholds of 1, 2 and 3."""
+    def savings(self, text: str) -> list[int]:
+        """How many windows of the whole text there are, and how many save 1, 2, ... MOST bytes or more under the toxic dictionary."""
         b, at, saved = clean(text), 0, []
         while at < len(b):
-            end = b.find(b" ", at + self.window)
+            end = b.find(b" ", at + self.model.window)
             end = len(b) if end < 0 else end + 1
             for a in range(at, end, 4096):  # a word without end is cut
                 w = b[max(0, a - 1) : min(end, a + 4096)]
                 saved.append(len(self.ordinary(w)) - len(self.toxic(w)))
             at = end
-        d = np.sort(np.array(saved or [0], float))[::-1]
-        over = [float((d >= t).sum()) for t in (1, 2, 3)]
-        return [min(d[0], 8.0), min(d[1], 8.0) if len(d) > 1 else 0.0, float(over[1] > 0), float(over[2] > 0), *np.log1p([over[1], over[2], over[0]]), np.maximum(d, 0).mean(), -np.log1p(len(d))]
+        held = np.bincount(np.clip(saved, 0, MOST), minlength=MOST + 1)
+        return [len(saved), *held[::-1].cumsum()[::-1][1:].tolist()]
 
     def score(self, text: str) -> float:
-        z = self.weights[0] + float(np.dot(self.weights[1:], self.features(text)))
+        if len(self.model.weights) == 1:
+            z = self.model.weights[0]
+        else:
+            z = self.model.weights[0] + float(features(np.array([self.savings(text)], float), self.model.thresholds)[0] @ self.model.weights[1:])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3000, least_ratio: float = 20.0, least_share: float = 0.7) -> Model:
-    """The dictionaries and the calibration, from at most sample_rows labelled rows of each class, drawn by a hash of the id.
+def features(savings: np.ndarray, thresholds: Sequence[int]) -> np.ndarray:
+    """Of each row of savings(): the two best windows, the windows over each threshold and whether there is any, the windows, the mean saving."""
+    n, over = savings[:, :1], savings[:, 1:]
+    at = over[:, [t - 1 for t in thresholds]]
+    best = np.c_[(over >= 1).sum(1), (over >= 2).sum(1)]
+    return np.c_[np.minimum(best, 10), np.log1p(at), at > 0, -np.log1p(n), over.sum(1) / n[:, 0]]
+
 
-    A word of toxic texts counts by the different words that it follows there, so that copies of one text weigh no more than it: it needs as many as 1.5 % of
-    those texts (and four), and least_ratio times as many a text as in ordinary ones. At most 5,000 words reach the driver, with four passages of 96 characters a text. A stem of
-    theirs enters the toxic dictionary if least_share of the sampled texts that hold it, weighted to the classes' sizes, are toxic. With one class only, or none, every score is that class's share.
+def calibrated(savings: np.ndarray, y: np.ndarray, weight: np.ndarray, levels: Sequence[float] = LEVELS) -> tuple[int, ...]:
+    """For each level the least saving at which texts with a window that saves as much are toxic in that share, weighted; else the largest counted."""
+    out = []
+    for level in levels:
+        shares = [(weight * y)[hit].sum() / weight[hit].sum() if (hit := savings[:, t] > 0).any() else 1.0 for t in range(1, MOST + 1)]
+        out.append(next((t for t, s in enumerate(shares, 1) if s >= level), MOST))
+    return tuple(out)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3000, pieces: Sequence[int] = (6, 8), least_share: float = 0.02, least_ratio: float = 10.0, ordinary_size: int = 8192, toxic_size: int = 2048) -> Model:
+    """Both dictionaries, the thresholds and the calibration, from at most about sample_rows labelled rows of each class, drawn by a hash of the id.
+
+    The ordinary dictionary is trained on the windows of ordinary texts, the toxic one on the runs of toxic texts that ordinary texts lack (own_runs): trained on whole
+    toxic texts, it would mostly hold what both share. Equal texts count once. The driver holds the sampled rows, whose number does not grow with the
+    table. With one class only, or none, every score is that class's share.
     """
     spark = docs.sparkSession
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}  # two rows
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not (n0 and n1):
-        w = np.zeros(FEATURES + 1)
-        w[0] = 30.0 if n1 else -30.0
-        return Model(b" " * 8, b" " * 8, w)
+        return Model(weights=np.array([30.0 if n1 else -30.0]))
     share = F.when(F.col("y") == 1, F.lit(n1)).otherwise(F.lit(n0))
     drawn = y.where(F.pmod(F.xxhash64("_id"), share) < sample_rows)  # about sample_rows of each class
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = stored(texts.join(F.broadcast(drawn), "_id").dropDuplicates(["_id"]))
-    got = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    g0, g1 = got.get(0, 0), got.get(1, 0)
-    found = sample.select("y", F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("ws"))
-    pairs = F.transform(F.arrays_zip(F.col("ws").alias("w"), F.concat(F.array(F.lit("")), F.col("ws")).alias("before")), lambda x: F.struct(x["w"].alias("w"), x["before"].alias("before")))
-    words = found.select("y", F.explode(F.array_distinct(pairs)).alias("x")).select("y", "x.w", "x.before").where("w is not null and length(w) <= 40").distinct()
-    words = words.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
-    ratio = (F.col("a") + 0.5) / (g1 + 1) / ((F.col("b") + 2) / (g0 + 1))
-    words = words.where((F.col("a") >= F.greatest(F.lit(4), F.lit(0.015 * g1))) & (ratio >= least_ratio)).orderBy(F.desc("a"), "w").limit(5000)
-    own = {r["w"]: r["a"] for r in words.collect()}
-    flat = F.lower(F.regexp_replace("text", r"\s+", " "))
-    cut = [F.substring(flat, 1 + F.pmod(F.xxhash64("_id", F.lit(k)), F.greatest(F.lit(1), F.length(flat) - 96)).cast("int"), F.lit(96)) for k in range(4)]
-    passages = sorted(r["p"].encode("utf-8", "surrogatepass") for r in sample.where("y = 0").select(F.explode(F.array(*cut)).alias("p")).collect())
-    random.Random(5).shuffle(passages)
-    candidates = stems({f" {w} ".encode(): n for w, n in own.items()}, b"\n".join(passages))
-    padded = F.concat(F.lit(" "), flat, F.lit(" "))
-    names = [x.decode("utf-8", "ignore") for x in candidates]
-    holds = [F.count_if(F.contains(padded, F.lit(x)) & (F.col("y") == y)).alias(f"s{y}_{k}") for y in (0, 1) for k, x in enumerate(names)]
-    have = sample.agg(*holds).first() if names else None
-    # of all texts that hold the stem, at the classes' true sizes, so many must be toxic
-    sure = [x for k, x in enumerate(candidates) if have[f"s1_{k}"] / g1 * n1 >= least_share * (have[f"s1_{k}"] / g1 * n1 + have[f"s0_{k}"] / g0 * n0)]
-    ordinary, toxic = dictionaries(own, passages, sure)
-    model = Model(ordinary, toxic)
+    rng = random.Random(5)
+    of: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sample.select("y", "text").toLocalIterator():
+        of[r["y"]].append(clean(r["text"]))
+    if not (of[0] and of[1]):
+        return Model(weights=np.array([float(np.log(n1 / n0))]))
+    got = {k: len(v) for k, v in of.items()}
+    of = {k: sorted(set(v)) for k, v in of.items()}
+    for v in of.values():
+        rng.shuffle(v)
+    model = Model()
+    windows = [t[i : i + model.window] for t in of[0] for i in range(0, len(t), model.window)]
+    rng.shuffle(windows)
+    runs = own_runs(of[1], of[0], pieces, least_share, least_ratio)
+    model.ordinary = trained(ordinary_size, windows, 64)
+    model.toxic = trained(toxic_size, [b"".join(runs[k : k + 16]) for k in range(0, len(runs), 16)], 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = model.measures()
+        measure = model.measure()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([measure.features(t.as_py()) for t in b.column(0)], pa.list_(pa.float64()))], names=["y", "x"])
-
-    rows = arrow_map(sample.select("text", "y").repartition(max(1, spark.sparkContext.defaultParallelism)), run, "y int, x array<double>").collect()
-    rows.sort(key=lambda r: (r["y"], r["x"]))
-    model.weights = logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float))
-    model.weights[0] += np.log(n1 / n0) - np.log(g1 / g0)  # the classes were drawn at different rates
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([measure.savings(t.as_py()) for t in b.column(0)], pa.list_(pa.int64()))], names=["y", "s"])
+
+    rows = arrow_map(sample.select("text", "y").repartition(max(1, spark.sparkContext.defaultParallelism)), run, "y int, s array<long>").collect()
+    rows.sort(key=lambda r: (r["y"], r["s"]))
+    savings, label = np.array([r["s"] for r in rows], float), np.array([r["y"] for r in rows], float)
+    model.thresholds = calibrated(savings, label, np.where(label == 1, n1 / got[1], n0 / got[0]))
+    model.weights = logistic(features(savings, model.thresholds), label)
+    model.weights[0] += np.log(n1 / n0) - np.log(got[1] / got[0])  # the classes were drawn at different rates
     return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score (0 to 1) and predicted (1 from 0.5) for every whole text; null texts count as empty, repeated rows give repeated results."""
+    """id, score (0 to 1) and predicted (1 from 0.5) for every whole text.
+
+    Null texts count as empty, of which all have one score; a very long text is worked through window by window; repeated rows give repeated results; an empty
+    table gives none; other columns, whatever their names, are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = model.measures()
+        measure = model.measure()
         for b in batches:
             s = [measure.score(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[id_col, "score", "predicted"])
@@ -215,5 +224,5 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Fit on the labels where learn_from holds, and score every row of docs."""
+    """score() of every row of docs by what fit() learns from the labels where learn_from holds; rows, nulls and other columns as stated there."""
     return score(docs, fit(docs, labels.where(learn_from), id_col=id_col, text_col=text_col, label_col=label_col), id_col=id_col, text_col=text_col)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import string
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import salted, stored
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -52,76 +54,94 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.coalesce(all_, F.array().cast("array<string>")))
 
 
-def mine(labelled: DataFrame, *, min_rows: int = 5, min_confidence: float = 0.6, max_items: int = 4, common: float = 0.95, chance: float = 0.05) -> DataFrame:
-    """antecedent (tokens), confidence, support of the rules that lead to block.
+@dataclass(frozen=True)
+class Mined:
+    """rules: antecedent (items), confidence, support, lift; items: token, item. Tokens that the same labelled rows hold are one item: a url has it with any of them."""
 
-    labelled has tokens and bad (boolean). Token sets of up to max_items tokens are grown from those that min_rows bad rows have; a set with the rows of one of its parts
-    is not grown, as it would say the same. Tokens of more than `common` of the rows tell nothing and stay out. A set is a rule if min_confidence of its rows are bad,
-    and so many that with labels dealt at random any set at all would look like this with a probability of at most `chance` (Chernoff's bound times the sets
-    looked at), at every number of rows. No other rule with a part of its tokens is as confident.
+    rules: DataFrame
+    items: DataFrame
+    base: float
+    looked_at: int
+
+
+def mine(labelled: DataFrame, *, min_rows: int = 5, min_support: float = 1e-4, min_confidence: float = 0.6, max_items: int = 4, common: float = 0.95, chance: float = 0.05) -> Mined:
+    """Rules of token combinations that lead to bad, by FP-growth over the bad rows.
+
+    labelled has tokens and bad (boolean). FP-growth gives the item sets that min_rows bad rows, and min_support of them, hold; items of more than `common`
+    of the rows tell nothing and stay out. How many of all labelled rows hold a set is counted by an inverted index on its rarest item. A set is a rule if
+    min_confidence of its rows are bad, and so many that with labels dealt at random any set at all would look like this with a probability of at most
+    `chance` (Chernoff's bound times the sets looked at), at every number of rows. No rule with some of its items is as confident. Sets of over max_items
+    items are not counted. Time grows with two to the power of the different frequent items of one url, which urls keep small.
     """
     spark = labelled.sparkSession
-    rows = stored(labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad")).withColumn("row", F.monotonically_increasing_id()))
-    total, bad = rows.agg(F.sum("n"), F.sum("bad")).first()
-    none = spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    rows = stored(labelled.select("tokens", "bad").withColumn("row", F.monotonically_increasing_id()))
+    total, bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    none = lambda looked_at=0: Mined(spark.createDataFrame([], "antecedent array<string>, confidence double, support double, lift double"), spark.createDataFrame([], "token string, item string"), bad / total if total else 0.0, looked_at)
     if not bad or bad == total:
-        return none
-    each = rows.select("row", "n", "bad", F.explode("tokens").alias("token"))
-    known = each.groupBy("token").agg(F.sum("n").alias("held"), F.sum("bad").alias("held_bad")).where((F.col("held_bad") >= min_rows) & (F.col("held") <= common * total))
-    known = stored(known.orderBy("held", "token").withColumn("id", F.monotonically_increasing_id()))  # ids go up with the rows held
-    had = each.join(known.select("token", "id"), "token").groupBy("row").agg(F.array_sort(F.collect_list("id")).alias("rest"), F.first("n").alias("n"), F.first("bad").alias("bad"))
-    grown = had.select(F.array().cast("array<bigint>").alias("items"), F.lit(total).cast("long").alias("held"), "rest", "n", "bad")
-    levels, looked_at = [], 0
-    for size in range(max_items):
-        grown = grown.select("items", "held", "n", "bad", "rest", F.posexplode("rest").alias("at", "id"))
-        grown = grown.select(F.concat("items", F.array("id")).alias("items"), "held", "n", "bad", F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
-        sets = grown.groupBy("items").agg(F.first("held").alias("parent"), F.sum("n").alias("held"), F.sum("bad").alias("held_bad"))
-        sets = stored(sets.where((F.col("held_bad") >= min_rows) & (F.col("held") < F.col("parent"))).drop("parent"))
-        here = sets.count()
-        levels.append(sets)
-        looked_at += here
-        if not here or size == max_items - 1:
-            break
-        grown = stored(grown.drop("held").where(F.size("rest") > 0).join(sets.select("items", "held"), "items"))
-    if not looked_at:
-        return none
-    found = levels[0]
-    for sets in levels[1:]:
-        found = found.unionByName(sets)
-    base, sure = bad / total, F.col("held_bad") / F.col("held")
+        return none()
+    least = max(min_rows, math.ceil(min_support * bad))
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    same = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
+    known = each.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.count_if("bad").alias("held_bad"), *same)
+    known = stored(known.where((F.col("held_bad") >= least) & (F.col("held") <= common * total)))
+    classes = known.groupBy("held", "held_bad", "s0", "s1").agg(F.min("token").alias("item"))
+    items = stored(known.join(classes, ["held", "held_bad", "s0", "s1"]).select("token", "item", "held"))
+    had = stored(each.join(items, "token").groupBy("row").agg(F.collect_set("item").alias("items"), F.first("bad").alias("bad")))
+    of_bad = had.where("bad").select("items")
+    n = of_bad.count()
+    if not n:
+        return none()
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n)).fit(of_bad)
+    sets = stored(model.freqItemsets.where(F.size("items") <= max_items).select(F.array_sort("items").alias("items"), F.col("freq").alias("held_bad")))
+    looked_at = sets.count()
+    base = bad / total
+    sizes = items.select("item", "held").distinct()
+    rarest = sets.select("items", "held_bad", F.explode("items").alias("item")).join(sizes, "item").groupBy("items", "held_bad").agg(F.min_by("item", F.struct("held", "item")).alias("item"))
+    places = had.select(F.col("items").alias("of"), F.explode("items").alias("item"))
+    held = places.join(rarest, "item").where(F.size(F.array_except("items", "of")) == 0).groupBy("items", "held_bad").agg(F.count(F.lit(1)).alias("held"))
+    sure = F.col("held_bad") / F.col("held")
     apart = sure * F.log(sure / base) + F.when(sure < 1, (1 - sure) * F.log((1 - sure) / (1 - base))).otherwise(0.0)
-    found = found.where((sure >= min_confidence) & (sure > base) & (F.col("held") * apart >= math.log(looked_at / chance)))
-    found = found.select("items", sure.alias("confidence"), (F.col("held_bad") / total).alias("support"), F.explode("items").alias("id")).join(known.select("id", "token"), "id")
-    rules = stored(found.groupBy("items", "confidence", "support").agg(F.array_sort(F.collect_list("token")).alias("antecedent")).select("antecedent", "confidence", "support"))
+    found = held.where((sure >= min_confidence) & (sure > base) & (F.col("held") * apart >= math.log(max(1, looked_at) / chance)))
+    rules = stored(found.select(F.col("items").alias("antecedent"), sure.alias("confidence"), (F.col("held_bad") / total).alias("support"), (sure / base).alias("lift")))
     wide = rules.select("antecedent", "confidence", F.explode("antecedent").alias("p_first"))
     part = rules.select(F.col("antecedent").alias("p_antecedent"), F.col("confidence").alias("p_confidence"), F.col("antecedent")[0].alias("p_first"))
     looser = wide.join(part, "p_first")
     looser = looser.where((F.size("p_antecedent") < F.size("antecedent")) & (F.size(F.array_except("p_antecedent", "antecedent")) == 0) & (F.col("p_confidence") >= F.col("confidence")))
-    return rules.join(looser.select("antecedent").distinct(), "antecedent", "left_anti")
+    rules = stored(rules.join(looser.select("antecedent").distinct(), "antecedent", "left_anti"))
+    used = rules.select(F.explode("antecedent").alias("item")).distinct()
+    return Mined(rules, stored(items.join(used, "item").select("token", "item", "held")), base, looked_at)
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url, confidence of the surest rule all of whose tokens the url has, by an inverted index on each rule's longest token."""
-    index = rules.select("antecedent", "confidence", F.element_at(F.sort_array(F.transform("antecedent", lambda x: F.struct(F.length(x).alias("n"), x.alias("t")))), -1)["t"].alias("token"))
-    rows = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return rows.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+def matched(urls: DataFrame, found: Mined) -> DataFrame:
+    """url, confidence of the surest rule all of whose items the url has, by an inverted index on each rule's rarest item. Only tokens of rules are joined."""
+    sizes = found.items.select("item", "held").distinct()
+    index = found.rules.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(sizes, "item")
+    index = index.groupBy("antecedent", "confidence").agg(F.min_by("item", F.struct("held", "item")).alias("item"))
+    rows = urls.select("url", F.explode("tokens").alias("token")).join(found.items.select("token", "item"), "token")
+    rows = rows.groupBy("url").agg(F.collect_set("item").alias("items"))
+    rows = rows.select("url", "items", F.explode("items").alias("item")).join(index, "item")
+    return rows.where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", min_rows: int = 5, min_confidence: float = 0.6) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, *, id_col: str = "page_id", url_col: str = "url", **mining: float) -> DataFrame:
     """id, host, path, rule, verdict and confidence for every row of pages.
 
-    rules: verdict by rule; the longest that fits decides. Elsewhere a url is blocked if a mined rule matches it, and allowed otherwise. labelled: url and bad (boolean,
-    null rows are left out) to mine from. Null urls have empty host and path and are allowed; repeated rows give repeated results; empty tables give none, or no
-    mined rules; other columns of pages are ignored.
+    rules: verdict by rule (at most 2,000); the longest that fits decides. Elsewhere a url is blocked if a mined rule matches it, and allowed otherwise.
+    labelled: url and bad (boolean, null rows are left out) to mine from; mining: parameters of mine(). Null urls have empty host and path and are allowed; a very
+    long url is judged whole; repeated rows give repeated results; an empty table of pages gives none, an empty one of labels no mined rules; other
+    columns of pages are ignored.
     """
     url = F.col("url")
     host, path = parse(url)
     of = lambda df: df.select("*", host.alias("host"), path.alias("path")).select("*", tokens(url, F.col("host"), F.col("path")).alias("tokens"))
-    found = mine(of(labelled.where("url is not null and bad is not null").select("url", "bad")).select("tokens", "bad"), min_rows=min_rows, min_confidence=min_confidence)
+    found = mine(of(labelled.where("url is not null and bad is not null").select("url", "bad")).select("tokens", "bad"), **mining)
     rows = pages.select(pages[id_col].alias(id_col), pages[url_col].cast("string").alias("url"))
-    hits = matched(of(rows.where("url is not null").select("url").distinct()), found)
+    if found.rules.isEmpty():
+        out = rows.withColumn("confidence", F.lit(None).cast("double"))
+    else:
+        out = salted(rows, "url", matched(of(rows.where("url is not null").select("url").distinct()), found))
     rule = longest_rule(F.col("host"), F.col("path"), list(rules))
-    names = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else F.create_map().cast("map<string,string>")
     verdict = F.coalesce(F.try_element_at(names, F.col("rule")), F.when(F.col("confidence").isNotNull(), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
-    out = rows.join(hits, "url", "left").select(id_col, host.alias("host"), path.alias("path"), "confidence")
+    out = out.select(id_col, host.alias("host"), path.alias("path"), "confidence")
     return out.withColumn("rule", rule).select(id_col, "host", "path", "rule", verdict.alias("verdict"), "confidence")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches, stored
+from .shared import arrow_map, stored
 
 
 @dataclass
@@ -106,7 +106,6 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
     commonest take no part; rows with one id are candidates each; an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -137,7 +136,7 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
             cols = [b.column(0), b.column(2), pa.array(cell.astype(np.int32)), blobs(packed), blobs(flat.reshape(-1, dims))]
             yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "asks", "cell", "codes", "raw"])
 
-    coded = stored(rows.mapInArrow(code, "vec_id long, asks boolean, cell int, codes binary, raw binary"))
+    coded = stored(arrow_map(rows, code, "vec_id long, asks boolean, cell int, codes binary, raw binary"))
     counts = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row a cell, at most 4,096
     in_cell = np.array([counts.get(c, 0) for c in range(n_cells)])
     visits = max(1, int(np.ceil(probes * n_cells)))
@@ -155,7 +154,7 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
                 chosen = [int(c) for c in cells_[:last] if in_cell[c]]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(chosen)), pa.array([vec] * len(chosen), pa.binary()), pa.array(chosen, pa.int32())], names=["query_id", "q", "cell"])
 
-    asked = coded.where("asks").select("vec_id", "raw").mapInArrow(probe, "query_id long, q binary, cell int")
+    asked = arrow_map(coded.where("asks").select("vec_id", "raw"), probe, "query_id long, q binary, cell int")
     per_cell = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     asked = stored(asked)
     per_query = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (block // 4)).cast("int").alias("q_blocks"))

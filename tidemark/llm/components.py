@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def _nearest(links: DataFrame) -> DataFrame:
-    """Each node with the smallest of itself and its neighbours."""
-    return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _with_nearest(links: DataFrame, salts: int = 16) -> DataFrame:
+    """links(u, v) with m, the smallest of u and its neighbours. A node with very many links is dealt over `salts` tasks, its own row being repeated for each."""
+    nearest = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
+    return links.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(nearest, ["u", "s"]).drop("s")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -23,8 +24,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(_nearest(large), "u")
+        large = _with_nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _with_nearest(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v")
         star = stored(small.distinct())
         now = star.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()

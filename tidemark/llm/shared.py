@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch. Long texts make the default of 10,000 rows too large for a worker.
+from tidemark.session import written
+
+#: Rows and bytes that a task works on at a time: long texts make Arrow's usual batches too large for a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
@@ -19,32 +20,46 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+def stored(df: DataFrame) -> DataFrame:
+    """Write df once into the shared folder and read it back: cuts the lineage and survives lost executors. discard() of the session module deletes it."""
+    return written(df)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most BATCH_ROWS rows and about BATCH_BYTES, whatever the session's limits are."""
+    for b in batches:
+        rows = max(1, min(BATCH_ROWS, int(b.num_rows * BATCH_BYTES / max(1, b.nbytes))))
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with bounded batches."""
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over parts() of the batches; fn is not called for a partition without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = parts(batches)
+        for first in pieces:
+            yield from fn(chain([first], pieces))
+
+    return df.mapInArrow(run, schema)
+
+
+def salted(df: DataFrame, key: str, table: DataFrame, *, counts: DataFrame | None = None, rows: int = 100_000, how: str = "left") -> DataFrame:
+    """df joined with table (one row a key) where some keys may hold a great part of df's rows.
+
+    The rows of a key with more than `rows` rows are dealt over as many salts as that takes, and the table's row for it is repeated for each. counts: key and
+    n, the rows of df by key, if known already. Rows of a null key match nothing.
+    """
+    if counts is None:
+        counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = stored(counts.where(F.col("n") > rows).select(key, F.ceil(F.col("n") / rows).cast("int").alias("_salts")))
+    if hot.isEmpty():
+        return df.join(table, key, how)
+    hot = F.broadcast(hot)  # at most df's rows over `rows`: a thousand for a hundred million
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = df.join(hot, key, "left").withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).drop("_salts")
+    spread = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 
 def fold(id_col: str, n: int) -> Column:

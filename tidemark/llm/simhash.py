@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_map, stored
+from .shared import arrow_map, salted, stored
 
 BITS, SEED = 64, 42
 
@@ -190,7 +190,6 @@ def _links(rows: DataFrame, ring: Ring, chain: int, bounds: Bounds | None, block
         if len(key):
             yield from done(key, fp)
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     return keyed.mapInArrow(run, "a long, b long, start int")
 
 
@@ -222,9 +221,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     row for each fingerprint, so a group of equal texts, however large, is one node, and only distinct fingerprints are compared.
     """
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+    nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     groups = components(near_links(nodes, Ring(budget)))
-    placed = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = stored(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = placed.join(smallest, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = salted(placed, "component", smallest).select("fp", "component_id")
+    of = salted(prints, "fp", of, counts=nodes.select("fp", "n"))
+    return of.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

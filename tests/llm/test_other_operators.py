@@ -111,6 +111,43 @@ def test_neighbours_at_defaults(spark):
     assert hits[0] == 20 and np.mean(hits[1:]) / 20 >= 0.95
 
 
+def test_neighbours_of_repeated_ids_and_doubles(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 16))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    more = [(0, x[0].tolist()), (7, x[7].tolist()), (7, (3 * x[0]).tolist()), (20, rng.normal(size=16).tolist())]
+    df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, rerank=400).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got) == list(range(0, 400, 20))
+    for q, found in got.items():
+        best = {}
+        for a, v in rows + more:
+            for b, w in rows + more:
+                if a == q and b != q:
+                    best[b] = max(best.get(b, -np.inf), float(np.dot(v, w)))
+        want = sorted(best.items(), key=lambda kv: (-kv[1], kv[0]))[:20]
+        assert [v for _, v, _ in sorted(found)] == [v for v, _ in want] and all(abs(s - w) < 1e-12 for (_, _, s), (_, w) in zip(sorted(found), want))
+
+
+def test_neighbours_leave_cells_out_where_vectors_cluster(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = (centres[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 16))).astype(np.float32)
+    book = ann.fit(x[:6000].astype(np.float64), 40, 2, 4.0)
+    share = ann.share_to_visit(x[:6000], book, 20, 0.985)
+    assert share < 0.5
+    asked = rng.choice(len(x), 100, replace=False)
+    got = ann.search(vectors(spark, x), F.col("vec_id").isin(asked.tolist()), cell_rows=300, sample_rows=6000).collect()
+    d, hits = x.astype(np.float64), []
+    for q in asked:
+        s = d @ d[q]
+        s[q] = -np.inf
+        hits.append(len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.lexsort((np.arange(len(s)), -s))[:20].tolist())))
+    assert np.mean(hits) / 20 >= 0.95
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(150)] + [(7, 7)]

@@ -75,19 +75,42 @@ def fit(sample: np.ndarray, cells: int, width: int, eta: float, rounds: int = 8,
         codes = book.codes(x, near, sweeps=2)
         place = (np.arange(m) * 16 + codes)[:, :, None] * width + np.arange(width)  # of each component in the flattened words
         flat = m * 16 * width
-        rows = np.arange(n)[:, None]
-        z = np.zeros((n, flat), np.float32)
-        z[rows, place.reshape(n, -1)] = unit
-        left = np.zeros(flat)
+        left, right, gram = np.zeros(flat), np.zeros(flat), np.zeros((flat, flat))
         np.add.at(left, place.reshape(-1), 1)
-        right = np.zeros(flat)
         np.add.at(right, place.reshape(-1), rest.reshape(-1))
-        gram = (eta - 1) * (z.T @ z).astype(np.float64) + np.diag(left + 1e-6)
-        right += (eta - 1) * z.T @ (rest.reshape(n, -1) * unit).sum(1)
+        along = (rest.reshape(n, -1) * unit).sum(1)
+        for k in range(0, n, 1024):  # the unit vectors, spread over the words of their codes
+            part = slice(k, k + 1024)
+            z = np.zeros((len(along[part]), flat), np.float32)
+            z[np.arange(len(z))[:, None], place[part].reshape(len(z), -1)] = unit[part]
+            gram += z.T @ z
+            right += (eta - 1) * (z.T @ along[part])
+        gram = (eta - 1) * gram + np.diag(left + 1e-6)
         book.words = np.linalg.solve(gram, right + 1e-6 * book.words.reshape(-1)).reshape(m, 16, width)
     return book
 
 
+def share_to_visit(sample: np.ndarray, book: Codebooks, k: int, recall: float, asked: int = 256) -> float:
+    """The least share of cells, in order of their centres' product with a query, that holds `recall` of the k nearest of the sample, over some of its different rows.
+
+    Within a sample the k nearest lie farther off, and so in more cells, than in the whole table: what the share finds there is more.
+    """
+    x = np.pad(sample, ((0, 0), (0, book.centres.shape[1] - sample.shape[1]))).astype(np.float64)
+    own = np.unique(x, axis=0, return_index=True)[1]  # copies ask once
+    own = np.random.default_rng(3).permutation(own)[:asked]
+    q = x[own]
+    products = q @ x.T
+    products[np.arange(len(q)), own] = -np.inf
+    nearest = np.argsort(-products, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    if not nearest.size:
+        return 1.0
+    order = np.argsort(-(q @ book.centres.T), axis=1, kind="stable")
+    turn = np.empty_like(order)
+    np.put_along_axis(turn, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+    turns = np.sort(np.take_along_axis(turn, book.cells(x)[nearest], 1).ravel())
+    return float(turns[min(len(turns) - 1, int(np.ceil(recall * len(turns))) - 1)] + 1) / len(book.centres)
+
+
 def usable(vector: Column, dims: int | None = None) -> Column:
     """Not null, not all zero, every component a finite number (and as many as dims)."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0)
@@ -95,18 +118,24 @@ def usable(vector: Column, dims: int | None = None) -> Column:
     return ok if dims is None else ok & (F.size(vector) == dims)
 
 
-def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, cell_rows: int = 4096, probes: float = 1.0, rerank: int = 100, eta: float = 4.0, width: int = 2, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, cell_rows: int = 4096, recall: float = 0.985, probes: float | None = None, rerank: int = 200, eta: float = 4.0, width: int = 2, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where `queries` holds, the k nearest others found by largest inner product.
 
     The index is fitted on at most sample_rows rows drawn by hash; every row is coded and kept in the cell of its nearest centre, about one for
-    cell_rows rows and at most 4,096. A query visits all cells, or with `probes` under 1 that share of them, those whose centres have the largest product
-    with it, and more if those hold too few rows. Within a cell, rows and queries are dealt into blocks of about `block` and `block`/4, so
-    a cell that holds most rows is many tasks. A block's scan sums table entries by four-bit codes, takes the rows of the `rerank` best distinct
-    codes, however many share one, and scores those exactly, in double precision on the given vectors; ties go to the smaller id. Null, zero, non-finite vectors and those of another length than the
-    commonest take no part; rows with one id are candidates each; an empty table gives no rows; other columns are ignored.
+    cell_rows rows and at most one for 16 rows of the sample. A query visits the cells whose centres have the largest product with it, `probes` of them, or
+    as many as hold `recall` of the neighbours within the sample, and more if those hold too few rows. Vectors that cluster so leave most cells out, others few or
+    none. Within a cell, rows and queries are dealt into blocks of about `block` and `block`/4, so a cell that holds most rows is many tasks. A block's
+    scan sums table entries by four-bit codes, takes the rows of the `rerank` best distinct codes, however many share one, and scores those exactly, in
+    double precision on the given vectors (they lie beside their codes: a block is 2 MB of vectors of 64 floats, while the `rerank` ids of each of its queries would be
+    twice that to carry on); ties go to the smaller id.
+
+    Null, zero, non-finite vectors and those of another length than the commonest take no part. Rows that share an id are one candidate and one query: the largest
+    product of any of their vectors counts, and an id is never its own neighbour. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    double = dict(vectors.dtypes)[vector_col] != "array<float>"
+    kind = np.float64 if double else np.float32
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>" if double else "array<float>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     out_schema = "query_id long, rank int, vec_id long, score double"
@@ -115,38 +144,36 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
     dims, n = sizes["d"], sizes["count"]
     rows = rows.where(F.size("v") == dims)
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))) < sample_rows).select("v").limit(sample_rows)
-    sample = np.array([r["v"] for r in drawn.toLocalIterator()], np.float32).reshape(-1, dims)
+    sample = np.array([r["v"] for r in drawn.toLocalIterator()], np.float64).reshape(-1, dims)
     if not len(sample):
-        sample = np.array([rows.first()["v"]], np.float32)
-    n_cells = max(1, min(4096, round(n / cell_rows)))
-    book = fit(sample, n_cells, width, eta)
+        sample = np.array([rows.first()["v"]], np.float64)
+    book = fit(sample, max(1, min(max(1, len(sample) // 16), round(n / cell_rows))), width, eta)
     n_cells = len(book.centres)
-    shared = spark.sparkContext.broadcast(book)  # at most 4,096 centres and 16 words a subspace
+    share = probes if probes is not None else share_to_visit(sample, book, k, recall)
+    shared = spark.sparkContext.broadcast(book)  # a sixteenth of the sample at most, and 16 words a subspace
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         pad = book.centres.shape[1] - dims
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-            x = np.pad(flat.reshape(-1, dims).astype(np.float64), ((0, 0), (0, pad)))
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims)
+            x = np.pad(flat.astype(np.float64), ((0, 0), (0, pad)))
             cell = book.cells(x)
             codes = book.codes(x, cell)
             packed = codes[:, 0::2] | (np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))[:, 1::2] << 4)
             blobs = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
-            cols = [b.column(0), b.column(2), pa.array(cell.astype(np.int32)), blobs(packed), blobs(flat.reshape(-1, dims))]
+            cols = [b.column(0), b.column(2), pa.array(cell.astype(np.int32)), blobs(packed), blobs(flat)]
             yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "asks", "cell", "codes", "raw"])
 
     coded = stored(arrow_map(rows, code, "vec_id long, asks boolean, cell int, codes binary, raw binary"))
-    counts = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row a cell, at most 4,096
+    counts = {r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row a cell
     in_cell = np.array([counts.get(c, 0) for c in range(n_cells)])
-    visits = max(1, int(np.ceil(probes * n_cells)))
+    visits = max(1, int(np.ceil(share * n_cells - 1e-9)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value.centres[:, :dims]
         for b in batches:
-            if not b.num_rows:
-                continue
-            q = np.array([np.frombuffer(r, np.float32) for r in b.column(1).to_pylist()], np.float64)
+            q = np.array([np.frombuffer(r, kind) for r in b.column(1).to_pylist()], np.float64)
             order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
             held = np.cumsum(in_cell[order], axis=1)
             for i, vec, cells_, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), order, held):
@@ -159,25 +186,25 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
     asked = stored(asked)
     per_query = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (block // 4)).cast("int").alias("q_blocks"))
     deal = F.broadcast(per_cell.select("cell", "blocks").join(per_query, "cell"))  # one row a cell
-    left = asked.join(deal, "cell").select("cell", F.pmod(F.xxhash64("query_id"), "q_blocks").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cb"), "query_id", "q")
-    right = coded.join(deal, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("cb"), "vec_id", "codes", "raw")
+    # a row's place, not its id, deals it out: rows of one id may be any part of the table
+    left = asked.join(deal, "cell").select("cell", F.pmod(F.xxhash64("query_id", "q"), "q_blocks").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cb"), "query_id", "q")
+    right = coded.join(deal, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), F.pmod(F.monotonically_increasing_id(), "blocks").cast("int").alias("cb"), "vec_id", "codes", "raw")
 
     def scan(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(qs) or not len(cs):
             return empty
         book = shared.value
-        cs = cs.sort_values("vec_id", kind="stable")
         ids = cs["vec_id"].to_numpy()
         packed = np.frombuffer(b"".join(cs["codes"]), np.uint8).reshape(len(cs), -1)
-        raw = np.frombuffer(b"".join(cs["raw"]), np.float32).reshape(len(cs), dims)
+        raw = np.frombuffer(b"".join(cs["raw"]), kind).reshape(len(cs), dims)
         m = len(book.words)
         _, firsts, code_of = np.unique(packed.view(f"V{packed.shape[1]}").ravel(), return_index=True, return_inverse=True)
         packed = packed[firsts]  # rows of one code get one score
         codes = np.empty((len(packed), 2 * packed.shape[1]), np.uint8)
         codes[:, 0::2], codes[:, 1::2] = packed & 15, packed >> 4
         codes = codes[:, :m].T.copy()
-        q = np.frombuffer(b"".join(qs["q"]), np.float32).reshape(len(qs), dims)
+        q = np.frombuffer(b"".join(qs["q"]), kind).reshape(len(qs), dims)
         padded = np.pad(q, ((0, 0), (0, m * book.width - dims))).astype(np.float64).reshape(len(q), m, book.width)
         tables = np.einsum("qmw,mkw->qmk", padded, book.words).astype(np.float32)
         take = min(len(packed), rerank)
@@ -193,11 +220,13 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
                 chosen = np.arange(len(ids))
             chosen = chosen[ids[chosen] != query_id]
             exact = (raw[chosen].astype(np.float64) * row.astype(np.float64)).sum(1)
-            best = np.lexsort((ids[chosen], -exact))[:k]
+            order = np.lexsort((ids[chosen], -exact))
+            best = order[np.sort(np.unique(ids[chosen][order], return_index=True)[1])[:k]]  # an id counts once, with its best
             parts.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen][best], "score": exact[best]}))
         return pd.concat(parts, ignore_index=True) if parts else empty
 
     keys = ["cell", "qb", "cb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, vec_id long, score double")
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -55,13 +55,13 @@ def test_language(spark):
     rows = [(k, " ".join(rng.choice(vocab[lang]) for _ in range(40)), lang, "srcA", 7) for k in range(80) for lang in [("xx", "yy")[k % 2]]]
     rows += [(100, None, None, "srcA", 7), (101, "", "xx", None, 7), (102, "1234 !!", "yy", "srcB", 7), (103, "kato " * 20000, None, "srcB", 7), (4, rows[4][1], "xx", "srcA", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, p int")
-    pages = spark.createDataFrame([(1, "http://h.a.yy/xx/104.html", '<HTML class="q" LANG="YY-at">'), (2, None, None), (3, "http://h.a.yy/xx/3", "<p>")], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://h.a.yy/xx/104.html", '<HTML class="q" LANG="YY-at">'), (2, None, None), (3, "http://h.a.yy/xx/3", "<p>"), (4, "http://g.a.yy/yy/3", "<p>")], "page_id long, url string, html string")
     evidence = language.page_evidence(pages, queries.document_number(F.col("path")))
-    assert {(r["doc"], r["host"], r["declared"], r["suffix"]) for r in evidence.collect()} == {(104, "h.a.yy", "yy", "xx"), (3, "h.a.yy", None, "xx")}
+    assert {(r["doc"], r["host"], r["declared"], r["suffix"]) for r in evidence.collect()} == {(104, "h.a.yy", "yy", "xx"), (3, "h.a.yy", None, "xx"), (3, "g.a.yy", None, "yy")}
     got = language.identify(docs, language.fit(docs), evidence).collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == len(rows) and all(by[k]["lang"] == ("xx", "yy")[k % 2] and by[k]["kept"] for k in range(80)) and by[103]["lang"] == "xx"
-    assert not any(by[k]["kept"] for k in (100, 101, 102)) and by[100]["lang"] is None
+    assert not any(by[k]["kept"] for k in (100, 101, 102)) and by[100]["lang"] is None and by[3]["pages"] == 2 and by[5]["pages"] == 0
     assert language.identify(docs.limit(0), language.fit(docs)).count() == 0
     assert not any(r["kept"] for r in language.identify(docs, language.fit(docs.limit(0))).collect())
 

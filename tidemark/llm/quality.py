@@ -67,7 +67,7 @@ class Model:
 
     def features(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.c_[np.ones(len(z)), np.sqrt(2 / len(self.phase)) * np.cos(z @ self.omega + self.phase), z]
+        return np.c_[np.ones(len(z)), np.sqrt(2 / len(self.phase)) * np.cos(z @ self.omega + self.phase)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.features(x) @ self.weights, self.steps, self.shares)
@@ -84,21 +84,22 @@ def isotonic(at: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def fit(described: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", size: int = 256, gamma: float = 0.15, ridge: float = 1e-3, folds: int = 4, bins: int = 1000, parts: int = 32, seed: int = 11) -> Model:
+def fit(described: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", size: int = 256, gamma: float = 0.15, ridge: float = 1e-3, folds: int = 4, bins: int = 1000, part_rows: int = 5000, seed: int = 11) -> Model:
     """Weights from all labelled rows, by sums over partitions.
 
-    Each partition adds up the products of its rows' features, one sum for each of `folds` folds; the driver gets their totals, whose size is fixed,
+    The rows are dealt into partitions of about part_rows. Each partition adds up the products of its rows' features, one sum for each of `folds` folds; the driver gets their totals, whose size is fixed,
     and solves for the weights of all rows and of all but each fold. The scores of each fold under the latter, counted in `bins` bins, give the isotonic
     calibration. With one class only, or no labelled row, every score is that class's share (0.5 for none).
     """
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
+    parts = max(1, -(-y.count() // part_rows))  # each sends sums of a fixed size
     rows = stored(described.dropDuplicates([id_col]).join(y, id_col).select("x", "y", F.pmod(F.xxhash64(id_col), F.lit(folds)).cast("int").alias("fold")).repartition(parts))
     first = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).first()
     n, ones = first["n"], first["ones"] or 0
     dims = len(statistics(""))
     rng = np.random.default_rng(seed)
     omega, phase = rng.normal(0, np.sqrt(2 * gamma / dims * 4), (dims, size)), rng.uniform(0, 2 * np.pi, size)
-    width = 1 + size + dims
+    width = 1 + size
     if not n or ones in (0, n):
         share = ones / n if n else 0.5
         return Model(np.zeros(dims), np.ones(dims), omega, phase, np.zeros(width), np.array([0.0]), np.array([share]))

@@ -36,15 +36,16 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """id, fp (the 64 bits as a signed long) per row of docs; null texts count as empty."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tag: Column | None = None) -> DataFrame:
+    """id, fp (the 64 bits as a signed long) per row of docs, and tag (a long) where one is given; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py() or "", shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], names=[id_col, "fp", "tag"][: b.num_columns])
 
-    return arrow_map(docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias("_text")), run, f"{id_col} long, fp long")
+    more = [] if tag is None else [tag.alias("tag")]
+    return arrow_map(docs.select(docs[id_col].cast("long").alias(id_col), docs[text_col].cast("string").alias("_text"), *more), run, f"{id_col} long, fp long" + ", tag long" * len(more))
 
 
 class Ring:
@@ -213,18 +214,18 @@ def near_links(distinct_fps: DataFrame, ring: Ring, bounds: Bounds = Bounds()) -
     return links
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
-    """id, fingerprint (16 hex digits), component_id (the smallest id that links reach) for every row of docs.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, tag: Column | None = None) -> DataFrame:
+    """id, fingerprint (16 hex digits), component_id (the smallest id that links reach) for every row of docs, and the row's tag where one is given.
 
     Two rows are linked if their fingerprints differ in at most `budget` bits. Null and empty texts have fingerprint zero and are linked like
     others; repeated ids give repeated rows; an empty table gives none; other columns are ignored. Copies are first reduced to one
     row for each fingerprint, so a group of equal texts, however large, is one node, and only distinct fingerprints are compared.
     """
-    prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, tag=tag))
     nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     groups = components(near_links(nodes, Ring(budget)))
     placed = stored(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of = salted(placed, "component", smallest).select("fp", "component_id")
     of = salted(prints, "fp", of, counts=nodes.select("fp", "n"))
-    return of.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return of.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *prints.columns[2:])

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and leave other columns out. Null texts count as
 empty: they have no language, so the first stage drops them, and no stage fails on them. The first three stages drop rows without a doc_id. Rows that
-share a doc_id stay together until the near-duplicates stage keeps one. An empty table gives an empty result.
+share a doc_id stay together in the first two stages; the third tells their texts apart. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import packing, pii, quality, simhash
 from tidemark.llm.queries import identified
 from tidemark.llm.shared import fold, read, stored, tokenizer_path
+from tidemark.session import discard, mark
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,9 +37,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates; of rows with one id, one."""
-    groups = simhash.near_duplicates(docs)
-    return _kept(docs, groups.where("doc_id = component_id").select("doc_id").distinct()).dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates, that of the smallest doc_id, and of those of the smallest hash of the text.
+
+    Shingles of five words, and fingerprints that differ in six bits or fewer. Rows of one doc_id with different texts are rows of their own.
+    """
+    docs = docs.select(*COLUMNS).where("doc_id is not null").withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    groups = simhash.near_duplicates(docs, shingle=5, budget=6, tag=F.col("tag"))
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "tag")).alias("first")).select("first.doc_id", "first.tag")
+    return docs.join(first, ["doc_id", "tag"], "left_semi").dropDuplicates(["doc_id", "tag"]).select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of sf_dir; each stage's result is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    """All stages on the documents of sf_dir; each stage's result is written to the shared folder and read again, and what came before it is deleted."""
+    docs, began = read(spark, sf_dir, "documents"), mark()
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+        discard(spark, began, keep=[docs])
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -237,7 +237,7 @@ def test_grids_and_rasters(spark):
     w = one(spark, grids.window(bounds, aff, F.lit(10), F.lit(10)))[0]
     assert tuple(w) == (0, 4, 0, 2)
     near = grid.nearest_curvilinear(spark.createDataFrame([(1, "g", 1.1, 5.2), (2, "g", 50.0, 5.0)], "id int, path string, lat double, lon double"), grids.to_long(packed), key="id")
-    assert {r["id"]: r["value"] for r in near.collect()} == {1: 1.0, 2: None}
+    assert {r["id"]: r["value"] for r in near.collect()} == {1: 1.0, 2: 4.0}  # however far, the nearest cell answers
 
 
 def test_masks_fall_back(spark):
@@ -295,3 +295,89 @@ def test_last_of_ties_and_nulls(spark):
     for order in (rows, rows[::-1]):
         df = spark.createDataFrame(order, "k int, pos int, v string, w int").repartition(3)
         assert sorted(tuple(r) for r in asof.last_of(df, "k", "pos").collect()) == [(1, "c", 1), (2, "m", None), (3, "q", None)]
+
+
+def test_bilinear_against_loops(spark):
+    rng = np.random.default_rng(3)
+    for h, w, a, b in ((8, 8, 4, 4), (6, 9, 5, 3), (4, 4, 7, 9), (1, 5, 2, 2)):
+        x = rng.normal(size=(h, w))
+
+        def along(m, out):
+            n, rows = m.shape[0], []
+            for k in range(out):
+                centre, reach = (k + 0.5) * n / out, max(1.0, n / out)
+                weights = np.array([max(0.0, 1 - abs((i + 0.5 - centre) / reach)) for i in range(n)])
+                lo, hi = max(0, int(centre - reach + 0.5)), min(n, int(centre + reach + 0.5))
+                weights[:lo] = weights[hi:] = 0
+                rows.append(weights @ m / weights.sum())
+            return np.array(rows)
+
+        want = along(along(x.T, b).T, a)
+        df = spark.createDataFrame([(x.ravel().tolist(),)], "v array<double>")
+        got = df.select(raster.resized_bilinear(F.col("v"), h, w, a, b)).first()[0]
+        assert np.allclose(np.array(got).reshape(a, b), want)
+    assert one(spark, raster.model_input(F.array(F.lit(0), F.lit(255)), 2))[0] == [-1.0, 1.0, -1.0, 1.0]
+
+
+def test_rings(spark):
+    ring = lambda pts: F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in pts])
+    box = tuple(F.lit(v) for v in (0.0, 0.0, 2.0, 2.0))
+    triangle, far, around = ring([(1, 1), (3, 1), (1, 3)]), ring([(5, 5), (6, 5), (6, 6)]), ring([(-9, -9), (9, -9), (9, 9), (-9, 9), (-9, -9)])
+    got = one(spark, *[geo.ring_area(geo.ring_in_box(r, box)) for r in (triangle, far, around)], geo.ring_area(triangle), geo.ring_in_use(far), geo.ring_in_use(geo.ring_in_box(far, box)))
+    assert np.allclose(got[:4], [1.0, 0.0, 4.0, 2.0]) and got[4:] == (True, False)
+
+
+def test_areas_of_both_kinds(spark, tmp_path):
+    square = "[[[0,0],[1,0],[1,1],[0,0]]]"
+    text = '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":%s}},{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[%s,%s]}},{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]}}]}' % (square, square, square)
+    (tmp_path / "a.geojson").write_text(text)
+    got = catalogue.read_area(spark, str(tmp_path / "a.geojson")).collect()
+    assert len(got) == 3 and len({r["feature"] for r in got}) == 2 and got[0]["ring"][1] == [1.0, 0.0]
+
+
+def test_stats_and_headers(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "target_stats.json").write_text('{"mu": 0.5, "sigma": 2.0}')
+    assert tables.read_stats(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).first()[:] == (0.5, 2.0, 1)
+    assert tables.read_stats(spark, [str(tmp_path / "a")]).count() == 0
+    for k in range(6):
+        (tmp_path / f"{k}.csv").write_text(f"a,b\n{k},x\n" if k % 2 else f"b,c\ny,{k}\n")
+    got = tables.read_csv_glob(spark, str(tmp_path / "*.csv"))
+    assert sorted(got.columns) == ["a", "b", "c", "source_file"]
+    assert sorted((r["a"] or "", r["b"], r["c"] or "") for r in got.collect()) == sorted([("1", "x", ""), ("3", "x", ""), ("5", "x", ""), ("", "y", "0"), ("", "y", "2"), ("", "y", "4")])
+
+
+def test_written_tables_are_discarded(spark):
+    from tidemark.session import discard, mark, written
+
+    at = mark()
+    a, b = written(spark.range(5)), written(spark.range(7))
+    discard(spark, at, keep=[b])
+    assert b.count() == 7
+    with pytest.raises(Exception):
+        a.count()
+    discard(spark, at)
+
+
+def test_numbers_of_ties_and_skew(spark):
+    rows = [(k % 3 if k % 2 else 0, k) for k in range(2000)] + [(0, 7)] * 500
+    got = ranking.numbered(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a"]).collect()
+    assert sorted(r["id"] for r in got) == list(range(1, 2501))
+    by = sorted((r["id"], r["a"]) for r in got)
+    assert [a for _, a in by] == sorted(a for _, a in by)
+
+
+def test_linear_model_file(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([0.0, -1.0],)], "v array<double>")
+    got = ml.score_onnx(df, ml.linear_onnx([0.5, 0.25], 1.0), "v").collect()
+    assert [round(r["pred"], 6) for r in got] == [2.0, 0.75]
+
+
+def test_far_points_of_curved_grids(spark):
+    rng = np.random.default_rng(1)
+    cells = [("p", i, j, float(i + rng.random()), float(j + rng.random()), float(i * 9 + j)) for i in range(6) for j in range(6)]
+    points = [(k, "p", float(rng.uniform(-60, 60)), float(rng.uniform(-170, 170))) for k in range(60)] + [(99, "q", 0.0, 0.0)]
+    got = {r["k"]: r["value"] for r in grid.nearest_curvilinear(spark.createDataFrame(points, "k int, path string, lat double, lon double"), spark.createDataFrame(cells, "path string, i int, j int, lat double, lon double, value double"), key="k").collect()}
+    assert got[99] is None
+    for k, _, lat, lon in points[:-1]:
+        assert got[k] == min(cells, key=lambda c: (np.hypot(c[3] - lat, c[4] - lon), c[1], c[2]))[5]

@@ -8,7 +8,8 @@ import pytest
 
 from tidemark.plans import registry
 
-SF = "/root/testdata/sf0.001"
+#: Large enough that range boundaries are drawn from samples.
+SF = "/root/testdata/sf0.01"
 NAMES = sorted(registry.queries())
 
 

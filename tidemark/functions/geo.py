@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -126,3 +127,46 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
         lambda acc, i: acc + (lambda p, q: F.when(((p[1] > y) != (q[1] > y)) & (x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0]), 1).otherwise(0))(F.element_at(ring, i), F.element_at(ring, (i % n + 1).cast("int"))),
     )
     return crossings % 2 == 1
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a ring of array<array<double>> vertices, closed or not, whichever way round."""
+    n = F.size(ring)
+    cross = lambda p, q: p[0] * q[1] - q[0] * p[1]
+    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + cross(F.element_at(ring, i), F.element_at(ring, (i % n + 1).cast("int"))))
+    return F.when(n > 2, F.abs(total) / 2).otherwise(0.0)
+
+
+def ring_in_box(ring: Column, box: tuple[Column, ...]) -> Column:
+    """The part of a ring within (xmin, ymin, xmax, ymax), cut side by side; empty where they do not meet. Exact for convex rings; a concave one that falls into
+    pieces has them joined along the box's sides, which leaves its area right."""
+    bind = lambda v, f: F.transform(F.array(v), f)[0]
+    ring = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    for axis, limit, above in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
+        ring = bind(ring, _cut(axis, limit, above))
+    return ring
+
+
+def _cut(axis: int, limit: Column, above: bool) -> Callable[[Column], Column]:
+    """Cuts a ring at a line across an axis, keeping what is above it or below."""
+    inside = lambda p: (p[axis] >= limit) if above else (p[axis] <= limit)
+
+    def crossing(p: Column, q: Column) -> Column:
+        t = (limit - p[axis]) / (q[axis] - p[axis])
+        other = p[1 - axis] + t * (q[1 - axis] - p[1 - axis])
+        return F.array(limit.cast("double"), other) if axis == 0 else F.array(other, limit.cast("double"))
+
+    def cut(r: Column) -> Column:
+        def from_(p: Column, i: Column) -> Column:
+            q = F.element_at(r, ((i + 1) % F.size(r) + 1).cast("int"))
+            stay = F.when(inside(p), F.array(p)).otherwise(F.array().cast("array<array<double>>"))
+            return F.when(inside(p) != inside(q), F.concat(stay, F.array(crossing(p, q)))).otherwise(stay)
+
+        return F.flatten(F.transform(r, from_))
+
+    return cut
+
+
+def ring_in_use(ring: Column) -> Column:
+    """Whether a ring is there, has three vertices or more, and an area."""
+    return F.coalesce((F.size(ring) > 2) & (ring_area(ring) > 0), F.lit(False))

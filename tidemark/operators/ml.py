@@ -46,6 +46,27 @@ def classify(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> Dat
     return out.withColumn("_p", p).select(*df.columns, F.col("_p").alias("probability"), (F.col("_p") > threshold).cast("int").alias("predicted"))
 
 
+def linear_onnx(weights: Sequence[float], bias: float = 0.0) -> bytes:
+    """An ONNX model file of one linear unit: x (rows, len(weights)) to y (rows, 1). Field numbers are those of the format."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    number = lambda field, n: varint(field << 3) + varint(n)
+    block = lambda field, b: varint(field << 3 | 2) + varint(len(b)) + b
+    text = lambda field, s: block(field, s.encode())
+    tensor = lambda name, dims, values: b"".join(number(1, d) for d in dims) + number(2, 1) + text(8, name) + block(9, np.asarray(values, "<f4").tobytes())
+    dims = lambda n: block(1, text(2, "rows")) + block(1, number(1, n))
+    value = lambda name, n: text(1, name) + block(2, block(1, number(1, 1) + block(2, dims(n))))
+    node = lambda op, ins, out: b"".join(text(1, i) for i in ins) + text(2, out) + text(4, op)
+    graph = block(1, node("MatMul", ["x", "w"], "z")) + block(1, node("Add", ["z", "b"], "y")) + text(2, "linear")
+    graph += block(5, tensor("w", [len(weights), 1], weights)) + block(5, tensor("b", [1], [bias])) + block(11, value("x", len(weights))) + block(12, value("y", 1))
+    return number(1, 8) + block(7, graph) + block(8, text(1, "") + number(2, 13))
+
+
 def score_onnx(df: DataFrame, model: bytes, column: str, *, shape: Sequence[int] | None = None, output: str = "pred", inverse: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """df with the model's first output for an array column; the session opens once a task. Needs onnxruntime on the executors."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # one model file

@@ -100,6 +100,43 @@ def stretched(values: Column, low: float = 0.02, high: float = 0.98) -> Column:
     return bound(bound(good, limits), lambda q: F.transform(values, lambda v: numeric.to_byte(v.cast("double"), q["a"], F.greatest(q["b"], q["a"] + 1e-6))))
 
 
+def _weights(n: int, out: int) -> list[tuple[int, list[float]]]:
+    """For each of out places the first of n source places and the weights of those from it on: a triangle of one pixel, wider where the image shrinks."""
+    scale, rows = n / out, []
+    support = max(1.0, scale)
+    for k in range(out):
+        centre = (k + 0.5) * scale
+        first, last = max(0, int(centre - support + 0.5)), min(n, int(centre + support + 0.5))
+        w = [max(0.0, 1 - abs((x + 0.5 - centre) / support)) for x in range(first, last)]
+        rows.append((first, [v / sum(w) for v in w]))
+    return rows
+
+
+def resized_bilinear(band: Column, height: int, width: int, out_h: int, out_w: int) -> Column:
+    """A flat band of height x width resampled to out_h x out_w, columns first and then rows. Weights are constants of the plan."""
+
+    def mixed(first: Column, w: Column, at: Callable[[Column], Column]) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - 1)
+        return F.aggregate(places, F.lit(0.0), lambda a, x: a + F.element_at(w, x + 1) * at(first + x).cast("double"))
+
+    def table(n: int, out: int) -> Column:
+        return F.array(*[F.struct(F.lit(f).alias("f"), F.array(*map(F.lit, w)).alias("w")) for f, w in _weights(n, out)])
+
+    def rows(b: Column, across: Column, down: Column) -> Column:
+        lines = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda i: F.transform(across, lambda c: mixed(c["f"], c["w"], lambda j: F.element_at(b, (i * width + j + 1).cast("int")))))
+        pick = lambda g, k: F.transform(down, lambda r: mixed(r["f"], r["w"], lambda i: F.element_at(F.element_at(g, (i + 1).cast("int")), (k + 1).cast("int"))))
+        by_column = lambda g: F.transform(F.sequence(F.lit(0), F.lit(out_w - 1)), lambda k: pick(g, k))
+        turned = lambda cols: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(out_h - 1)), lambda i: F.transform(cols, lambda c: F.element_at(c, (i + 1).cast("int")))))
+        return bound(lines, lambda g: bound(by_column(g), turned))
+
+    return bound(band, lambda b: bound(table(width, out_w), lambda across: bound(table(height, out_h), lambda down: rows(b, across, down))))
+
+
+def model_input(gray: Column, channels: int = 3) -> Column:
+    """A gray band of 0 to 255 as -1 to 1, repeated for each channel."""
+    return F.flatten(F.array_repeat(F.transform(gray, lambda x: (x / 255.0 - 0.5) / 0.5), channels))
+
+
 def dilated(pixels: DataFrame, *keys: str) -> DataFrame:
     """Distinct pixels (keys, i, j) with their eight neighbours."""
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))

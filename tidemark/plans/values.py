@@ -257,7 +257,10 @@ def _dets(spark, sf):
     return rows.select(F.col("l_orderkey").alias("image_id"), F.lit(1).alias("category_id"), "x1", "y1", "x2", "y2", (F.col("l_extendedprice") / 100000).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, x1, y1) AS k FROM (SELECT l_orderkey AS image_id, l_extendedprice / 100000 AS score, l_quantity * 10 AS x1, l_discount * 1000 AS y1 FROM lineitem) WHERE score >= 0.30),
+ s AS (SELECT DISTINCT image_id, 0::bigint AS k, []::STRUCT(x1 DOUBLE, y1 DOUBLE, score DOUBLE)[] AS kept FROM b UNION ALL SELECT b.image_id, b.k, CASE WHEN len(kept) >= 20 OR
+ len(list_filter(kept, lambda t: greatest(0, 50 - abs(t.x1 - b.x1)) * greatest(0, 40 - abs(t.y1 - b.y1)) / (4000 - greatest(0, 50 - abs(t.x1 - b.x1)) * greatest(0, 40 - abs(t.y1 - b.y1))) > 0.50)) > 0 THEN kept ELSE list_append(kept, {'x1': b.x1, 'y1': b.y1, 'score': b.score}) END FROM s JOIN b ON b.image_id = s.image_id AND b.k = s.k + 1),
+ l AS (SELECT image_id, arg_max(kept, k) AS kept FROM s GROUP BY image_id) SELECT image_id, i::int AS rank, kept[i].score AS score, kept[i].x1 AS x1, kept[i].y1 AS y1, kept[i].x1 + 50 AS x2, kept[i].y1 + 40 AS y2 FROM l, range(1, 21) t(i) WHERE i <= len(kept)""")
 def q_nms(spark, sf):
     return detection.suppressed(_dets(spark, sf), ["image_id"])
 
@@ -317,11 +320,3 @@ def q_stream_alert(spark, sf):
     q = alerts(stream, F.col("value"), 200.0).select("event_id", "pred", "alert").writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
     q.awaitTermination()
     return spark.read.parquet(f"{out}/rows")
-
-
-@query("SELECT year(ts)::int AS year, ((dayofyear(ts) - 1) // 8)::int AS bin, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
-def q_stream_windows(spark, sf):
-    from tidemark.streaming.jobs import year_windows
-
-    w = year_windows(table(spark, sf, "events"), "ts", "value")
-    return w.groupBy("year", "bin").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))

@@ -38,11 +38,14 @@ def product_files(listing: DataFrame, *, period: str = "8D", products: dict[str,
 
 
 def read_area(spark: SparkSession, path: str) -> DataFrame:
-    """feature, ring (array of points) of the outer rings of a GeoJSON feature or collection of polygons."""
-    geometry = "struct<type:string,coordinates:array<array<array<double>>>>"
+    """feature, ring (array of points) of the outer rings of a GeoJSON feature or collection; a multipolygon has a row for each of its polygons."""
+    geometry = "struct<type:string,coordinates:string>"  # nested differently in each type, so read as text first
     doc = spark.read.schema(f"type string, geometry {geometry}, features array<struct<type:string,geometry:{geometry}>>").option("multiLine", True).json(path)
-    found = doc.select(F.explode(F.coalesce(F.transform("features", lambda f: f["geometry"]), F.array("geometry"))).alias("g"))
-    return found.where("g is not null and g.type = 'Polygon'").select(F.monotonically_increasing_id().alias("feature"), F.col("g.coordinates")[0].alias("ring"))
+    found = doc.select(F.explode(F.coalesce(F.transform("features", lambda f: f["geometry"]), F.array("geometry"))).alias("g")).where("g is not null")
+    found = found.select(F.monotonically_increasing_id().alias("feature"), "g.type", "g.coordinates")
+    one = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", "array<array<array<double>>>")))
+    many = F.when(F.col("type") == "MultiPolygon", F.from_json("coordinates", "array<array<array<array<double>>>>"))
+    return found.select("feature", F.explode(F.coalesce(one, many)).alias("polygon")).select("feature", F.col("polygon")[0].alias("ring"))
 
 
 def extent(rings: DataFrame, ring: str = "ring") -> DataFrame:

@@ -108,3 +108,24 @@ def point_sample(x: Column, y: Column, band: Column, mask: Column, affine: Colum
     inside = r.between(0, height - 1) & c.between(0, width - 1)
     v = F.when(inside, F.try_element_at(band, at)).cast("double")
     return F.when(inside & (F.try_element_at(mask, at) > 0) & finite(v), v)
+
+
+def sample_any(points: DataFrame, rasters: DataFrame, cells: DataFrame, *, key: str, radius: int = 7) -> DataFrame:
+    """key, value of points (key, path, lon, lat) by the suffix of their file: .tif and .tiff from rasters, .nc from gridded cells, null for others and for what is not there.
+
+    rasters: path, band, mask (flat arrays), affine, height, width, epsg (4326 for degrees, else a UTM zone; null samples nothing). cells: path, i, j, lat, lon, value.
+    """
+    from tidemark.functions.geo import to_utm
+    from tidemark.functions.names import suffix
+    from tidemark.operators import grid
+
+    kind = F.lower(suffix(F.col("path")))
+    flat = points.where(kind.isin(".tif", ".tiff")).join(rasters, "path", "left")
+    east, north = to_utm(F.col("lon"), F.col("lat"), F.col("epsg"))
+    degrees = F.col("epsg") == 4326
+    x, y = F.when(degrees, F.col("lon")).otherwise(east), F.when(degrees, F.col("lat")).otherwise(north)
+    out = flat.select(key, point_sample(x, y, F.col("band"), F.col("mask"), F.col("affine"), F.col("height"), F.col("width")).alias("value"))
+    placed = grid.place(points.where(kind == ".nc").select(key, "path", "lon", "lat"), cells)
+    found = grid.sample(placed, cells, key=key, radius=radius)
+    rest = points.where(~kind.isin(".tif", ".tiff")).select(key).join(found, key, "left")
+    return out.unionByName(rest.select(key, "value"))

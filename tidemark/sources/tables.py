@@ -127,3 +127,20 @@ def markdown(df: DataFrame) -> DataFrame:
     """line of a Markdown table's body for each row; nulls are empty."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def split_manifest(files: DataFrame, root: str, *, path: str = "path", split: str = "split") -> DataFrame:
+    """src, dst of copying files into a folder for each split; the copy itself is the storage's business."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return files.select(F.col(path).alias("src"), F.concat_ws("/", F.lit(root.rstrip("/")), split, name).alias("dst"))
+
+
+def read_stats(spark: SparkSession, folders: Sequence[str], name: str = "target_stats.json") -> DataFrame:
+    """mu, sigma, log_target (1 where it is missing) from the first of the folders that has the file; no row where none has."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    schema = "mu double, sigma double, log_target int"
+    for folder in folders:
+        place = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if place.getFileSystem(conf).exists(place):
+            return spark.read.schema(schema).option("multiLine", True).json(place.toString()).fillna({"log_target": 1})
+    return spark.createDataFrame([], schema)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.calendars import year_bin
 
@@ -19,6 +21,7 @@ def alerts(stream: DataFrame, score: Column, threshold: float = 2.0) -> DataFram
 def year_windows(stream: DataFrame, time: str, value: str, *, days: int = 8, late: str = "8 days") -> DataFrame:
     """year, bin, n and total by year-anchored bins. Streams keep a bin's state until the watermark has passed its day windows."""
     year, k = year_bin(F.col(time), days)
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     base = stream.withWatermark(time, late) if stream.isStreaming else stream
     return base.groupBy(F.window(time, "1 day").alias("day"), year.alias("year"), k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
@@ -31,3 +34,41 @@ def enrich_arrivals(stream: DataFrame, enrich: Callable[[DataFrame], DataFrame],
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def latest(windows: DataFrame, out: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """Runs a stream of aggregates in update mode to the end of what is there, each batch's updates written under its number, and gives the last update of each key."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    windows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    found = windows.sparkSession.read.parquet(out)
+    rest = [c for c in windows.columns if c not in keys]
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return last.select(*keys, "_r.*")
+
+
+def plateau_states(stream: DataFrame, key: str, order: str, value: str, *, patience: int = 3, factor: float = 0.5) -> DataFrame:
+    """key, order, value and lr_scale for every row of a stream: each key's best, rows without a new best, and rate are state that goes from batch to batch.
+
+    Rows of a batch are taken by order; a row that comes in a later batch counts as later. The rate is multiplied by factor after more than patience rows
+    without a new best.
+    """
+    kinds = dict(stream.dtypes)
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {value} double, lr_scale double"
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best, bad, scale = state.get if state.exists else (float("inf"), 0, 1.0)
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
+        out = []
+        for at, v in zip(rows[order], rows[value]):
+            better = v < best
+            best, bad = (v, 0) if better else (best, bad + 1)
+            if bad > patience:
+                scale, bad = scale * factor, 0
+            out.append((name[0], at, float(v), scale))
+        state.update((float(best), int(bad), float(scale)))
+        yield pd.DataFrame(out, columns=[key, order, value, "lr_scale"])
+
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "best double, bad long, scale double", "append", GroupStateTimeout.NoTimeout)

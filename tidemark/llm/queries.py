@@ -11,12 +11,14 @@ from .shared import fold, read, tokenizer_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and near-duplicate groups of all documents: shingles of four words, four differing bits. Rows, nulls and repeats as in near_duplicates()."""
     from .simhash import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold. Rows, nulls and repeats as in toxicity.score()."""
     from .toxicity import classify
 
     out = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
@@ -28,7 +30,10 @@ URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "bl
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels reach a url by the document number at the end of its path: bad is low quality or toxic."""
+    """Verdicts of every page: fixed rules, then mined ones. Labels reach a url by the document number at the end of its path: bad is low quality or toxic.
+
+    Rows, nulls and repeats as in judge().
+    """
     from .urls import judge, parse
 
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -38,6 +43,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 tokens, one row a piece; ids_crc32 is of its ids as little-endian unsigned 32-bit numbers. Rows, nulls and repeats as in pack()."""
     from .packing import pack
 
     pieces = pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -45,9 +51,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of every document; the operator's longest_repeat stays with it."""
     from .repetition import judge
 
-    return judge(read(spark, sf_dir, "documents"))
+    return judge(read(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+#: A word repeat of eight or more is a window of eight words found twice, and one of over a hundred a window of 101.
+OP5_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (SELECT *, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS ws FROM d),
+ w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM s),
+ k AS (SELECT *, CASE WHEN lead(word, 2) OVER o IS NOT NULL THEN concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o) END AS k3,
+ CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o) END AS k8 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ f AS (SELECT doc_id, i, word, k3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, k3) > 1 AS f3, k8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, k8) > 1 AS f8 FROM k),
+ c AS (SELECT doc_id, max(f3::int) OVER (PARTITION BY doc_id ORDER BY i ROWS 2 PRECEDING) AS c3, max(f8::int) OVER (PARTITION BY doc_id ORDER BY i ROWS 7 PRECEDING) AS c8 FROM f),
+ g AS (SELECT doc_id, count(*) AS n_words, sum(c3)::bigint AS n_repeat_words, sum(c8)::bigint AS covered_words FROM c GROUP BY doc_id),
+ l AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, list_slice(ws, i, i + 100) AS run FROM (SELECT doc_id, i FROM f WHERE f8) JOIN s USING (doc_id) WHERE i + 100 <= len(ws)) GROUP BY doc_id, run HAVING count(*) > 1),
+ t AS (SELECT s.doc_id, coalesce(n_words, 0) AS n_words, list_sum(list_transform(ws, lambda x: length(x))) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+ list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(covered_words, 0) AS covered_words, s.doc_id IN (SELECT doc_id FROM l) AS long_ FROM s LEFT JOIN g ON g.doc_id = s.doc_id)
+ SELECT doc_id, n_words::bigint AS n_words, coalesce(word_chars, 0)::bigint AS word_chars, n_symbols::bigint AS n_symbols, (len(ls) - len(list_distinct(ls)))::bigint AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND covered_words <= 0.4::double * n_words AND NOT long_ AS kept, covered_words FROM t"""
 
 
 def document_number(path: Column) -> Column:
@@ -63,10 +85,12 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, its pages and its host. Rows, nulls and repeats as in identify()."""
     return identified(spark, read(spark, sf_dir, "documents"), sf_dir)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document: counts and a digest of the base spans, and all spans. Rows, nulls and repeats as in find()."""
     from .pii import KINDS, find, of_kind, spelled
 
     found = find(read(spark, sf_dir, "documents"))
@@ -75,6 +99,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels outside the held-out fold. Rows, nulls and repeats as in classify()."""
     from .quality import classify
 
     out = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
@@ -82,18 +107,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of what they decode to, for every document. Rows, nulls and repeats as in encode()."""
     from .pieces import encode
 
     return encode(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), texts=False)
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose id is divisible by 20, among all rows. Nulls and repeats as in search()."""
     from .ann import search
 
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents. Nulls and repeats as stated there."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -105,5 +133,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Every operator here hashes, learns or tokenises beyond what SQL expresses; tests/llm holds their brute-force twins."""
-    return {}
+    """SQL of the repetition rules. The other operators hash, learn or tokenise beyond what SQL expresses; tests/llm holds their brute-force twins."""
+    return {"op5_repetition": OP5_SQL}

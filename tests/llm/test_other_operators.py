@@ -201,3 +201,15 @@ def test_pipeline(spark, small):
     empty = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0
+
+
+def test_salted_joins_equal_plain_ones(spark):
+    from tidemark.llm.shared import salted
+
+    rng = random.Random(2)
+    rows = [(k, "hot" if k % 3 == 0 else rng.choice("abcdefg")) for k in range(900)] + [(900, None), (901, "none")]
+    df = spark.createDataFrame(rows, "id long, key string")
+    table = spark.createDataFrame([("hot", 1), *[(c, ord(c)) for c in "abcdefg"]], "key string, v int")
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, df.join(table, "key", how).select("id", "key", "v").collect()))
+        assert sorted(map(tuple, salted(df, "key", table, "id", rows=20, how=how).select("id", "key", "v").collect())) == want

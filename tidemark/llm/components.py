@@ -9,9 +9,9 @@ from .shared import stored
 
 
 def _with_nearest(links: DataFrame, salts: int = 16) -> DataFrame:
-    """links(u, v) with m, the smallest of u and its neighbours. A node with very many links is dealt over `salts` tasks, its own row being repeated for each."""
+    """links(u, v) with m, the smallest of u and its neighbours. A node with very many links is dealt over `salts` tasks, its own row being repeated for each; nodes grow with the table, so none are broadcast."""
     nearest = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
-    return links.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(nearest, ["u", "s"]).drop("s")
+    return links.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(nearest.hint("merge"), ["u", "s"]).drop("s")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:

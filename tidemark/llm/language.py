@@ -170,11 +170,11 @@ def identify(docs: DataFrame, profiles: Profiles, evidence: DataFrame | None = N
     hosts = by_host.select("host", "domain", as_array.alias("n")).join(domains, "domain").select("host", leaning(F.col("n"), F.col("of_domain"), weight_host).alias("of_host"))
     hosts = stored(hosts.select("host", F.zip_with("of_host", lit_base, lambda x, y: F.ln(x / y)).alias("of_host")))  # what the host adds to the corpus's prior
     said = {"of_host": F.col("of_host"), "of_declared": chances("declared"), "of_suffix": chances("suffix")}
-    placed = salted(pages, "host", hosts).select("doc", *[v.alias(k) for k, v in said.items()])
+    placed = salted(pages, "host", hosts, "doc").select("doc", *[v.alias(k) for k, v in said.items()])
     means = placed.groupBy(F.col("doc").alias("id")).agg(*[F.avg(F.col(c)[k]).alias(f"{c}{k}") for c in said for k in range(n)])
     none = F.array(*[F.lit(0.0)] * n)
     means = means.select("id", F.array(*[sum((F.coalesce(F.col(f"{c}{k}"), F.lit(0.0)) for c in said), F.lit(0.0)) for k in range(n)]).alias("of_pages"))
-    rows = salted(own, "host", hosts).join(means, "id", "left")
+    rows = salted(own, "host", hosts, "id").join(means, "id", "left")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     fused = add(add(F.col("t"), F.transform(lit_base, lambda v: F.ln(v))), F.coalesce("of_pages", "of_host", none))
     rows = rows.withColumn("p", _softmax(fused))

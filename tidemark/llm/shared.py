@@ -44,22 +44,22 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def salted(df: DataFrame, key: str, table: DataFrame, *, counts: DataFrame | None = None, rows: int = 100_000, how: str = "left") -> DataFrame:
+def salted(df: DataFrame, key: str, table: DataFrame, by: str, *, counts: DataFrame | None = None, rows: int = 100_000, how: str = "left", merge: bool = False) -> DataFrame:
     """df joined with table (one row a key) where some keys may hold a great part of df's rows.
 
-    The rows of a key with more than `rows` rows are dealt over as many salts as that takes, and the table's row for it is repeated for each. counts: key and
-    n, the rows of df by key, if known already. Rows of a null key match nothing.
+    The rows of a key with more than `rows` rows are dealt over as many salts as that takes, by a hash of the column `by` (so a task that runs again deals them
+    alike), and the table's row for it is repeated for each. counts: key and n, the rows of df by key, if known already. merge: the table grows with df, so it is not to be broadcast. Rows of a null key match nothing.
     """
     if counts is None:
         counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot = stored(counts.where(F.col("n") > rows).select(key, F.ceil(F.col("n") / rows).cast("int").alias("_salts")))
     if hot.isEmpty():
-        return df.join(table, key, how)
+        return df.join(table.hint("merge") if merge else table, key, how)
     hot = F.broadcast(hot)  # at most df's rows over `rows`: a thousand for a hundred million
     salts = F.coalesce("_salts", F.lit(1))
-    dealt = df.join(hot, key, "left").withColumn("_salt", F.floor(F.rand(7) * salts).cast("int")).drop("_salts")
+    dealt = df.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
     spread = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+    return dealt.join(spread.hint("merge") if merge else spread, [key, "_salt"], how).drop("_salt")
 
 
 def fold(id_col: str, n: int) -> Column:

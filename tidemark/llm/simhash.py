@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prints = stored(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, tag=tag))
     nodes = stored(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
     groups = components(near_links(nodes, Ring(budget)))
-    placed = stored(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    placed = stored(nodes.join(groups.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
     smallest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = salted(placed, "component", smallest).select("fp", "component_id")
-    of = salted(prints, "fp", of, counts=nodes.select("fp", "n"))
+    of = salted(placed, "component", smallest, "fp", merge=True).select("fp", "component_id")
+    of = salted(prints, "fp", of, id_col, counts=nodes.select("fp", "n"), merge=True)
     return of.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *prints.columns[2:])

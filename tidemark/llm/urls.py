@@ -139,7 +139,7 @@ def judge(pages: DataFrame, rules: dict[str, str], labelled: DataFrame, *, id_co
     if found.rules.isEmpty():
         out = rows.withColumn("confidence", F.lit(None).cast("double"))
     else:
-        out = salted(rows, "url", matched(of(rows.where("url is not null").select("url").distinct()), found))
+        out = salted(rows, "url", matched(of(rows.where("url is not null").select("url").distinct()), found), id_col)
     rule = longest_rule(F.col("host"), F.col("path"), list(rules))
     names = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]) if rules else F.create_map().cast("map<string,string>")
     verdict = F.coalesce(F.try_element_at(names, F.col("rule")), F.when(F.col("confidence").isNotNull(), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))

@@ -86,7 +86,8 @@ def mine(labelled: DataFrame, *, min_rows: int = 5, min_support: float = 1e-4, m
     known = stored(known.where((F.col("held_bad") >= least) & (F.col("held") <= common * total)))
     classes = known.groupBy("held", "held_bad", "s0", "s1").agg(F.min("token").alias("item"))
     items = stored(known.join(classes, ["held", "held_bad", "s0", "s1"]).select("token", "item", "held"))
-    had = stored(each.join(items, "token").groupBy("row").agg(F.collect_set("item").alias("items"), F.first("bad").alias("bad")))
+    held_items = F.broadcast(items)  # each is on 1e-4 of the bad rows or more: at most 10,000 times the tokens of a url
+    had = stored(each.join(held_items, "token").groupBy("row").agg(F.collect_set("item").alias("items"), F.first("bad").alias("bad")))
     of_bad = had.where("bad").select("items")
     n = of_bad.count()
     if not n:
@@ -96,9 +97,9 @@ def mine(labelled: DataFrame, *, min_rows: int = 5, min_support: float = 1e-4, m
     looked_at = sets.count()
     base = bad / total
     sizes = items.select("item", "held").distinct()
-    rarest = sets.select("items", "held_bad", F.explode("items").alias("item")).join(sizes, "item").groupBy("items", "held_bad").agg(F.min_by("item", F.struct("held", "item")).alias("item"))
+    rarest = sets.select("items", "held_bad", F.explode("items").alias("item")).join(F.broadcast(sizes), "item").groupBy("items", "held_bad").agg(F.min_by("item", F.struct("held", "item")).alias("item"))
     places = had.select(F.col("items").alias("of"), F.explode("items").alias("item"))
-    held = places.join(rarest, "item").where(F.size(F.array_except("items", "of")) == 0).groupBy("items", "held_bad").agg(F.count(F.lit(1)).alias("held"))
+    held = places.join(rarest.hint("merge"), "item").where(F.size(F.array_except("items", "of")) == 0).groupBy("items", "held_bad").agg(F.count(F.lit(1)).alias("held"))
     sure = F.col("held_bad") / F.col("held")
     apart = sure * F.log(sure / base) + F.when(sure < 1, (1 - sure) * F.log((1 - sure) / (1 - base))).otherwise(0.0)
     found = held.where((sure >= min_confidence) & (sure > base) & (F.col("held") * apart >= math.log(max(1, looked_at) / chance)))
@@ -117,7 +118,7 @@ def matched(urls: DataFrame, found: Mined) -> DataFrame:
     sizes = found.items.select("item", "held").distinct()
     index = found.rules.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(sizes, "item")
     index = index.groupBy("antecedent", "confidence").agg(F.min_by("item", F.struct("held", "item")).alias("item"))
-    rows = urls.select("url", F.explode("tokens").alias("token")).join(found.items.select("token", "item"), "token")
+    rows = urls.select("url", F.explode("tokens").alias("token")).join(F.broadcast(found.items.select("token", "item")), "token")  # bounded as in mine()
     rows = rows.groupBy("url").agg(F.collect_set("item").alias("items"))
     rows = rows.select("url", "items", F.explode("items").alias("item")).join(index, "item")
     return rows.where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))

@@ -120,6 +120,64 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1,024 tokens, one row a piece. Rows, nulls and repeats as in slots.pack()."""
+    from .slots import pack
+
+    pieces = pack(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item. Rows, nulls and repeats as in lexical.search()."""
+    from .lexical import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+ s AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::bigint AS n_terms FROM d),
+ f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+ w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM f, s GROUP BY t, n_docs),
+ q AS (SELECT DISTINCT i, item_id, t FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)),
+ m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(ts) * n_docs) // n_terms) AS m FROM d, s),
+ x AS (SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint AS score FROM q JOIN w USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY i, item_id, r, doc_id),
+ k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+ SELECT item_id, rank::int AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, sixteen parts of 64 entries, after two rounds. Rows, nulls and repeats as in codes.compress()."""
+    from .codes import compress, with_label_error
+
+    found = compress(read(spark, sf_dir, "embeddings"))
+    rows = with_label_error(found.rows)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+def _op13_sql() -> str:
+    """Two rounds over the parts of vectors of 64 components, as joins of parts with entries; 64 * distance + entry makes the least one the nearest with ties to the lower entry."""
+    v, c = [f"v{k}" for k in range(4)], [f"c{k}" for k in range(4)]
+    far = " + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(v, c))
+    steps = [
+        "r AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS x FROM embeddings WHERE len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))))",
+        f"p AS MATERIALIZED (SELECT r, part, {', '.join(f'x[4 * part + {k + 1}] AS v{k}' for k in range(4))} FROM r, range(16) AS t(part))",
+        f"b0 AS MATERIALIZED (SELECT part, r - 1 AS e, {', '.join(f'{a} AS {b}' for a, b in zip(v, c))} FROM p WHERE r <= 64)",
+    ]
+    for k in range(3):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT part, r, min(64 * ({far}) + e) AS least, {', '.join(f'any_value({a}) AS {a}' for a in v)} FROM p JOIN b{k} USING (part) GROUP BY part, r)")
+        if k < 2:
+            means = ", ".join(f"coalesce(m.{b}, b.{b}) AS {b}" for b in c)
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, {means} FROM b{k} b LEFT JOIN (SELECT part, least % 64 AS e, {', '.join(f'floor(sum({a}) / count(*))::bigint AS {b}' for a, b in zip(v, c))} FROM a{k} GROUP BY ALL) m ON m.part = b.part AND m.e = b.e)")
+    every = " || ',' || ".join(c)
+    steps.append(f"h AS (SELECT sha256(string_agg({every}, ',' ORDER BY part, e)) AS codebooks_sha256 FROM b2)")
+    steps.append("g AS (SELECT r, string_agg(printf('%02x', (least % 64)::int), '' ORDER BY part) AS code, sum(least // 64)::bigint AS error FROM a2 GROUP BY r)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, codebooks_sha256 FROM r JOIN g USING (r), h"
+
+
+OP13_SQL = _op13_sql()
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents. Nulls and repeats as stated there."""
     import corpus_pipeline
@@ -128,10 +186,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    of = (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op6_language, op7_pii, op8_quality, op9_sentencepiece, op10_neighbours, pipeline)
+    of = (op1_simhash, op2_toxicity, op3_urls, op4_packing, op5_repetition, op6_language, op7_pii, op8_quality, op9_sentencepiece, op10_neighbours, op11_bestfit, op12_lexical, op13_codes, pipeline)
     return {f.__name__: f for f in of}
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the repetition rules. The other operators hash, learn or tokenise beyond what SQL expresses; tests/llm holds their brute-force twins."""
-    return {"op5_repetition": OP5_SQL}
+    """SQL of the repetition rules, the ranked search and the vector codes. The other operators hash, learn or tokenise beyond what SQL expresses; tests/llm holds their brute-force twins."""
+    return {"op5_repetition": OP5_SQL, "op12_lexical": OP12_SQL, "op13_codes": OP13_SQL}

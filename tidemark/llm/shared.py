@@ -44,7 +44,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def salted(df: DataFrame, key: str, table: DataFrame, by: str, *, counts: DataFrame | None = None, rows: int = 100_000, how: str = "left", merge: bool = False) -> DataFrame:
+def salted(df: DataFrame, key: str, table: DataFrame, by: str | Column, *, counts: DataFrame | None = None, rows: int = 100_000, how: str = "left", merge: bool = False) -> DataFrame:
     """df joined with table (one row a key) where some keys may hold a great part of df's rows.
 
     The rows of a key with more than `rows` rows are dealt over as many salts as that takes, by a hash of the column `by` (so a task that runs again deals them

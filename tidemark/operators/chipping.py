@@ -19,10 +19,10 @@ def _sides(size: int, scales: Sequence[float]) -> Column:
 def windows(images: DataFrame, *, size: int, stride: int, scales: Sequence[float] = (1.0, 0.8), jitter: int = 64, seed: str = "42") -> DataFrame:
     """image_id, base_row, base_col, side, row, col: a stride grid over each image's clip box (row0, row1, col0, col1 in pixels) widened by size, at every scale.
 
-    A window is moved by up to jitter pixels each way, by a hash of its place, and kept within the image (height, width).
+    The last base may lie one pixel past the last whole window, as its shift is cut off at the image's end. A window is moved by up to jitter pixels each way, by a hash of its place, and kept within the image (height, width).
     """
     low = lambda c: F.floor(F.greatest(F.lit(0), F.col(c) - size) / stride).cast("int") * stride
-    high = lambda c, end: F.greatest(F.lit(0), F.least(F.col(end), F.col(c) + size) - size).cast("int")
+    high = lambda c, end: F.greatest(F.lit(0), F.least(F.col(end), F.col(c) + size) - size + 1).cast("int")
     out = images.select("*", F.explode(_steps(low("row0"), high("row1", "height"), stride)).alias("base_row"))
     out = out.select("*", F.explode(_steps(low("col0"), high("col1", "width"), stride)).alias("base_col"))
     out = out.select("*", F.explode(_sides(size, scales)).alias("side"))
@@ -51,12 +51,14 @@ def measured(wins: DataFrame, cells: DataFrame, *, size: int, wanted: int, keys:
 def chips(images: DataFrame, cells: DataFrame, *, size: int, stride: int, scales: Sequence[float] = (1.0, 0.8), jitter: int = 64, seed: str = "42", wanted: int = 6, least: float = 0.01) -> DataFrame:
     """image_id, row, col, side, share, forced of the windows that meet the clip box, hold least of the wanted class and any value above zero.
 
+    A window whose cells all lack a class passes without a share, as an image without a class band has nothing to be judged by.
+
     An image without such a window has centre windows of its clip box, at every scale, that hold least and any value (forced).
     """
     clip = images.select("image_id", "row0", "row1", "col0", "col1")
     wins = windows(images, size=size, stride=stride, scales=scales, jitter=jitter, seed=seed).join(clip, "image_id")
     wins = wins.where((F.col("row") <= F.col("row1")) & (F.col("row") + F.col("side") >= F.col("row0")) & (F.col("col") <= F.col("col1")) & (F.col("col") + F.col("side") >= F.col("col0")))
-    fine = (F.col("share") >= least) & (F.col("top") > 0)
+    fine = F.coalesce(F.col("share") >= least, F.lit(True)) & (F.col("top") > 0)
     keys = ["image_id", "base_row", "base_col"]
     found = measured(wins.select(*keys, "row", "col", "side"), cells, size=size, wanted=wanted, keys=keys).where(fine)
     found = found.select("image_id", "row", "col", "side", "share", F.lit(False).alias("forced"))

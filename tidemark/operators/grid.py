@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.parse import finite
+from tidemark.session import written
 
 
 def nearest_index(axis: Column, q: Column) -> Column:
@@ -66,29 +67,36 @@ def sample(points: DataFrame, cells: DataFrame, *, key: str, radius: int = 7, mo
     return hit.unionByName(missed.select(key, "value"))
 
 
-def nearest_curvilinear(points: DataFrame, cells: DataFrame, *, key: str, cell_degrees: float = 0.5) -> DataFrame:
+def nearest_curvilinear(points: DataFrame, cells: DataFrame, *, key: str, cell_degrees: float | None = None) -> DataFrame:
     """key, value of the nearest cell (plain distance in degrees) where each cell has its own lat and lon; null only for a path without cells.
 
-    Cells and points meet in square buckets of cell_degrees and the eight around. Whatever lies within a bucket's side is then found, so an answer that
-    near is final; the other points go on to buckets of four times the side, up to one that holds the globe.
+    Cells and points meet in square buckets and the eight around. Whatever lies within a bucket's side is then found, so an answer that near is final; the points
+    that are left, written once a round, go on to buckets of eight times the side, up to one that holds the globe, and no further once none is left. The first side is cell_degrees, or
+    else twice the spacing of the widest-spaced path's cells, were they laid out evenly over their extent.
     """
+    if cell_degrees is None:
+        extent = (F.max("lat") - F.min("lat")) * (F.max("lon") - F.min("lon"))
+        spacing = cells.groupBy("path").agg((2 * F.sqrt(extent / F.count(F.lit(1)))).alias("s")).agg(F.max("s")).first()[0]
+        cell_degrees = min(720.0, max(spacing or 0.5, 1e-3))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left, answers, side = points.select(key, "path", "lat", "lon"), None, cell_degrees
+    left, answers, side = points.select(key, "path", "lat", "lon"), [], cell_degrees
     d = F.hypot(F.col("clat") - F.col("lat"), F.col("clon") - F.col("lon"))
     while True:
         b = lambda c, side=side: F.floor(F.col(c) / side).cast("long")
         cs = cells.select("path", F.col("lat").alias("clat"), F.col("lon").alias("clon"), "value", "i", "j", b("lat").alias("by"), b("lon").alias("bx"))
         ps = left.select("*", F.explode(around).alias("dy")).select("*", F.explode(around).alias("dx"))
         ps = ps.select(key, "path", "lat", "lon", (b("lat") + F.col("dy")).alias("by"), (b("lon") + F.col("dx")).alias("bx"))
-        best = ps.join(cs, ["path", "by", "bx"]).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col("i"), F.col("j"), F.col("value"))).alias("_b"))
-        if last := side >= 720:
-            found = best.select(key, "_b.value")
-        else:
-            found = best.where(F.col("_b.d") <= side).select(key, "_b.value")
-        answers = found if answers is None else answers.unionByName(found)
-        if last:
-            return points.select(key).join(answers, key, "left")
-        left, side = left.join(found.select(key), key, "left_anti"), side * 4
+        nearest = F.min(F.when(F.col("clat").isNotNull(), F.struct(d.alias("d"), F.col("i"), F.col("j"), F.col("value")))).alias("_b")
+        tried = written(ps.join(cs, ["path", "by", "bx"], "left").groupBy(key, "path", "lat", "lon").agg(nearest))
+        final = F.lit(True) if side >= 720 else F.coalesce(F.col("_b.d") <= side, F.lit(False))
+        answers.append(tried.where(final).select(key, "_b.value"))
+        left = tried.where(~final).select(key, "path", "lat", "lon")
+        if side >= 720 or left.isEmpty():
+            found = answers[0]
+            for more in answers[1:]:
+                found = found.unionByName(more)
+            return found
+        side = min(720.0, side * 8)
 
 
 def clip(cells: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:

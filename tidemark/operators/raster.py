@@ -113,14 +113,19 @@ def _weights(n: int, out: int) -> list[tuple[int, list[float]]]:
 
 
 def resized_bilinear(band: Column, height: int, width: int, out_h: int, out_w: int) -> Column:
-    """A flat band of height x width resampled to out_h x out_w, columns first and then rows. Weights are constants of the plan."""
+    """A flat band of height x width bytes resampled to out_h x out_w bytes, columns first and then rows.
+
+    Weights are whole numbers of 2**-22, and either pass rounds to whole bytes, as image libraries resample gray images. Weights are constants of the plan.
+    """
+    bits = 22
 
     def mixed(first: Column, w: Column, at: Callable[[Column], Column]) -> Column:
         places = F.sequence(F.lit(0), F.size(w) - 1)
-        return F.aggregate(places, F.lit(0.0), lambda a, x: a + F.element_at(w, x + 1) * at(first + x).cast("double"))
+        total = F.aggregate(places, F.lit(1 << (bits - 1)).cast("long"), lambda a, x: a + F.element_at(w, x + 1) * at(first + x).cast("long"))
+        return F.least(F.greatest(F.shiftright(total, bits), F.lit(0).cast("long")), F.lit(255).cast("long")).cast("int")
 
     def table(n: int, out: int) -> Column:
-        return F.array(*[F.struct(F.lit(f).alias("f"), F.array(*map(F.lit, w)).alias("w")) for f, w in _weights(n, out)])
+        return F.array(*[F.struct(F.lit(f).alias("f"), F.array(*[F.lit(int(0.5 + v * (1 << bits))).cast("long") for v in w]).alias("w")) for f, w in _weights(n, out)])
 
     def rows(b: Column, across: Column, down: Column) -> Column:
         lines = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda i: F.transform(across, lambda c: mixed(c["f"], c["w"], lambda j: F.element_at(b, (i * width + j + 1).cast("int")))))

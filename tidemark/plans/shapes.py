@@ -108,6 +108,23 @@ def q_chips(spark, sf):
     return out.select(F.col("image_id").alias("vec_id"), "row", "col", "side", F.round("share", 6).alias("share"), "forced")
 
 
+@query(f"""WITH e AS (SELECT vec_id FROM embeddings), w AS (SELECT vec_id, br, bc, side FROM e, range(0, greatest(0, least(7, 6 + 4) - 4 + 1) + 1, 2) AS a(br), range(0, greatest(0, least(7, 6 + 4) - 4 + 1) + 1, 2) AS b(bc), (SELECT unnest([4, 3]) AS side) s),
+ m AS (SELECT vec_id, br, bc, side, {MOVED.format(b="br", n="row").replace("8 - side", "7 - side")} AS r, {MOVED.format(b="bc", n="col").replace("8 - side", "7 - side")} AS c FROM w), v AS (SELECT * FROM m WHERE r <= 6 AND r + side >= 2 AND c <= 6 AND c + side >= 3),
+ p AS (SELECT path::bigint AS vec_id, i, j, v, CASE WHEN path::bigint % 3 > 0 THEN (v > 0.05)::int END AS cls FROM ({CELLS}) WHERE i < 7 AND j < 7),
+ s AS (SELECT v.vec_id, br, bc, r, c, side, avg(cls) AS share FROM v JOIN p ON p.vec_id = v.vec_id AND p.i >= r AND p.i < r + side AND p.j >= c AND p.j < c + side GROUP BY ALL HAVING coalesce(avg(cls) >= 0.6, true) AND max(v) > 0),
+ f AS (SELECT vec_id, CASE side WHEN 4 THEN 2 ELSE 3 END AS r, CASE side WHEN 4 THEN 2 ELSE 3 END AS c, side FROM e, (SELECT unnest([4, 3]) AS side) s WHERE vec_id NOT IN (SELECT vec_id FROM s)),
+ g AS (SELECT f.vec_id, r, c, side, avg(cls) AS share FROM f JOIN p ON p.vec_id = f.vec_id AND p.i >= r AND p.i < r + side AND p.j >= c AND p.j < c + side GROUP BY ALL HAVING coalesce(avg(cls) >= 0.6, true) AND max(v) > 0)
+ SELECT vec_id, r AS "row", c AS col, side, round(share, 6) AS share, false AS forced FROM s UNION ALL SELECT vec_id, r, c, side, round(share, 6), true FROM g""")
+def q_chips_odd(spark, sf):
+    """Images of odd sides, whose last base lies past the last whole window, every third without a class band."""
+    e = table(spark, sf, "embeddings")
+    images = e.select(F.col("vec_id").alias("image_id"), F.lit(7).alias("height"), F.lit(7).alias("width"), F.lit(2).alias("row0"), F.lit(6).alias("row1"), F.lit(3).alias("col0"), F.lit(6).alias("col1"))
+    k = F.col("path").cast("long")
+    cells = _cells(spark, sf).where("i < 7 and j < 7").select(k.alias("image_id"), "i", "j", F.when(k % 3 > 0, (F.col("value") > 0.05).cast("int")).alias("cls"), "value")
+    out = chipping.chips(images, cells, size=4, stride=2, scales=(1.0, 0.75), jitter=1, wanted=1, least=0.6)
+    return out.select(F.col("image_id").alias("vec_id"), "row", "col", "side", F.round("share", 6).alias("share"), "forced")
+
+
 @query("SELECT 1.0::double AS scale, r::int AS row, c::int AS col, 64 AS side FROM range(0, 137, 32) a(r), range(0, 257, 32) b(c) UNION ALL SELECT 0.8::double, r, c, 51 FROM range(0, 150, 32) a(r), range(0, 270, 32) b(c)")
 def q_chip_grid(spark, sf):
     return calendars.grid_starts(spark, 200, 320, 64, 32, (1.0, 0.8))
@@ -178,12 +195,14 @@ def q_hexbin_log(spark, sf):
     return metrics.hex_bins(table(spark, sf, "lineitem").select("l_discount", "l_tax"), "l_discount", "l_tax", 0.1, log=True)
 
 
-#: Weights of four places over eight: a triangle of two pixels on either side, cut at the ends.
-HALF = ", ".join(f"({k}, {x}, {w})" for k, row in enumerate([{0: 3 / 7, 1: 3 / 7, 2: 1 / 7}, {1: 1 / 8, 2: 3 / 8, 3: 3 / 8, 4: 1 / 8}, {3: 1 / 8, 4: 3 / 8, 5: 3 / 8, 6: 1 / 8}, {5: 1 / 7, 6: 3 / 7, 7: 3 / 7}]) for x, w in row.items())
+#: Weights of four places over eight, in whole numbers of 2**-22: a triangle of two pixels on either side, cut at the ends.
+HALF = ", ".join(f"({k}, {x}, {int(0.5 + w * 2**22)})" for k, row in enumerate([{0: 3 / 7, 1: 3 / 7, 2: 1 / 7}, {1: 1 / 8, 2: 3 / 8, 3: 3 / 8, 4: 1 / 8}, {3: 1 / 8, 4: 3 / 8, 5: 3 / 8, 6: 1 / 8}, {5: 1 / 7, 6: 3 / 7, 7: 3 / 7}]) for x, w in row.items())
 
 
-@query(f"""WITH w(o, s, w) AS (VALUES {HALF}), g AS (SELECT path, a.o * 4 + b.o AS k, sum(a.w * b.w * v) AS value FROM ({CELLS}) c JOIN w a ON a.s = c.i JOIN w b ON b.s = c.j GROUP BY ALL)
- SELECT path::bigint AS vec_id, (channel * 16 + k)::int AS k, round((value / 255 - 0.5) / 0.5, 9) AS value FROM g, range(0, 3) t(channel)""")
+@query(f"""WITH w(o, s, w) AS (VALUES {HALF}), c AS (SELECT path, i, j, greatest(0, least(255, floor((v + 0.6) * 200)))::bigint AS px FROM ({CELLS})),
+ h AS (SELECT path, i, o AS b, (2097152 + sum(w * px)::bigint) >> 22 AS px FROM c JOIN w ON s = j GROUP BY ALL), g AS (SELECT path, o * 4 + b AS k, (2097152 + sum(w * px)::bigint) >> 22 AS value FROM h JOIN w ON s = i GROUP BY path, o, b)
+ SELECT path::bigint AS vec_id, (channel * 16 + k)::int AS k, round((value / 255.0 - 0.5) / 0.5, 9)::double AS value FROM g, range(0, 3) t(channel)""")
 def q_resize_bilinear(spark, sf):
-    small = raster.model_input(raster.resized_bilinear(F.col("embedding"), 8, 8, 4, 4))
+    gray = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 0.6) * 200))).cast("int"))
+    small = raster.model_input(raster.resized_bilinear(gray, 8, 8, 4, 4))
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode(small).alias("k", "value")).select("vec_id", "k", F.round("value", 9).alias("value"))

@@ -213,3 +213,14 @@ def test_salted_joins_equal_plain_ones(spark):
     for how in ("left", "inner"):
         want = sorted(map(tuple, df.join(table, "key", how).select("id", "key", "v").collect()))
         assert sorted(map(tuple, salted(df, "key", table, "id", rows=20, how=how).select("id", "key", "v").collect())) == want
+
+
+def test_blocks_of_a_dominant_cell(spark):
+    """Every pair of a row and a query of a cell meets once, and no block is over its size by much, also where both sides have as many blocks."""
+    rows = spark.range(4000, numPartitions=3).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 3900, 0).otherwise(1).alias("cell"), F.lit(b"c").alias("codes"), F.lit(b"r").alias("raw"))
+    asked = spark.range(1000, numPartitions=2).select(F.col("id").alias("query_id"), F.lit(b"q").alias("q"), F.when(F.col("id") < 990, 0).otherwise(1).alias("cell"))
+    left, right = ann.dealt(asked, rows, 1000)
+    sizes = {tuple(r)[:3]: r["count"] for r in right.groupBy("cell", "qb", "cb").count().collect()}
+    assert len({k for k in sizes if k[0] == 0}) == 16 and max(sizes.values()) <= 1100 and max(r["count"] for r in left.groupBy("cell", "qb", "cb").count().collect()) <= 300
+    met = left.join(right, ["cell", "qb", "cb"]).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id", "vec_id").alias("m")).collect()
+    assert {(r["cell"], r["n"], r["m"]) for r in met} == {(0, 3900 * 990, 3900 * 990), (1, 1000, 1000)}

@@ -118,6 +118,20 @@ def usable(vector: Column, dims: int | None = None) -> Column:
     return ok if dims is None else ok & (F.size(vector) == dims)
 
 
+def dealt(asked: DataFrame, coded: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and rows of each cell in blocks (qb, cb) of about block / 4 and `block`, every pair of a cell's blocks once.
+
+    A row's place in its table, not its id, deals it out, as rows of one id may be any part of the table. Places are taken before a row is repeated for each block of the other side.
+    """
+    per_cell = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    per_query = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / max(1, block // 4)).cast("int").alias("q_blocks"))
+    deal = F.broadcast(per_cell.join(per_query, "cell"))  # one row a cell
+    asked, coded = (df.withColumn("place", F.monotonically_increasing_id()).join(deal, "cell") for df in (asked, coded))
+    left = asked.withColumn("qb", F.pmod("place", "q_blocks").cast("int")).select("cell", "qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cb"), "query_id", "q")
+    right = coded.withColumn("cb", F.pmod("place", "blocks").cast("int")).select("cell", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), "cb", "vec_id", "codes", "raw")
+    return left, right
+
+
 def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, cell_rows: int = 4096, recall: float = 0.985, probes: float | None = None, rerank: int = 200, eta: float = 4.0, width: int = 2, sample_rows: int = 20_000, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: for the rows where `queries` holds, the k nearest others found by largest inner product.
 
@@ -182,13 +196,7 @@ def search(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vecto
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(chosen)), pa.array([vec] * len(chosen), pa.binary()), pa.array(chosen, pa.int32())], names=["query_id", "q", "cell"])
 
     asked = arrow_map(coded.where("asks").select("vec_id", "raw"), probe, "query_id long, q binary, cell int")
-    per_cell = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    asked = stored(asked)
-    per_query = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (block // 4)).cast("int").alias("q_blocks"))
-    deal = F.broadcast(per_cell.select("cell", "blocks").join(per_query, "cell"))  # one row a cell
-    # a row's place, not its id, deals it out: rows of one id may be any part of the table
-    left = asked.join(deal, "cell").select("cell", F.pmod(F.xxhash64("query_id", "q"), "q_blocks").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cb"), "query_id", "q")
-    right = coded.join(deal, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), F.pmod(F.monotonically_increasing_id(), "blocks").cast("int").alias("cb"), "vec_id", "codes", "raw")
+    left, right = dealt(stored(asked), coded, block)
 
     def scan(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,14 +120,16 @@ def fit(described: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", labe
                     own = f[fold == k]
                     total[k] += own.T @ np.c_[own, t[fold == k]]
         for k in range(folds):
-            yield pa.RecordBatch.from_arrays([pa.array([k] * width), pa.array(range(width)), pa.array(list(total[k]), pa.list_(pa.float64()))], names=["fold", "i", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * width), pa.array(range(width)), pa.array([TaskContext.get().partitionId()] * width), pa.array(list(total[k]), pa.list_(pa.float64()))], names=["fold", "i", "part", "v"])
 
     def total_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "i": [pdf["i"].iloc[0]], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
+        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "i": [pdf["i"].iloc[0]], "part": [0], "v": [np.sum(np.stack(pdf["v"].to_numpy()), axis=0)]})
 
-    partial = arrow_map(rows, sums, "fold long, i long, v array<double>")
+    sum_schema = "fold long, i long, part long, v array<double>"
+    partial = arrow_map(rows, sums, sum_schema).withColumn("part", F.col("part") % max(1, math.isqrt(parts)))  # two levels, so no group has over twice the root of the partitions
+    some = partial.groupBy("fold", "i", "part").applyInPandas(total_of, sum_schema)
     gram = np.zeros((folds, width, width + 1))
-    for r in partial.groupBy("fold", "i").applyInPandas(total_of, "fold long, i long, v array<double>").toLocalIterator():
+    for r in some.groupBy("fold", "i").applyInPandas(total_of, sum_schema).toLocalIterator():
         gram[r["fold"], r["i"]] = r["v"]
     solve = lambda g: np.linalg.solve(g[:, :-1] + (ridge * max(1.0, g[0, 0]) + 1e-3) * np.diag(np.r_[0, np.ones(width - 1)]) + 1e-9 * np.eye(width), g[:, -1])
     model.weights = solve(gram.sum(0))

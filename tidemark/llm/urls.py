@@ -64,14 +64,13 @@ class Mined:
     looked_at: int
 
 
-def mine(labelled: DataFrame, *, min_rows: int = 5, min_support: float = 1e-4, min_confidence: float = 0.6, max_items: int = 4, common: float = 0.95, chance: float = 0.05) -> Mined:
+def mine(labelled: DataFrame, *, min_rows: int = 5, min_support: float = 1e-4, min_confidence: float = 0.6, chance: float = 0.05) -> Mined:
     """Rules of token combinations that lead to bad, by FP-growth over the bad rows.
 
-    labelled has tokens and bad (boolean). FP-growth gives the item sets that min_rows bad rows, and min_support of them, hold; items of more than `common`
-    of the rows tell nothing and stay out. How many of all labelled rows hold a set is counted by an inverted index on its rarest item. A set is a rule if
+    labelled has tokens and bad (boolean). FP-growth gives the item sets that min_rows bad rows, and min_support of them, hold; items that
+    every row has tell nothing and stay out. How many of all labelled rows hold a set is counted by an inverted index on its rarest item. A set is a rule if
     min_confidence of its rows are bad, and so many that with labels dealt at random any set at all would look like this with a probability of at most
-    `chance` (Chernoff's bound times the sets looked at), at every number of rows. No rule with some of its items is as confident. Sets of over max_items
-    items are not counted. Time grows with two to the power of the different frequent items of one url, which urls keep small.
+    `chance` (Chernoff's bound times the sets looked at), at every number of rows. No rule with some of its items is as confident. Time grows with two to the power of the different frequent items of one url, which urls keep small.
     """
     spark = labelled.sparkSession
     rows = stored(labelled.select("tokens", "bad").withColumn("row", F.monotonically_increasing_id()))
@@ -83,7 +82,7 @@ def mine(labelled: DataFrame, *, min_rows: int = 5, min_support: float = 1e-4, m
     each = rows.select("row", "bad", F.explode("tokens").alias("token"))
     same = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"s{k}") for k in (0, 1)]
     known = each.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.count_if("bad").alias("held_bad"), *same)
-    known = stored(known.where((F.col("held_bad") >= least) & (F.col("held") <= common * total)))
+    known = stored(known.where((F.col("held_bad") >= least) & (F.col("held") < total)))
     classes = known.groupBy("held", "held_bad", "s0", "s1").agg(F.min("token").alias("item"))
     items = stored(known.join(classes, ["held", "held_bad", "s0", "s1"]).select("token", "item", "held"))
     held_items = F.broadcast(items)  # each is on 1e-4 of the bad rows or more: at most 10,000 times the tokens of a url
@@ -93,7 +92,7 @@ def mine(labelled: DataFrame, *, min_rows: int = 5, min_support: float = 1e-4, m
     if not n:
         return none()
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n)).fit(of_bad)
-    sets = stored(model.freqItemsets.where(F.size("items") <= max_items).select(F.array_sort("items").alias("items"), F.col("freq").alias("held_bad")))
+    sets = stored(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("held_bad")))
     looked_at = sets.count()
     base = bad / total
     sizes = items.select("item", "held").distinct()

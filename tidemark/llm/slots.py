@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import ByteBpe
 from .shared import arrow_map, stored
 
-#: Rows of the table of first ranks up to which it is broadcast (some 20 MB); beyond it the join is a merge.
-BROADCAST_ROWS = 500_000
+#: Rows of the table of first ranks up to which it is broadcast (some 10 MB); beyond it the join is a merge.
+BROADCAST_ROWS = 100_000
 
 
 def planned(counts: Mapping[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

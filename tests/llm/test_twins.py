@@ -25,46 +25,69 @@ def remainder(i, n):
     return zlib.crc32(str(i).encode()) % n
 
 
-def test_toxicity_query(spark, tables):
-    docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
+def toxic_features(saved, thresholds):
+    best = [*sorted((x for x in saved if x > 0), reverse=True), 0, 0][:2]
+    over = [sum(x >= t for x in saved) for t in thresholds]
+    return [*map(math.log1p, best), *map(math.log1p, over), *[k > 0 for k in over], -math.log1p(len(saved)), sum(x for x in saved if x > 0) / len(saved)]
+
+
+def test_toxicity_query(spark):
+    """Scores by the fitted dictionaries, and the thresholds and weights of fit(), worked out again from the windows' lengths."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 5) != 0))
-    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, SF).collect()}
-    assert len(got) == len(tables["documents"])
-    m = model.measure()
-    for d in tables["documents"]:
-        b = b" " + " ".join((d["text"] or "").lower().split()).encode() + b" "
-        saved, at = [], 0
+    assert model.ordinary[:4] == model.toxic[:4] == b"\x37\xa4\x30\xec"  # zstandard's mark of a trained dictionary
+    got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert len(got) == len(texts)
+    m, saved = model.measure(), {}
+    for i, text in texts.items():
+        b = b" " + " ".join(text.lower().split()).encode() + b" "
+        own, at = [], 0
         while at < len(b):
             cut = b.find(b" ", at + model.window)
             cut = len(b) if cut < 0 else cut + 1
-            saved += [len(m.ordinary(b[max(0, k - 1) : min(cut, k + 4096)])) - len(m.toxic(b[max(0, k - 1) : min(cut, k + 4096)])) for k in range(at, cut, 4096)]
+            own += [len(m.ordinary(b[max(0, k - 1) : min(cut, k + 4096)])) - len(m.toxic(b[max(0, k - 1) : min(cut, k + 4096)])) for k in range(at, cut, 4096)]
             at = cut
-        over = lambda t: sum(s >= t for s in saved)
-        levels = range(1, 17)
-        x = [min(sum(over(t) >= 1 for t in levels), 10), min(sum(over(t) >= 2 for t in levels), 10), *[math.log1p(over(t)) for t in model.thresholds], *[over(t) > 0 for t in model.thresholds], -math.log1p(len(saved)), sum(map(over, levels)) / len(saved)]
-        want = 1 / (1 + math.exp(-(model.weights[0] + float(np.dot(x, model.weights[1:])))))
-        r = got[d["doc_id"]]
-        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(want >= 0.5) and r["held_out"] == (remainder(d["doc_id"], 5) == 0)
+        saved[i] = own
+        want = 1 / (1 + math.exp(-(model.weights[0] + float(np.dot(toxic_features(own, model.thresholds), model.weights[1:])))))
+        r = got[i]
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(want >= 0.5) and r["held_out"] == (remainder(i, 5) == 0)
+    learnt = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] in (0, 1) and remainder(r["doc_id"], 5) and r["doc_id"] in texts}
+    best, y = np.array([max(0, *saved[i]) for i in learnt]), np.array(list(learnt.values()), float)
+    for level, t in zip(toxicity.LEVELS, model.thresholds):
+        share = lambda t: y[best >= t].mean() if (best >= t).any() else 1.0
+        assert share(t) >= level and all(share(k) < level for k in range(1, t))
+    x = np.array([[1.0, *toxic_features(saved[i], model.thresholds)] for i in learnt])
+    p = 1 / (1 + np.exp(-x @ model.weights))
+    assert np.abs(x.T @ (p - y) + model.weights).max() < 1e-3  # the penalised likelihood is at its peak
 
 
 def test_calibrated_thresholds():
-    savings = np.zeros((8, 17))
-    for row, top in enumerate([0, 0, 1, 2, 2, 3, 4, 4]):
-        savings[row, 0], savings[row, 1 : top + 1] = 1, 1
-    y = np.array([0, 0, 0, 0, 1, 1, 1, 1.0])
-    assert toxicity.calibrated(savings, y, np.ones(8), (0.5, 0.8, 0.95, 1.0)) == (1, 2, 3, 3)
-    assert toxicity.calibrated(savings, y * 0, np.ones(8), (0.5,)) == (5,)  # no text saves five bytes
+    best, y = np.array([0, 0, 1, 2, 2, 3, 4, 4]), np.array([0, 0, 0, 0, 1, 1, 1, 1.0])
+    assert toxicity.calibrated(best, y, np.ones(8), (0.5, 0.8, 0.95, 1.0)) == (1, 2, 3, 3)
+    assert toxicity.calibrated(best, y * 0, np.ones(8), (0.5,)) == (5,)  # no text saves five bytes
 
 
 def test_both_dictionaries_are_trained():
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
     ordinary = [(" ".join(rng.choice(words) for _ in range(80))).encode() for _ in range(300)]
-    toxic = [t + b" vilewretch " + u for t, u in zip(ordinary[:150], ordinary[150:])]
+    own = ["".join(rng.choice("uvwxyz") for _ in range(12)).encode() for _ in range(20)]
+    toxic = [t + b" " + own[k % 20] + b" " + u for k, (t, u) in enumerate(zip(ordinary[:150], ordinary[150:]))]
     runs = toxicity.own_runs(toxic, ordinary, (6, 8), 0.02, 10.0)
-    assert runs and all(b"vilewretch" in r for r in runs)
-    for d in (toxicity.trained(2048, ordinary, 64), toxicity.trained(256, [b"".join(runs[k : k + 16]) for k in range(0, len(runs), 16)], 16)):
-        assert d[:4] == b"\x37\xa4\x30\xec" or d in b"".join(runs)  # zstandard's mark of a trained dictionary
+    # by hand: bytes of a toxic text that some piece covers which enough toxic texts hold, and none of the ordinary ones
+    for t in toxic[:20]:
+        marks = [False] * len(t)
+        for n in (6, 8):
+            for k in range(len(t) - n + 1):
+                piece = t[k : k + n]
+                if (held := sum(piece in u for u in toxic)) >= max(4, 0.02 * 150) and held / 150 > 10 * (sum(piece in u for u in ordinary) + 1) / 300:
+                    marks[k : k + n] = [True] * n
+        found = bytes(c if m else 10 for c, m in zip(t, marks)).split(b"\n")
+        assert {r for r in found if r} <= set(runs)
+    assert toxicity.trained(2048, ordinary, 64)[:4] == toxicity.trained(256, [b"".join(runs[k : k + 16]) for k in range(0, len(runs), 16)], 16)[:4] == b"\x37\xa4\x30\xec"
+    assert toxicity.trained(2048, [], 64) is None is toxicity.trained(2048, [b"one sample only"], 64)
 
 
 def test_url_query_and_miner(spark, tables):

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_map, stored
 
-#: Savings of a window are counted up to so many bytes.
-MOST = 16
 #: Precisions, on the labelled rows, that the thresholds of savings are calibrated to.
 LEVELS = (0.25, 0.5, 0.75, 0.9)
 
@@ -83,13 +81,12 @@ def own_runs(toxic: Sequence[bytes], ordinary: Sequence[bytes], pieces: Sequence
     return out
 
 
-def trained(size: int, samples: list[bytes], k: int) -> bytes:
-    """A zstandard dictionary trained on the samples; where they are too few to train on, the samples themselves."""
-    samples = [s for s in samples if len(s) >= 8]
+def trained(size: int, samples: list[bytes], k: int) -> bytes | None:
+    """A zstandard dictionary trained on the samples; None where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=8).as_bytes()
+        return zstandard.train_dictionary(size, [s for s in samples if len(s) >= 8], k=k, d=8).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[:size]
+        return None
 
 
 @dataclass
@@ -122,49 +119,50 @@ class _Measure:
         self.ordinary, self.toxic = sizer(model.ordinary), sizer(model.toxic + model.ordinary)
 
     def savings(self, text: str) -> list[int]:
-        """How many windows of the whole text there are, and how many save 1, 2, ... MOST bytes or more under the toxic dictionary."""
-        b, at, saved = clean(text), 0, []
+        """How many windows of the whole text there are, and the bytes that those save that save any under the toxic dictionary, the most first."""
+        b, at, saved, n = clean(text), 0, [], 0
         while at < len(b):
             end = b.find(b" ", at + self.model.window)
             end = len(b) if end < 0 else end + 1
             for a in range(at, end, 4096):  # a word without end is cut
                 w = b[max(0, a - 1) : min(end, a + 4096)]
-                saved.append(len(self.ordinary(w)) - len(self.toxic(w)))
+                n += 1
+                if (less := len(self.ordinary(w)) - len(self.toxic(w))) > 0:
+                    saved.append(less)
             at = end
-        held = np.bincount(np.clip(saved, 0, MOST), minlength=MOST + 1)
-        return [len(saved), *held[::-1].cumsum()[::-1][1:].tolist()]
+        return [n, *sorted(saved, reverse=True)]
 
     def score(self, text: str) -> float:
         if len(self.model.weights) == 1:
             z = self.model.weights[0]
         else:
-            z = self.model.weights[0] + float(features(np.array([self.savings(text)], float), self.model.thresholds)[0] @ self.model.weights[1:])
+            z = self.model.weights[0] + float(features([self.savings(text)], self.model.thresholds)[0] @ self.model.weights[1:])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def features(savings: np.ndarray, thresholds: Sequence[int]) -> np.ndarray:
+def features(savings: Sequence[Sequence[int]], thresholds: Sequence[int]) -> np.ndarray:
     """Of each row of savings(): the two best windows, the windows over each threshold and whether there is any, the windows, the mean saving."""
-    n, over = savings[:, :1], savings[:, 1:]
-    at = over[:, [t - 1 for t in thresholds]]
-    best = np.c_[(over >= 1).sum(1), (over >= 2).sum(1)]
-    return np.c_[np.minimum(best, 10), np.log1p(at), at > 0, -np.log1p(n), over.sum(1) / n[:, 0]]
+    out = []
+    for n, *saved in savings:
+        at = [sum(s >= t for s in saved) for t in thresholds]
+        best = [*saved[:2], 0, 0][:2]
+        out.append([*map(np.log1p, best), *map(np.log1p, at), *[k > 0 for k in at], -np.log1p(n), sum(saved) / n])
+    return np.array(out, float)
 
 
-def calibrated(savings: np.ndarray, y: np.ndarray, weight: np.ndarray, levels: Sequence[float] = LEVELS) -> tuple[int, ...]:
-    """For each level the least saving at which texts with a window that saves as much are toxic in that share, weighted; else the largest counted."""
-    out = []
-    for level in levels:
-        shares = [(weight * y)[hit].sum() / weight[hit].sum() if (hit := savings[:, t] > 0).any() else 1.0 for t in range(1, MOST + 1)]
-        out.append(next((t for t, s in enumerate(shares, 1) if s >= level), MOST))
-    return tuple(out)
+def calibrated(best: np.ndarray, y: np.ndarray, weight: np.ndarray, levels: Sequence[float] = LEVELS) -> tuple[int, ...]:
+    """For each level the least saving at which texts whose best window saves as much are toxic in that share, weighted; else one more than the largest there is."""
+    most = int(best.max(initial=0))
+    shares = [(weight * y)[best >= t].sum() / weight[best >= t].sum() for t in range(1, most + 1)]
+    return tuple(next((t for t, s in enumerate(shares, 1) if s >= level), most + 1) for level in levels)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3000, pieces: Sequence[int] = (6, 8), least_share: float = 0.02, least_ratio: float = 10.0, ordinary_size: int = 8192, toxic_size: int = 2048) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3000, sample_bytes: int = 64 << 20, pieces: Sequence[int] = (6, 8), least_share: float = 0.02, least_ratio: float = 10.0, ordinary_size: int = 8192, toxic_size: int = 2048) -> Model:
     """Both dictionaries, the thresholds and the calibration, from at most about sample_rows labelled rows of each class, drawn by a hash of the id.
 
     The ordinary dictionary is trained on the windows of ordinary texts, the toxic one on the runs of toxic texts that ordinary texts lack (own_runs): trained on whole
     toxic texts, it would mostly hold what both share. Equal texts count once. The driver holds the sampled rows, whose number does not grow with the
-    table. With one class only, or none, every score is that class's share.
+    table, and of each class no more once they come to sample_bytes. With one class only, or none, every score is that class's share, and with samples too few to train a dictionary on it is the share of toxic rows.
     """
     spark = docs.sparkSession
     y = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -178,8 +176,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sample = stored(texts.join(F.broadcast(drawn), "_id").dropDuplicates(["_id"]))
     rng = random.Random(5)
     of: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sample.select("y", "text").toLocalIterator():
-        of[r["y"]].append(clean(r["text"]))
+    held = {0: 0, 1: 0}
+    for r in sample.orderBy(F.xxhash64("_id")).select("y", "text").toLocalIterator():
+        if held[r["y"]] < sample_bytes:
+            of[r["y"]].append(clean(r["text"]))
+            held[r["y"]] += len(of[r["y"]][-1])
     if not (of[0] and of[1]):
         return Model(weights=np.array([float(np.log(n1 / n0))]))
     got = {k: len(v) for k, v in of.items()}
@@ -190,8 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     windows = [t[i : i + model.window] for t in of[0] for i in range(0, len(t), model.window)]
     rng.shuffle(windows)
     runs = own_runs(of[1], of[0], pieces, least_share, least_ratio)
-    model.ordinary = trained(ordinary_size, windows, 64)
-    model.toxic = trained(toxic_size, [b"".join(runs[k : k + 16]) for k in range(0, len(runs), 16)], 16)
+    ordinary, toxic = trained(ordinary_size, windows, 64), trained(toxic_size, [b"".join(runs[k : k + 16]) for k in range(0, len(runs), 16)], 16)
+    if ordinary is None or toxic is None:
+        return Model(weights=np.array([float(np.log(n1 / n0))]))
+    model.ordinary, model.toxic = ordinary, toxic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = model.measure()
@@ -200,8 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     rows = arrow_map(sample.select("text", "y").repartition(max(1, spark.sparkContext.defaultParallelism)), run, "y int, s array<long>").collect()
     rows.sort(key=lambda r: (r["y"], r["s"]))
-    savings, label = np.array([r["s"] for r in rows], float), np.array([r["y"] for r in rows], float)
-    model.thresholds = calibrated(savings, label, np.where(label == 1, n1 / got[1], n0 / got[0]))
+    savings, label = [r["s"] for r in rows], np.array([r["y"] for r in rows], float)
+    model.thresholds = calibrated(np.array([max(s[1:], default=0) for s in savings]), label, np.where(label == 1, n1 / got[1], n0 / got[0]))
     model.weights = logistic(features(savings, model.thresholds), label)
     model.weights[0] += np.log(n1 / n0) - np.log(got[1] / got[0])  # the classes were drawn at different rates
     return model

@@ -149,15 +149,6 @@ def test_quantile_sweep_against_pandas(spark):
     assert all(got[i] is None for i in pdf.loc[pdf["season"].isna(), "id"])
 
 
-def test_components_drop_what_lies_in_holes():
-    on = np.zeros((12, 12), bool)
-    on[1:10, 1:10] = True
-    on[3:8, 3:8] = False
-    on[5, 5] = True
-    on[11, 11] = True
-    assert sorted(raster.outer_boxes(on, 1)) == [(1, 1, 9, 9), (11, 11, 1, 1)]
-
-
 def test_suppression_against_loop(spark):
     rng = np.random.default_rng(7)
     rows = [(int(i), float(rng.random()), *map(float, (x, y, x + 30, y + 30))) for i, x, y in zip(rng.integers(0, 5, 80), rng.integers(0, 90, 80), rng.integers(0, 90, 80))]

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import discard, mark, written
+from tidemark.session import discard, own_run, written
 
 EDGE = ["x1", "y1", "x2", "y2"]
 GRID = ["s", "x0", "y0"]
@@ -111,12 +111,13 @@ def _cell(edges: DataFrame) -> DataFrame:
     return edges.withColumn("ci", F.floor(F.least("x1", "x2") / F.col("s")) - on_border.cast("long")).withColumn("cj", F.floor(F.col("y1") / F.col("s")))
 
 
+@own_run
 def noded(edges: DataFrame) -> DataFrame:
     """Edges on their key's grid that meet only at their ends: cut at crossings and at ends of others that lie on them.
 
     Crossings are rounded, which can make new ones: rounds go on, over pairs with a changed edge only, until none is found. Pairs meet in the cells of the grid.
     """
-    spark, began = edges.sparkSession, mark()
+    spark = edges.sparkSession
     out = written(_gridded(edges).withColumn("fresh", F.lit(True)))
     for _ in range(MOST_ROUNDS):
         own = _cell(out)
@@ -131,7 +132,7 @@ def noded(edges: DataFrame) -> DataFrame:
         cuts = pairs.select("key", F.explode(_cuts(e, f)).alias("_c")).groupBy("key", "_c.e").agg(F.collect_set("_c.p").alias("p"))
         cuts = written(cuts.select("key", *[F.col("e")[c].alias(c) for c in EDGE], "p"))
         if cuts.isEmpty():
-            discard(spark, began, keep=[out])
+            discard(spark, keep=[out])
             return out.drop("fresh")
         dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
         along = F.array_sort(F.transform("p", lambda p: F.struct(((p["x"] - F.col("x1")) * dx + (p["y"] - F.col("y1")) * dy).alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
@@ -139,7 +140,7 @@ def noded(edges: DataFrame) -> DataFrame:
         points = F.concat(ends("x1", "y1"), F.coalesce(F.transform(along, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.array().cast("array<struct<x:bigint,y:bigint>>")), ends("x2", "y2"))
         split = _pieces(out.join(cuts, ["key", *EDGE], "left").withColumn("fresh", F.col("p").isNotNull()), points).drop("p")
         out = written(split.groupBy("key", *GRID, *EDGE).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("fresh").alias("fresh")).where("a != 0 or b != 0"))
-        discard(spark, began, keep=[out])
+        discard(spark, keep=[out])
     raise RuntimeError(f"edges still cross after {MOST_ROUNDS} rounds")
 
 
@@ -205,13 +206,14 @@ def measures(edges: DataFrame, precision: float) -> DataFrame:
     return edges.groupBy("key").agg((doubled / 2.0 * precision * precision).alias("area"), (around * precision).alias("perimeter"))
 
 
+@own_run
 def rings(edges: DataFrame, precision: float) -> DataFrame:
     """key, ring_id, ring, area of regions given by their directed boundary: shells counter-clockwise with positive areas, holes clockwise with negative ones.
 
     An edge goes on with the leftmost one at its end, so regions that touch at a point are rings of their own. Rings form by doubling: in each round an edge looks twice as far ahead for the
     smallest number on its ring, which takes as many rounds as the longest ring's length has bits. Vertices on a straight line are left out, and equal ones joined.
     """
-    spark, began = edges.sparkSession, mark()
+    spark = edges.sparkSession
     e = written(edges.withColumn("id", F.monotonically_increasing_id()))
     turn = F.pmod(F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2")) - F.atan2(F.col("_y") - F.col("y2"), F.col("_x") - F.col("x2")), F.lit(6.283185307179586))
     ahead = e.select("key", F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("_x"), F.col("y2").alias("_y"), F.col("id").alias("_next"))
@@ -223,7 +225,7 @@ def rings(edges: DataFrame, precision: float) -> DataFrame:
         nearer = F.col("_least") < F.col("least")
         at = written(at.join(ahead_of(at), "ptr").select("id", F.col("_ptr").alias("ptr"), F.least("least", "_least").alias("least"), F.when(nearer, F.col("_steps") + reach).otherwise(F.col("steps")).alias("steps"), nearer.alias("moved")))
         reach *= 2
-        discard(spark, began, keep=[e, at])
+        discard(spark, keep=[e, at])
     points = F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("t"), F.col("x1").alias("x"), F.col("y1").alias("y"))))
     whole = e.join(at.select("id", "least", "steps"), "id").groupBy("key", F.col("least").alias("ring_id")).agg(points.alias("_p"), (F.sum((F.col("x1") - F.col("x2")) * (F.col("y1") + F.col("y2"))) / 2.0 * precision * precision).alias("area"))
     n = F.size("_p")

@@ -58,12 +58,8 @@ def per_window(items: DataFrame, windows: DataFrame, *, time: str, id_col: str,
     return out if limit is None else out.orderBy("k", "rank").limit(limit)
 
 
-def grid_starts(spark: SparkSession, height: int, width: int, size: int, stride: int, scales: Sequence[float] = (1.0,)) -> DataFrame:
-    """scale, row, col, side of a chip grid over an image at several scales; side is size * scale rounded half to even."""
-    rows = []
-    for s in scales:
-        side = round(size * s)
-        rows.append((float(s), side, max(0, height - side), max(0, width - side)))
-    df = spark.createDataFrame(rows, "scale double, side int, last_row int, last_col int")
-    df = df.select("scale", "side", F.explode(F.sequence(F.lit(0), "last_row", F.lit(stride))).alias("row"), "last_col")
-    return df.select("scale", "row", F.explode(F.sequence(F.lit(0), "last_col", F.lit(stride))).alias("col"), "side")
+def grid_starts(images: DataFrame, size: int, stride: int, scales: Sequence[float] = (1.0,)) -> DataFrame:
+    """images (height, width, ...) with scale, row, col, side of a chip grid over each at several scales; side is size * scale rounded half to even, and an image smaller than it has one chip at its corner."""
+    out = images.select("*", F.explode(F.array(*[F.struct(F.lit(float(s)).alias("scale"), F.lit(round(size * s)).alias("side")) for s in scales])).alias("_s")).select(*images.columns, "_s.*")
+    starts = lambda c: F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(c) - F.col("side")), F.lit(stride)))
+    return out.withColumn("row", starts("height")).withColumn("col", starts("width"))

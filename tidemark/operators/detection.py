@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.boxes import iou
+from tidemark.operators.metrics import running_sums
 from tidemark.operators.ranking import numbered, split_by_rank
+from tidemark.session import discard, own_run, written
 
 IOUS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
 
@@ -34,6 +37,54 @@ def suppressed(df: DataFrame, group: Sequence[str], *, score: str = "score", box
     return out if top is None else out.where(F.col("rank") <= top)
 
 
+@own_run
+def suppressed_in_rounds(df: DataFrame, group: Sequence[str], *, score: str = "score", box: Sequence[str] = ("x1", "y1", "x2", "y2"), score_min: float = 0.30, iou_max: float = 0.50, top: int | None = 20, heads_of_cell: int = 32) -> DataFrame:
+    """What suppressed() gives, for images of any number of boxes: no image is one row or one task.
+
+    Boxes that can overlap by more than iou_max have like sides, so each lies in the few cells of its sides' powers of two and of those up to 1 / iou_max as large. In a round each cell's best
+    undecided boxes are its heads, heads_of_cell at most. A box that is a head of all its cells has all undecided boxes that could drop it beside it there, and is kept if none of the better ones overlaps it;
+    what a kept box overlaps is dropped, and the others go on to the next round. Pairs are made of heads of one cell, and of kept heads with the boxes of their cells. iou_max must be
+    above 0. Equal boxes of equal score are kept once. Boxes without an extent overlap nothing and are kept.
+    """
+    if not iou_max > 0:
+        raise ValueError("iou_max must be above 0")
+    spark, keys = df.sparkSession, list(group)
+    c = [f"_{k}" for k in range(4)]
+    rows = df.where(F.col(score) >= score_min).select(*keys, (-F.col(score)).alias("_m"), *[F.col(b).cast("double").alias(k) for b, k in zip(box, c)]).distinct()
+    reach = max(0, math.ceil(math.log2(1 / iou_max)))
+    sides = {"_w": F.col("_2") - F.col("_0"), "_h": F.col("_3") - F.col("_1")}
+    flat = rows.withColumns(sides).withColumn("_r", F.struct("_m", *c))
+    wide = flat.where("_w > 0 and _h > 0")
+    for axis, side in (("x", "_w"), ("y", "_h")):
+        level = F.floor(F.log2(side)).cast("int")
+        wide = wide.withColumn(f"_l{axis}", F.explode(F.sequence(level, level + reach))).withColumn("_s", F.pow(F.lit(2.0), F.col(f"_l{axis}") + 1))
+        lo, hi = ("_0", "_2") if axis == "x" else ("_1", "_3")
+        wide = wide.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(F.col(lo) / F.col("_s")), F.floor(F.col(hi) / F.col("_s")))))
+    cell = [*keys, "_lx", "_ly", "_cx", "_cy"]
+    left = written(wide.select(*cell, "_r"))
+    kept = [flat.where("not (_w > 0 and _h > 0)").select(*keys, "_r")]
+    at = lambda s: tuple(F.col(s)[k] for k in c)
+    over = iou(at("_b"), at("_r")) > iou_max
+    while not left.isEmpty():
+        heads = left.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy("_r"))).where(F.col("_n") <= heads_of_cell).drop("_n")
+        heads = written(heads)
+        whole = left.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n")).join(heads.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n")), [*keys, "_r", "_n"], "left_semi").drop("_n")
+        better = heads.select(*cell, F.col("_r").alias("_b"))
+        blocked = heads.join(better, cell).where((F.col("_b") < F.col("_r")) & over).select(*keys, "_r")
+        chosen = written(whole.join(blocked, [*keys, "_r"], "left_anti"))
+        kept.append(chosen)
+        near = left.join(heads.join(chosen, [*keys, "_r"], "left_semi").select(*cell, F.col("_r").alias("_b")), cell)
+        gone = near.where((F.col("_r") == F.col("_b")) | over).select(*keys, "_r").distinct()
+        left = written(left.join(gone, [*keys, "_r"], "left_anti"))
+        discard(spark, keep=[left, *kept[1:]])
+    out = kept[0]
+    for more in kept[1:]:
+        out = out.unionByName(more)
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_r")))
+    out = out if top is None else out.where(F.col("rank") <= top)
+    return out.select(*keys, "rank", (-F.col("_r._m")).alias("score"), *[F.col("_r")[k].alias(b) for k, b in zip(c, box)])
+
+
 def rescaled(dets: DataFrame, images: DataFrame, size: int, box: Sequence[str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """Boxes from a size x size model frame to each image's own width and height."""
     out = dets.join(images.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h")), "image_id")
@@ -109,9 +160,8 @@ def average_precision(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100
     found = matches(dets, truths, max_dets=max_dets, ious=ious)
     real = truths.where("coalesce(iscrowd, 0) = 0") if "iscrowd" in truths.columns else truths
     n = real.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("category_id", "iou").orderBy(F.desc("score"))
-    steps = found.groupBy("category_id", "iou", "score").agg(F.sum("tp").alias("t"), F.count(F.lit(1)).alias("c"))
-    steps = steps.withColumns({"tp": F.sum("t").over(w), "seen": F.sum("c").over(w)}).join(F.broadcast(n), "category_id")  # n: one row a category
+    counts = found.groupBy("category_id", "iou", "score").agg(F.sum("tp").alias("t"), F.count(F.lit(1)).alias("c"))
+    steps = running_sums(counts, ["category_id", "iou"], "score", ["t", "c"]).select("category_id", "iou", F.col("t_upto").alias("tp"), F.col("c_upto").alias("seen")).join(n, "category_id")
     curve = steps.select("category_id", "iou", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("seen")).alias("precision"))
     # each recall level from the one before this step up to it takes this step's precision if no later one is better
     level = curve.withColumn("k", F.floor(F.col("recall") * 100 + 1e-9).cast("int")).groupBy("category_id", "iou", "k").agg(F.max("precision").alias("p"))

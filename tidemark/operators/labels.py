@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import season
+from tidemark.operators.quantiles import exact_quantiles
+from tidemark.session import written
 
 GROUPS = {"none": (), "season": ("season",), "year": ("year",), "year_season": ("year", "season")}
 
@@ -29,7 +31,7 @@ def quantile_labels(df: DataFrame, *, flh: str | None = "flh", chlor: str | None
     """df with a 0/1 label: values at or over the highest quantile level that gives its group any positive, else over absolute thresholds.
 
     A row is positive at a level if flh or chlor reaches its group's exact quantile, and kd is at least kd_floor where the group has any kd. NaN counts as missing. Rows with
-    a null group key have a null label. All levels are taken in one aggregate a group and the rows join the few groups' results, so no group is one task.
+    a null group key have a null label. All levels are selected without merging a group's values, and the rows join the few groups' results, so no group is one task.
     """
     there = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) if c and c in df.columns else F.lit(None).cast("double")
     if not any(c and c in df.columns for c in (flh, chlor)):
@@ -39,8 +41,8 @@ def quantile_labels(df: DataFrame, *, flh: str | None = "flh", chlor: str | None
     on = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_g{i}") for i, k in enumerate(keys)] or [F.lit("").alias("_g0")]
     g = [f"_g{i}" for i in range(len(on))]
     rows = rows.select("*", *on)
-    at = F.array(*map(F.lit, ls))
-    stats = rows.groupBy(*g).agg(F.percentile("_f", at).alias("_tf"), F.percentile("_c", at).alias("_tc"), F.count("_k").alias("_nk"))
+    at = exact_quantiles(rows, g, ["_f", "_c"], ls).select(*g, F.col("_f").alias("_tf"), F.col("_c").alias("_tc"))
+    stats = written(rows.groupBy(*g).agg(F.count("_k").alias("_nk")).join(at, g, "left"))
     rows = rows.join(F.broadcast(stats), g)  # one row a year or season
     fine = (F.col("_nk") == 0) | F.coalesce(F.col("_k") >= kd_floor, F.lit(False))
 

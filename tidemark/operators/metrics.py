@@ -113,22 +113,26 @@ def overlap(df: DataFrame, pred: str, truth: str, sample: str, channel: str, eps
     return per.agg(F.avg(iou).alias("mean_iou"), F.avg(dice).alias("mean_dice"))
 
 
-def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row a distinct score, descending, with true and false positives so far.
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
+    """df with the sums so far of some columns by falling order within each key, and any key may hold most rows.
 
-    The scores are range-partitioned and written with their partition, once, so that both readers see the same ranges; a running sum within each partition and
-    the totals of those before it, one row a partition, give the cumulative counts.
+    The rows are range-partitioned by key and order and written with their partition, once, so that both readers see the same ranges; a running sum within each partition and
+    the totals of those before it, one row a key and partition, give the sums. Rows of a key that are equal in order must not be there twice.
     """
-    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = written(counts.repartitionByRange(parts, F.desc("s")).withColumn("k", F.spark_partition_id()))
-    w = Window.partitionBy("k").orderBy(F.desc("s"))
-    local = spread.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
-    totals = spread.groupBy("k").agg(F.sum("p").alias("p0"), F.sum("n").alias("n0"))
-    earlier = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("k", F.coalesce(F.sum("p0").over(earlier), F.lit(0)).alias("p0"), F.coalesce(F.sum("n0").over(earlier), F.lit(0)).alias("n0"))
-    out = local.join(F.broadcast(totals), "k")
-    return out.select("s", "p", "n", (F.col("tp") + F.col("p0")).alias("tp"), (F.col("fp") + F.col("n0")).alias("fp"))
+    spread = written(df.repartitionByRange(parts, *keys, F.desc(order)).withColumn("_k", F.spark_partition_id()))
+    w = Window.partitionBy(*keys, "_k").orderBy(F.desc(order))
+    earlier = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    totals = spread.groupBy(*keys, "_k").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    totals = totals.select(*keys, "_k", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    out = spread.withColumns({f"{c}_upto": F.sum(c).over(w) for c in sums}).join(totals, [*keys, "_k"])
+    return out.select(*df.columns, *[(F.col(f"{c}_upto") + F.col(f"_{c}")).alias(f"{c}_upto") for c in sums])
+
+
+def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
+    """One row a distinct score, descending, with true and false positives so far."""
+    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
+    return running_sums(counts, [], "s", ["p", "n"]).select("s", "p", "n", F.col("p_upto").alias("tp"), F.col("n_upto").alias("fp"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +26,31 @@ def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fit_classifier(df: DataFrame, features: Sequence[str], label: str, *, max_iter: int = 200) -> PipelineModel:
-    """Standardised, class-balanced logistic regression with unit inverse regularisation."""
+    """Class-balanced logistic regression with unit inverse regularisation, on features standardised by their population deviation."""
     rows = complete(df, [*features, label])
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # one row a class
     n = sum(counts.values())
     weight = F.lit(1.0)
     for k, v in counts.items():
         weight = F.when(F.col(label) == k, F.lit(n / (len(counts) * v))).otherwise(weight)
+    population = math.sqrt(n / max(1, n - 1))  # the scaler divides by the sample deviation
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-        LogisticRegression(featuresCol="_scaled", labelCol=label, weightCol="_weight", maxIter=max_iter, regParam=1 / max(n, 1), standardization=False),
+        StandardScaler(inputCol="_raw", outputCol="_sample", withMean=True, withStd=True),
+        ElementwiseProduct(inputCol="_sample", outputCol="_scaled", scalingVec=Vectors.dense([population] * len(features))),
+        LogisticRegression(featuresCol="_scaled", labelCol=label, weightCol="_weight", maxIter=max_iter, regParam=1 / max(n, 1), tol=1e-12, standardization=False),
     ]
     return Pipeline(stages=stages).fit(rows.withColumn("_weight", weight))
 
 
+def save_classifier(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_classifier(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def classify(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """df with probability and predicted (1 above the threshold)."""
     out = model.transform(df.withColumn("_weight", F.lit(1.0)))

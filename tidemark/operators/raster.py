@@ -1,11 +1,9 @@
-"""Chip indices, stretches, masks and connected components on packed rasters."""
+"""Chip indices, stretches and masks on packed rasters."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,69 +145,3 @@ def dilated(pixels: DataFrame, *keys: str) -> DataFrame:
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     spread = pixels.select(*keys, F.col("i"), F.col("j"), F.explode(around).alias("di")).select("*", F.explode(around).alias("dj"))
     return spread.select(*keys, (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j")).distinct()
-
-
-def _label(on: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
-    """Component numbers from 1 of the true pixels, by flood over the given steps."""
-    out = np.zeros(on.shape, np.int32)
-    n = 0
-    for start in zip(*np.nonzero(on)):
-        if out[start]:
-            continue
-        n += 1
-        out[start] = n
-        queue = [start]
-        while queue:
-            i, j = queue.pop()
-            for di, dj in steps:
-                y, x = i + di, j + dj
-                if 0 <= y < on.shape[0] and 0 <= x < on.shape[1] and on[y, x] and not out[y, x]:
-                    out[y, x] = n
-                    queue.append((y, x))
-    return out
-
-
-EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
-
-
-def outer_boxes(on: np.ndarray, min_area: int) -> list[tuple[int, int, int, int]]:
-    """x, y, width, height of the eight-connected components that lie in no hole of another, of min_area box pixels or more."""
-    label = _label(on, EIGHT)
-    outside = np.pad(~on, 1, constant_values=True)
-    background = _label(outside, FOUR)
-    open_ = background == background[0, 0]
-    touched = np.zeros(on.shape, bool)
-    for di, dj in FOUR:
-        touched |= open_[1 + di : 1 + di + on.shape[0], 1 + dj : 1 + dj + on.shape[1]]
-    out = []
-    for k in range(1, label.max() + 1 if label.size else 1):
-        own = label == k
-        if not (own & touched).any():
-            continue
-        ys, xs = np.nonzero(own)
-        x, y, w, h = int(xs.min()), int(ys.min()), int(xs.max() - xs.min() + 1), int(ys.max() - ys.min() + 1)
-        if w * h >= min_area:
-            out.append((x, y, w, h))
-    return out
-
-
-def component_boxes(tiles: DataFrame, *, key: str, values: str, width: str = "w", threshold: float = 180, min_area: int = 100, dilate: bool = True) -> DataFrame:
-    """key, x, y, box_w, box_h for the bright components of each tile (a flat array of values and its width), after a 3x3 dilation.
-
-    One tile is one row, so tiles are worked on where they lie.
-    """
-    kind = dict(tiles.dtypes)[key]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for k, v, w in zip(pdf[key], pdf[values], pdf[width]):
-                on = np.asarray(v, float).reshape(-1, int(w)) > threshold
-                if dilate and on.size:
-                    wide = np.pad(on, 1)
-                    on = np.logical_or.reduce([wide[a : a + on.shape[0], b : b + on.shape[1]] for a in range(3) for b in range(3)])
-                rows += [(k, *box) for box in outer_boxes(on, min_area)]
-            yield pd.DataFrame(rows, columns=[key, "x", "y", "box_w", "box_h"])
-
-    return tiles.select(key, values, width).mapInPandas(run, f"{key} {kind}, x int, y int, box_w int, box_h int")

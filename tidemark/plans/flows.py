@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, ml
 from tidemark.plans.base import query, table
 from tidemark.plans.rows import ASOF, BINS, _composites
-from tidemark.session import shared_folder
+from tidemark.session import folder
 from tidemark.sources import catalogue, fetch, tables
 
 #: Weights of the scoring query's linear model: any will do.
@@ -34,7 +32,7 @@ def q_stream_enrich(spark, sf):
     """Arriving orders enriched with their nearest composite, batch by batch; the result is what the stream wrote."""
     from tidemark.streaming.jobs import enrich_arrivals
 
-    out = f"{shared_folder(spark)}/enriched-{uuid.uuid4().hex}"
+    out = folder(spark, "enriched")
     composites = _composites(spark, 1995, 1998)
     enrich = lambda batch: asof.nearest_day(batch, composites, left_time="o_orderdate", right_time="mid", value="path", max_days=30).select("o_orderkey", "path", "gap_days")
     enrich_arrivals(_stream(spark, sf, "orders"), enrich, f"{out}/rows", f"{out}/state").awaitTermination()
@@ -46,7 +44,7 @@ def q_stream_windows(spark, sf):
     """Year-anchored windows kept as a stream's state under a watermark; the last update of each day's window counts."""
     from tidemark.streaming.jobs import latest, year_windows
 
-    out = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    out = folder(spark, "windows")
     days = latest(year_windows(_stream(spark, sf, "events"), "ts", "value"), f"{out}/rows", f"{out}/state", ("year", "bin", "day"))
     return days.groupBy("year", "bin").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
@@ -59,7 +57,7 @@ def q_stream_plateau(spark, sf):
     """Daily means arrive in order and each type's state is carried from batch to batch: the rate is halved after more than three days without a new best."""
     from tidemark.streaming.jobs import plateau_states
 
-    out = f"{shared_folder(spark)}/plateau-{uuid.uuid4().hex}"
+    out = folder(spark, "plateau")
     days = table(spark, sf, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 6).alias("v"))
     days.write.parquet(f"{out}/in")
     stream = spark.readStream.schema(days.schema).parquet(f"{out}/in")

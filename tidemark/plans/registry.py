@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof, calendars, labels
-from tidemark.plans import coast, flows, rows, shapes, values  # noqa: F401  they register their queries
+from tidemark.plans import coast, files, flows, roundtrips, rows, shapes, values  # noqa: F401  they register their queries
 from tidemark.plans.base import ORACLES, QUERIES, Query, table
 
 

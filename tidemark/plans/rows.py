@@ -72,25 +72,32 @@ def q_season(spark, sf):
     return table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y"), numeric.season(F.month("o_orderdate")).alias("season")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Suites and variables of the products in file names: fixed values.
 SUITES = {"chlor_a": ("CHL", "chlor_a"), "Kd_490": ("KD", "Kd_490"), "nflh": ("FLH", "nflh")}
 BINS = """SELECT y AS year, k AS bin, (make_date(y, 1, 1) + (8 * k)::int)::date AS d0, least((make_date(y, 1, 1) + (8 * k + 7)::int)::date, make_date(y, 12, 31)) AS d1
  FROM range({0}, {1}) a(y), range(0, 46) b(k)"""
 
 
-@query(f"""WITH b AS ({BINS.format(2019, 2021)}), p(product, suite, variable) AS (VALUES ('chlor_a', 'CHL', 'chlor_a'), ('Kd_490', 'KD', 'Kd_490'), ('nflh', 'FLH', 'nflh'))
+@query(f"""WITH b AS (SELECT * FROM ({BINS.format(1990, 2005)}) SEMI JOIN (SELECT year(o_orderdate) AS year, (dayofyear(o_orderdate) - 1) // 8 AS bin FROM orders) USING (year, bin)), p(product, suite, variable) AS (VALUES ('chlor_a', 'CHL', 'chlor_a'), ('Kd_490', 'KD', 'Kd_490'), ('nflh', 'FLH', 'nflh'))
  SELECT product, 'AQUA_MODIS.' || strftime(d0, '%Y%m%d') || '_' || strftime(d1, '%Y%m%d') || '.L3m.8D.' || suite || '.' || variable || '.4km.nc' AS name, strftime(d0, '%Y-%m-%d') AS d0,
  strftime(d1, '%Y-%m-%d') AS d1, strftime(d0::timestamp + (d1::timestamp - d0::timestamp) / 2, '%Y-%m-%d %H') AS mid FROM b, p""")
 def q_name_dates(spark, sf):
-    rows = calendars.file_names(calendars.eight_day_bins(spark, 2019, 2020), SUITES, "8D").select("product", "name")
+    """Names of the products of all bins that have orders, and the dates in them."""
+    year, k = calendars.year_bin(F.col("o_orderdate"))
+    used = table(spark, sf, "orders").select(year.alias("year"), k.alias("bin")).distinct()
+    bins = calendars.eight_day_bins(spark, 1990, 2004).join(used, ["year", "bin"], "left_semi")
+    rows = calendars.file_names(bins, SUITES, "8D").select("product", "name")
     a, b = names.date_range(F.col("name"))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return rows.select("product", "name", day(a).alias("d0"), day(b).alias("d1"), F.date_format(names.middle(F.col("name")), "yyyy-MM-dd HH").alias("mid"))
 
 
-@query("""SELECT z, b, CASE WHEN b >= 'N' THEN 32600 + z ELSE 32700 + z END AS epsg FROM (SELECT z::int AS z, unnest(string_split('CDEFGHJKLMNPQRSTUVWX', '')) AS b FROM range(1, 61) t(z)) WHERE b <> ''""")
+@query("""SELECT p_partkey, CASE WHEN b >= 'N' THEN 32600 + z ELSE 32700 + z END AS epsg FROM (SELECT p_partkey, (p_partkey % 60 + 1)::int AS z, 'CDEFGHJKLMNPQRSTUVWX'[p_partkey * 7 % 20 + 1] AS b FROM part)""")
 def q_mgrs_epsg(spark, sf):
-    rows = spark.range(1, 61).select(F.col("id").cast("int").alias("z"), F.explode(F.split(F.lit("C,D,E,F,G,H,J,K,L,M,N,P,Q,R,S,T,U,V,W,X"), ",")).alias("b"))
-    return rows.select("z", "b", names.utm_epsg(F.concat(F.lit("S2_T"), F.lpad(F.col("z").cast("string"), 2, "0"), "b", F.lit("QG"))).alias("epsg"))
+    """The projection of each part's tile."""
+    k = F.col("p_partkey")
+    band = F.element_at(F.split(F.lit("C,D,E,F,G,H,J,K,L,M,N,P,Q,R,S,T,U,V,W,X"), ","), (k * 7 % 20 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", names.utm_epsg(F.concat(F.lit("S2_T"), F.lpad((k % 60 + 1).cast("string"), 2, "0"), band, F.lit("QG"))).alias("epsg"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^[^/]*//([^/?#]*)', 1) AS host, regexp_extract(url, '([^/]*)$', 1) AS file,
@@ -110,9 +117,12 @@ def q_sigfig(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", parse.significant(F.sqrt("l_extendedprice")).alias("x"))
 
 
-@query("""SELECT strftime(d, '%Y-%m-%d') AS d0, strftime(last_day(d), '%Y-%m-%d') AS d1, strftime(d + 14, '%Y-%m-%d') AS tag FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::date AS d)""")
+@query("""SELECT strftime(d, '%Y-%m-%d') AS d0, strftime(last_day(d), '%Y-%m-%d') AS d1, strftime(d + 14, '%Y-%m-%d') AS tag, (SELECT count(*) FROM orders WHERE o_orderdate >= d AND o_orderdate < last_day(d) + 1) AS n FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::date AS d)""")
 def q_calendar_months(spark, sf):
-    return calendars.months(spark, 1995, 2001).select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("d0", "d1", "tag")])
+    """Orders by calendar month, months without any included."""
+    n = table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "month").alias("d0")).agg(F.count(F.lit(1)).alias("n"))
+    out = calendars.months(spark, 1995, 2001).join(n, "d0", "left")
+    return out.select(*[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("d0", "d1", "tag")], F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT year(o_orderdate) AS year, ((dayofyear(o_orderdate) - 1) // 8)::int AS bin, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
@@ -121,9 +131,13 @@ def q_calendar_8day(spark, sf):
     return table(spark, sf, "orders").groupBy(y.alias("year"), k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(BINS.format(1995, 2002).replace("SELECT y AS year", "SELECT y::int AS year").replace("k AS bin", "k::int AS bin").replace("::date AS d0", "::date::varchar AS d0").replace("make_date(y, 12, 31)) AS d1", "make_date(y, 12, 31))::varchar AS d1"))
+@query(f"""SELECT year::int AS year, bin::int AS bin, d0::varchar AS d0, d1::varchar AS d1, (SELECT count(*) FROM orders WHERE o_orderdate >= d0 AND o_orderdate < d1 + 1) AS n FROM ({BINS.format(1995, 2002)})""")
 def q_eight_day_bins(spark, sf):
-    return calendars.eight_day_bins(spark, 1995, 2001).select("year", "bin", F.col("d0").cast("string").alias("d0"), F.col("d1").cast("string").alias("d1"))
+    """Orders by year-anchored bin, empty ones included."""
+    year, k = calendars.year_bin(F.col("o_orderdate"))
+    n = table(spark, sf, "orders").groupBy(year.alias("year"), k.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    out = calendars.eight_day_bins(spark, 1995, 2001).join(n, ["year", "bin"], "left")
+    return out.select("year", "bin", F.col("d0").cast("string").alias("d0"), F.col("d1").cast("string").alias("d1"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""SELECT k::int AS k, (DATE '2024-01-03' + (8 * k)::int)::date::varchar AS d0, least((DATE '2024-01-03' + (8 * k + 7)::int)::date, DATE '2024-01-29')::varchar AS d1, (SELECT count(*) FROM events WHERE ts::date BETWEEN DATE '2024-01-03' + (8 * k)::int

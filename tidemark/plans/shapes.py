@@ -125,9 +125,13 @@ def q_chips_odd(spark, sf):
     return out.select(F.col("image_id").alias("vec_id"), "row", "col", "side", F.round("share", 6).alias("share"), "forced")
 
 
-@query("SELECT 1.0::double AS scale, r::int AS row, c::int AS col, 64 AS side FROM range(0, 137, 32) a(r), range(0, 257, 32) b(c) UNION ALL SELECT 0.8::double, r, c, 51 FROM range(0, 150, 32) a(r), range(0, 270, 32) b(c)")
+@query("""WITH i AS (SELECT s_suppkey, 200 + s_suppkey % 40 AS h, 320 - s_suppkey % 70 AS w FROM supplier), z AS (SELECT * FROM i, (VALUES (1.0::double, 64), (0.8::double, 51)) AS t(scale, side)), r AS (SELECT *, unnest(range(0, h - side + 1, 32)) AS row FROM z)
+ SELECT s_suppkey, scale, row::int AS row, unnest(range(0, w - side + 1, 32))::int AS col, side FROM r""")
 def q_chip_grid(spark, sf):
-    return calendars.grid_starts(spark, 200, 320, 64, 32, (1.0, 0.8))
+    """A grid of chips over images of different sizes, at two scales."""
+    k = F.col("s_suppkey")
+    images = table(spark, sf, "supplier").select("s_suppkey", (200 + k % 40).cast("int").alias("height"), (320 - k % 70).cast("int").alias("width"))
+    return calendars.grid_starts(images, 64, 32, (1.0, 0.8)).select("s_suppkey", "scale", "row", "col", "side")
 
 
 @query("""SELECT o_orderkey, round(greatest(0, least(x + 10, 30) - greatest(x, 5)) * greatest(0, least(y + 8, 20) - greatest(y, 4)), 6) AS area, x + 5.0 AS cx, least(30, x + 10) >= greatest(5, x) AND least(20, y + 8) >= greatest(4, y) AS meets

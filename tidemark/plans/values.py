@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.functions import boxes, numeric
-from tidemark.operators import detection, grid, labels, metrics, ml, ranking, raster
+from tidemark.operators import components, detection, grid, labels, metrics, ml, ranking, raster
 from tidemark.plans.base import ORACLES, QUERIES, query, table
-from tidemark.session import shared_folder
+from tidemark.session import folder
 from tidemark.sources.labels import parse_boxes, pixel_boxes
 from tidemark.sources.tables import summary_lines
 
@@ -265,17 +263,64 @@ def q_nms(spark, sf):
     return detection.suppressed(_dets(spark, sf), ["image_id"])
 
 
-@query()
+OVER = "greatest(0, 50 - abs(t.x1 - {0}.x1)) * greatest(0, 40 - abs(t.y1 - {0}.y1)) / (4000 - greatest(0, 50 - abs(t.x1 - {0}.x1)) * greatest(0, 40 - abs(t.y1 - {0}.y1)))"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, x1, y1) AS k FROM (SELECT l_suppkey AS image_id, l_extendedprice / 100000 AS score, l_quantity * 10 AS x1, l_discount * 1000 AS y1 FROM lineitem) WHERE score >= 0.30),
+ s AS (SELECT DISTINCT image_id, 0::bigint AS k, []::STRUCT(x1 DOUBLE, y1 DOUBLE, score DOUBLE)[] AS kept FROM b UNION ALL SELECT b.image_id, b.k, CASE WHEN len(list_filter(kept, lambda t: {OVER.format('b')} > 0.50)) > 0 THEN kept ELSE list_append(kept, {{'x1': b.x1, 'y1': b.y1, 'score': b.score}}) END FROM s JOIN b ON b.image_id = s.image_id AND b.k = s.k + 1),
+ l AS (SELECT image_id, arg_max(kept, k) AS kept FROM s GROUP BY image_id) SELECT image_id, i::int AS rank, kept[i].score AS score, kept[i].x1 AS x1, kept[i].y1 AS y1 FROM (SELECT image_id, kept, unnest(range(1, len(kept) + 1)) AS i FROM l)""")
+def q_nms_rounds(spark, sf):
+    """Suppression in images of hundreds of boxes, by rounds over cells."""
+    rows = _corner(table(spark, sf, "lineitem")).select(F.col("l_suppkey").alias("image_id"), "x1", "y1", "x2", "y2", (F.col("l_extendedprice") / 100000).alias("score"))
+    return detection.suppressed_in_rounds(rows, ["image_id"], top=None).select("image_id", "rank", "score", "x1", "y1")
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey AS image_id, l_extendedprice / 100000 AS score, l_quantity * 10 AS x1, l_discount * 1000 AS y1 FROM lineitem), d AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, x1, y1) AS k FROM b),
+ g AS (SELECT image_id, list({{'x1': x1 + 4, 'y1': y1}} ORDER BY x1, y1) AS ts FROM b GROUP BY image_id), v AS (SELECT round(0.5 + 0.05 * n, 2)::double AS iou FROM range(10) t(n)),
+ s AS (SELECT image_id, iou, 0::bigint AS k, 0::double AS score, 0 AS tp, []::bigint[] AS used FROM g, v UNION ALL
+ SELECT image_id, iou, k, score, CASE WHEN best IS NULL THEN 0 ELSE 1 END, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.i) END FROM (SELECT s.image_id, s.iou, d.k, d.score, used,
+ list_max(list_filter(list_transform(ts, lambda t, i: {{'o': round({OVER.format('d')}, 12), 'i': i}}), lambda c: c.o >= s.iou AND NOT list_contains(used, c.i))) AS best FROM s JOIN d ON d.image_id = s.image_id AND d.k = s.k + 1 JOIN g ON g.image_id = s.image_id)),
+ c AS (SELECT iou, score, sum(tp) AS t, count(*) AS n FROM s WHERE k > 0 GROUP BY iou, score), w AS (SELECT iou, sum(t) OVER o AS tp, sum(n) OVER o AS seen FROM c WINDOW o AS (PARTITION BY iou ORDER BY score DESC)),
+ p AS (SELECT iou, floor(tp / (SELECT count(*) FROM lineitem) * 100 + 1e-9) AS k, max(tp / seen) AS p FROM w GROUP BY 1, 2), r AS (SELECT v.iou, r, max(p) AS p FROM v, range(101) t(r) LEFT JOIN p ON p.iou = v.iou AND p.k >= r GROUP BY v.iou, r)
+ SELECT 1 AS category_id, iou, sum(coalesce(p, 0)) / 101 AS ap FROM r GROUP BY iou""")
 def q_ap(spark, sf):
     d = _dets(spark, sf)
     truths = _corner(table(spark, sf, "lineitem")).select(F.col("l_orderkey").alias("image_id"), F.lit(1).alias("category_id"), (F.col("x1") + 4).alias("x1"), "y1", (F.col("x2") + 4).alias("x2"), "y2")
     return detection.average_precision(d, truths)
 
 
-@query()
+def _component_sql(pixels: str, least: int) -> str:
+    """Boxes of the components of p (key, i, j) by reaching pixels from each other; the ground is reached from a frame around them."""
+    steps = "(SELECT unnest([-1, 0, 1]) AS di) AS x, (SELECT unnest([-1, 0, 1]) AS dj) AS y"
+    return f"""WITH RECURSIVE {pixels},
+ r AS (SELECT key, i, j, i AS ri, j AS rj FROM p UNION SELECT r.key, p.i, p.j, ri, rj FROM r, {steps}, p WHERE p.key = r.key AND p.i = r.i + di AND p.j = r.j + dj),
+ c AS (SELECT key, i, j, min((ri, rj)) AS root FROM r GROUP BY key, i, j),
+ f AS (SELECT key, min(i) - 1 AS i0, max(i) + 1 AS i1, min(j) - 1 AS j0, max(j) + 1 AS j1 FROM p GROUP BY key),
+ q AS (SELECT f.key, a.i, b.j FROM f, (SELECT unnest(range(-1, (SELECT max(i1) + 1 FROM f)))::int AS i) a, (SELECT unnest(range(-1, (SELECT max(j1) + 1 FROM f)))::int AS j) b ANTI JOIN p ON p.key = f.key AND p.i = a.i AND p.j = b.j WHERE a.i BETWEEN i0 AND i1 AND b.j BETWEEN j0 AND j1),
+ g AS (SELECT key, i0 AS i, j0 AS j FROM f UNION SELECT g.key, q.i, q.j FROM g, {steps}, q WHERE abs(di) + abs(dj) = 1 AND q.key = g.key AND q.i = g.i + di AND q.j = g.j + dj),
+ o AS (SELECT DISTINCT c.key, c.root FROM c, {steps}, g WHERE abs(di) + abs(dj) = 1 AND g.key = c.key AND g.i = c.i + di AND g.j = c.j + dj),
+ z AS (SELECT key, min(j) AS x, min(i) AS y, max(j) - min(j) + 1 AS box_w, max(i) - min(i) + 1 AS box_h, count(*) AS pixels FROM c SEMI JOIN o USING (key, root) GROUP BY key, root HAVING (max(j) - min(j) + 1) * (max(i) - min(i) + 1) >= {least})"""
+
+
+TILE_PIXELS = """b AS MATERIALIZED (SELECT vec_id AS key, ((k - 1) // 8)::int AS i, ((k - 1) % 8)::int AS j, floor(greatest(0, least(1, (embedding[k]::double + 0.3) / 0.6)) * 255) > 180 AS bright FROM embeddings, range(1, 65) t(k)),
+ p AS MATERIALIZED (SELECT DISTINCT key, i + di AS i, j + dj AS j FROM b, (SELECT unnest([-1, 0, 1]) AS di) a, (SELECT unnest([-1, 0, 1]) AS dj) c WHERE bright AND i + di BETWEEN 0 AND 7 AND j + dj BETWEEN 0 AND 7)"""
+
+
+@query(_component_sql(TILE_PIXELS, 9) + " SELECT key AS vec_id, x, y, box_w, box_h FROM z")
 def q_components(spark, sf):
     tiles = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: numeric.to_byte(v.cast("double"), -0.3, 0.3)).alias("px"), F.lit(8).alias("w"))
-    return raster.component_boxes(tiles, key="vec_id", values="px", threshold=180, min_area=9)
+    return components.component_boxes(tiles, key="vec_id", values="px", threshold=180, min_area=9)
+
+
+MOSAIC_PIXELS = "p AS MATERIALIZED (SELECT DISTINCT 0 AS key, (vec_id // 25 * 8 + (k - 1) // 8)::int AS i, (vec_id % 25 * 8 + (k - 1) % 8)::int AS j FROM embeddings, range(1, 65) t(k) WHERE embedding[k]::double > 0.1)"
+
+
+@query(_component_sql(MOSAIC_PIXELS, 4) + " SELECT x, y, box_w, box_h, pixels FROM z")
+def q_components_large(spark, sf):
+    """Components of one raster, 25 tiles wide, that all vectors make up; they reach over the tiles' borders."""
+    k = F.col("vec_id")
+    on = components.bright_pixels(table(spark, sf, "embeddings"), key=F.lit(0), row=F.floor(k / 25) * 8, col=k % 25 * 8, values=F.transform("embedding", lambda v: v.cast("double")), width=F.lit(8), threshold=0.1, dilate=False)
+    return components.boxes(on, min_area=4).drop("key")
 
 
 @query("SELECT DISTINCT vec_id, i + di AS i, j + dj AS j FROM (SELECT vec_id, ((k - 1) // 8)::int AS i, ((k - 1) % 8)::int AS j FROM embeddings, range(1, 65) t(k) WHERE embedding[k] > 0.2) p, (SELECT unnest([-1, 0, 1]) AS di) a, (SELECT unnest([-1, 0, 1]) AS dj) b")
@@ -302,12 +347,31 @@ def q_summary_lines(spark, sf):
     return summary_lines(table(spark, sf, "events").agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
 
 
-@query()
+def _classifier_sql() -> str:
+    """Newton steps on the balanced, penalised likelihood of two standardised features; the steps are sums over the training rows and a solution of three equations."""
+    h = ["h00", "h01", "h02", "h11", "h12", "h22"]
+    det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+    d0 = f"(g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / {det}"
+    d1 = f"(h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / {det}"
+    d2 = f"(h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / {det}"
+    sums = ", ".join(f"sum(w * p * (1 - p) * {e}) + {r} AS {n}" for n, e, r in zip(h, ("1", "a", "b", "a * a", "a * b", "b * b"), (0, 0, 0, 1, 0, 1)))
+    return f"""WITH RECURSIVE x AS MATERIALIZED (SELECT doc_id, n_chars::double AS size, length(regexp_replace(text, '[^A-Z]', '', 'g'))::double / greatest(1, length(text)) AS upper, quality::double AS label FROM documents JOIN labels USING (doc_id)),
+ s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id)) <= floor(count(*) OVER (PARTITION BY label) * 0.75) AS train FROM x),
+ m AS MATERIALIZED (SELECT avg(size) AS ms, stddev_pop(size) AS ss, avg(upper) AS mu, stddev_pop(upper) AS su, count(*) AS n, sum(label) AS ones FROM s WHERE train),
+ z AS MATERIALIZED (SELECT doc_id, label, train, (size - ms) / ss AS a, (upper - mu) / su AS b, n / (2 * CASE label WHEN 1 THEN ones ELSE n - ones END) AS w FROM s, m),
+ c AS (SELECT 0 AS k, 0::double AS b0, 0::double AS b1, 0::double AS b2 UNION ALL SELECT k + 1, b0 - {d0}, b1 - {d1}, b2 - {d2} FROM (SELECT k, b0, b1, b2, sum(w * (p - label)) AS g0, sum(w * (p - label) * a) + b1 AS g1, sum(w * (p - label) * b) + b2 AS g2, {sums}
+ FROM (SELECT c.*, z.*, 1 / (1 + exp(-(b0 + b1 * a + b2 * b))) AS p FROM c, z WHERE train AND k < 30) GROUP BY k, b0, b1, b2))
+ SELECT doc_id, label, round(1 / (1 + exp(-(b0 + b1 * a + b2 * b))), 6) AS probability, (1 / (1 + exp(-(b0 + b1 * a + b2 * b))) > 0.5)::int AS predicted FROM z, c WHERE NOT train AND k = 30"""
+
+
+@query(_classifier_sql())
 def q_classifier(spark, sf):
+    """A classifier fitted on three quarters of the labelled rows, saved, loaded and applied to the others."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("size"), (F.length(F.regexp_replace("text", "[^A-Z]", "")) / F.greatest(F.lit(1), F.length("text"))).alias("upper"), F.col("quality").cast("double").alias("label"))
     named = ranking.stratified(rows, "label", F.col("doc_id"))
-    model = ml.fit_classifier(named.where("split = 'train'"), ["size", "upper"], "label")
-    return ml.classify(model, named.where("split = 'test'")).select("doc_id", "label", F.round("probability", 6).alias("probability"), "predicted")
+    path = folder(spark, "model")
+    ml.save_classifier(ml.fit_classifier(named.where("split = 'train'"), ["size", "upper"], "label"), path)
+    return ml.classify(ml.load_classifier(path), named.where("split = 'test'")).select("doc_id", "label", F.round("probability", 6).alias("probability"), "predicted")
 
 
 @query("SELECT event_id, value AS pred, value >= 200.0 AS alert FROM events")
@@ -315,7 +379,7 @@ def q_stream_alert(spark, sf):
     """The alert rule run as a stream over the events file; the result table is what the stream wrote."""
     from tidemark.streaming.jobs import alerts
 
-    out = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    out = folder(spark, "alerts")
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     q = alerts(stream, F.col("value"), 200.0).select("event_id", "pred", "alert").writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
     q.awaitTermination()

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
+from typing import ParamSpec, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Places of the tables that written() made and discard() has not deleted, in order.
-_WRITTEN: list[str] = []
+P, R = ParamSpec("P"), TypeVar("R")
+#: Places that the run in this thread's context has written and discard() has not deleted, in order; outside of run(), one list for the process.
+_WRITTEN: ContextVar[list[str]] = ContextVar("tidemark_written", default=[])  # noqa: B039  the process's list
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,28 +39,59 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which discard() deletes like a written table."""
+    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.get().append(path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df once into the shared folder and read it back: one evaluation for all readers, no lineage, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, "table")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def run() -> Iterator[None]:
+    """A run of its own: within it, mark() and discard() see only what it writes, whatever other threads or the caller write. What it leaves is the caller's to discard."""
+    own: list[str] = []
+    outer = _WRITTEN.get()
+    token = _WRITTEN.set(own)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        outer.extend(own)
+
+
+def own_run(fn: Callable[P, R]) -> Callable[P, R]:
+    """fn as a run of its own."""
+
+    @wraps(fn)
+    def inner(*args: P.args, **kwargs: P.kwargs) -> R:
+        with run():
+            return fn(*args, **kwargs)
+
+    return inner
+
+
 def mark() -> int:
-    """A point in time for discard()."""
-    return len(_WRITTEN)
+    """A point in the run for discard()."""
+    return len(_WRITTEN.get())
 
 
 def discard(spark: SparkSession, since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
-    """Delete the tables written after `since`, but for those that the frames in keep are read from.
+    """Delete what the run wrote after `since`, but for what the frames in keep are read from.
 
     Frames that were planned on a deleted table can no longer be computed, so call this once the results that need them are written.
     """
     files = [f for df in keep for f in df.inputFiles()]
-    gone = [p for p in _WRITTEN[since:] if not any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
+    made = _WRITTEN.get()
+    gone = [p for p in made[since:] if not any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in files)]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in gone:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
-        _WRITTEN.remove(p)
+        made.remove(p)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import time
 import urllib.error
 import urllib.request
+import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OK, NOT_MODIFIED = 0, 304
+#: First bytes of packed files, by suffix, and what unpacks them. Fixed values.
+PACKED = {"gz": (b"\x1f\x8b", gzip.decompress), "bz2": (b"BZh", bz2.decompress)}
 
 
 def needed(remote: DataFrame, local: DataFrame, *, force: bool = False) -> DataFrame:
@@ -27,6 +34,25 @@ def checked(files: DataFrame, sums: DataFrame) -> DataFrame:
     return files.join(sums, "path").select("path", (F.sha1("content") == F.lower("sha1")).alias("ok"))
 
 
+def unpacked(files: DataFrame) -> DataFrame:
+    """path without its suffix of packing, content and packed (gz, bz2 or null) of files (path, content), by what their contents begin with; a broken one keeps its row with null content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, value in zip(b.column(0).to_pylist(), b.column(1)):  # one at a time, as they may be large
+                content = value.as_py()
+                kind = next((k for k, (magic, _) in PACKED.items() if (content or b"").startswith(magic)), None)
+                if kind:
+                    path = path.removesuffix(f".{kind}")
+                    try:
+                        content = PACKED[kind][1](content)
+                    except (OSError, EOFError, zlib.error):
+                        content = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([kind], pa.string())], names=["path", "content", "packed"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary, packed string")
+
+
 def failures(results: DataFrame) -> DataFrame:
     """Results (name, status) that are neither done nor unchanged."""
     return results.where(~F.col("status").isin(OK, NOT_MODIFIED))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tidemark.operators.calendars import year_bin
 
@@ -26,6 +27,22 @@ def year_windows(stream: DataFrame, time: str, value: str, *, days: int = 8, lat
     return base.groupBy(F.window(time, "1 day").alias("day"), year.alias("year"), k.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
 
 
+def arrivals(spark: SparkSession, path: str, schema: StructType | str, *, fmt: str = "parquet", archive: str | None = None, remove: bool = False, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the files that land in a folder, of which those of a finished batch are moved to the archive folder, or removed.
+
+    A file goes once the batch after its own begins, when its own is on record as done: the files of a batch that failed, and of the last one so far, stay, and the run that follows
+    takes them up again or away. So nothing is lost between a result and its record.
+    """
+    reader = spark.readStream.schema(schema).format(fmt)
+    if archive is not None:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    elif remove:
+        reader = reader.option("cleanSource", "delete")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
+
+
 def enrich_arrivals(stream: DataFrame, enrich: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """Each batch of arrivals enriched and written under its batch number: a batch that runs again replaces its own rows and no others."""
 

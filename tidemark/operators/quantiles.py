@@ -44,10 +44,10 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], values: Sequence[str],
         good = picked.where("fine = 1 and a is not null and b is not null")
         level = good.select(*key, "l", F.when(F.col("k") == F.col("at"), F.col("a")).otherwise((F.ceil("at") - F.col("at")) * F.col("a") + (F.col("at") - F.col("k")) * F.col("b")).alias("q"))
         found = level if found is None else found.unionByName(level)
-        missing = written(brackets.join(good, [*key, "l"], "left_anti").select(*key, "l"))
+        missing = brackets.join(good, [*key, "l"], "left_anti").select(*key, "l")
         if missing.isEmpty():
             break
-        margin *= 16
+        missing, margin = written(missing), margin * 16
     by_value = found.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("l", "q"))), lambda s: s["q"]).alias("q"))
     out = by_value.groupBy(*groups).agg(*[F.first(F.when(F.col("c") == k, F.col("q")), ignorenulls=True).alias(v) for k, v in enumerate(values)])
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ def numbered_in(df: DataFrame, group: str, order: Sequence[str], name: str = "k"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
 
 
+def share_of(n: Column, share: float) -> Column:
+    """floor(share * n) with the share as it is written: in doubles, 0.7 of 90,000 is less than 63,000."""
+    return F.floor(n * F.lit(Decimal(str(share))))
+
+
 def split_by_rank(df: DataFrame, key: Column, shares: Sequence[tuple[str, float]] = (("train", 0.70), ("val", 0.15), ("test", 0.15)), seed: str = "42", name: str = "split") -> DataFrame:
     """Names a split for each row by its rank in hash order: floor(share * n) rows for all but the last, which takes the rest."""
     ranked = numbered(df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.lit(":"), key.cast("string")))), ["_h"], "_rank")
@@ -40,7 +46,7 @@ def split_by_rank(df: DataFrame, key: Column, shares: Sequence[tuple[str, float]
     out, used = F.lit(shares[-1][0]), F.lit(0)
     marks = []
     for label, share in shares[:-1]:
-        used = used + F.floor(F.col("_n") * share)
+        used = used + share_of(F.col("_n"), share)
         marks.append((label, used))
     for label, mark in reversed(marks):
         out = F.when(F.col("_rank") <= mark, F.lit(label)).otherwise(out)
@@ -55,14 +61,14 @@ def stratified(df: DataFrame, label: str, key: Column, share: float = 0.75, seed
     ranked = numbered(df.withColumn("_h", F.md5(F.concat(F.lit(seed), F.lit(":"), key.cast("string")))), [label, "_h"], "_rank")
     sizes = ranked.groupBy(F.col(label).alias("_l")).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n"))
     out = ranked.join(sizes, ranked[label].eqNullSafe(sizes["_l"]))
-    named = F.when(F.col("_rank") - F.col("_first") < F.floor(F.col("_n") * share), "train").otherwise("test")
+    named = F.when(F.col("_rank") - F.col("_first") < share_of(F.col("_n"), share), "train").otherwise("test")
     return out.select(*df.columns, named.alias(name))
 
 
 def positional_split(df: DataFrame, order: Sequence[str], share: float = 0.8, name: str = "split") -> DataFrame:
     ranked = numbered(df, order, "_rank")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    return ranked.crossJoin(F.broadcast(total)).withColumn(name, F.when(F.col("_rank") <= F.floor(F.col("_n") * share), "train").otherwise("val")).drop("_rank", "_n")
+    return ranked.crossJoin(F.broadcast(total)).withColumn(name, F.when(F.col("_rank") <= share_of(F.col("_n"), share), "train").otherwise("val")).drop("_rank", "_n")
 
 
 def top_k(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:

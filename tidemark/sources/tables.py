@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,9 +119,18 @@ def read_lines(spark: SparkSession, path: str, env: dict[str, str] | None = None
 
 
 def summary_lines(row: DataFrame) -> DataFrame:
-    """key, line ('key,value' with three decimals) for each column of a one-row table of numbers."""
+    """key, line ('key,value' with three decimals) for each column of a one-row table of numbers; a null value's line is null.
+
+    Rounded from the double's exact value, ties to even: Java's format rounds the shortest decimal that names it, and 0.0625 up.
+    """
     cols = row.columns
-    return row.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "key", "v").select("key", F.format_string("%s,%.3f", "key", "v").alias("line"))
+
+    @F.pandas_udf("string")
+    def decimals(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: f"{x:.3f}")
+
+    rows = row.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "key", "v")
+    return rows.select("key", F.when(F.col("v").isNotNull(), F.concat("key", F.lit(","), decimals("v"))).alias("line"))
 
 
 def markdown(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import geo
 from tidemark.operators import ranking
 from tidemark.sources import tables
 
@@ -20,3 +21,11 @@ def test_shares_are_as_written(spark):
 def test_summary_lines_round_the_exact_value(spark, value, text):
     row = spark.createDataFrame([(value, None)], "lo double, gone double")
     assert {r["key"]: r["line"] for r in tables.summary_lines(row).collect()} == {"lo": f"lo,{text}", "gone": None}
+
+
+def test_rings_are_worked_out_once(spark):
+    """A unit square at a drawn place: its area is 1 only if all readers see the same draw."""
+    square = geo.bound(F.rand(7) * 100, lambda r: F.array(F.array(r, r), F.array(r + 1, r), F.array(r + 1, r + 1), F.array(r, r + 1)))
+    box = tuple(map(F.lit, (-1.0, -1.0, 200.0, 200.0)))
+    for area in (geo.ring_area(square), geo.ring_area(geo.ring_in_box(square, box)), geo.ring_in_use(square).cast("double")):
+        assert {round(r[0], 6) for r in spark.range(20).select(area).collect()} == {1.0}

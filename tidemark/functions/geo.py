@@ -129,21 +129,29 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     return crossings % 2 == 1
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often use() names it: an expression named in a lambda is worked out for each of the lambda's items."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ring_area(ring: Column) -> Column:
     """Area of a ring of array<array<double>> vertices, closed or not, whichever way round."""
-    n = F.size(ring)
     cross = lambda p, q: p[0] * q[1] - q[0] * p[1]
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + cross(F.element_at(ring, i), F.element_at(ring, (i % n + 1).cast("int"))))
-    return F.when(n > 2, F.abs(total) / 2).otherwise(0.0)
+
+    def area(r: Column) -> Column:
+        n = F.size(r)
+        total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda a, i: a + cross(F.element_at(r, i), F.element_at(r, (i % n + 1).cast("int"))))
+        return F.when(n > 2, F.abs(total) / 2).otherwise(0.0)
+
+    return bound(ring, area)
 
 
 def ring_in_box(ring: Column, box: tuple[Column, ...]) -> Column:
     """The part of a ring within (xmin, ymin, xmax, ymax), cut side by side; empty where they do not meet. Exact for convex rings; a concave one that falls into
     pieces has them joined along the box's sides, which leaves its area right."""
-    bind = lambda v, f: F.transform(F.array(v), f)[0]
-    ring = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    ring = bound(ring, lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), F.slice(r, 1, F.size(r) - 1)).otherwise(r))
     for axis, limit, above in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
-        ring = bind(ring, _cut(axis, limit, above))
+        ring = bound(ring, _cut(axis, limit, above))
     return ring
 
 
@@ -169,4 +177,4 @@ def _cut(axis: int, limit: Column, above: bool) -> Callable[[Column], Column]:
 
 def ring_in_use(ring: Column) -> Column:
     """Whether a ring is there, has three vertices or more, and an area."""
-    return F.coalesce((F.size(ring) > 2) & (ring_area(ring) > 0), F.lit(False))
+    return F.coalesce(bound(ring, lambda r: (F.size(r) > 2) & (ring_area(r) > 0)), F.lit(False))

@@ -140,7 +140,7 @@ def q_ring_clip(spark, sf):
     x, y = (F.col("o_orderkey") % 41).cast("double"), (F.col("o_orderkey") % 29).cast("double")
     ring = F.array(*[F.array(a, b) for a, b in ((x, y), (x + 10, y), (x + 10, y + 8), (x, y + 8), (x, y))])
     box = tuple(F.lit(v) for v in (5.0, 4.0, 30.0, 20.0))
-    area = F.when(geo.ring_in_use(geo.ring_in_box(ring, box)), geo.ring_area(geo.ring_in_box(ring, box))).otherwise(0.0)
+    area = geo.bound(geo.ring_in_box(ring, box), lambda r: F.when(geo.ring_in_use(r), geo.ring_area(r)).otherwise(0.0))
     return table(spark, sf, "orders").select("o_orderkey", F.round(area, 6).alias("area"), geo.centre(x, y, x + 10, y + 8)[0].alias("cx"), geo.boxes_meet((x, y, x + 10, y + 8), box).alias("meets"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.operators import ranking
+from tidemark.plans import registry
 from tidemark.sources import tables
 
 
@@ -29,3 +30,11 @@ def test_rings_are_worked_out_once(spark):
     box = tuple(map(F.lit, (-1.0, -1.0, 200.0, 200.0)))
     for area in (geo.ring_area(square), geo.ring_area(geo.ring_in_box(square, box)), geo.ring_in_use(square).cast("double")):
         assert {round(r[0], 6) for r in spark.range(20).select(area).collect()} == {1.0}
+
+
+def test_lines_are_parsed_and_joined_once(spark):
+    """Two variants over one join, and one split a line."""
+    df = registry.queries()["q_yolo_variants"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert plan.count("split(") == 1

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import boxes, geo, names, numeric, parse
 from tidemark.operators import calendars, chipping, detection, grid, metrics, quality, raster
 from tidemark.plans.base import query, table
-from tidemark.plans.values import BOX, CELLS, _cells, _corner, _dets, _yolo
+from tidemark.plans.values import BOX, CELLS, _cells, _corner, _dets, _yolo, _yolo_images
 from tidemark.sources import catalogue, grids
-from tidemark.sources.labels import pixel_boxes
+from tidemark.sources.labels import pixel_variants
 
 KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -26,10 +26,8 @@ YOLO_TEXT = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-'
 
 @query(f"SELECT 'unclamped' AS variant, stem, 1 AS category_id, round(w * 640 * h * 480, 2) AS area FROM ({YOLO_TEXT}) UNION ALL SELECT 'single_class', stem, 1, round(greatest(1, w * 640) * greatest(1, h * 480), 2) FROM ({YOLO_TEXT})")
 def q_yolo_variants(spark, sf):
-    b = _yolo(spark, sf)
-    images = b.select("stem").distinct().select("stem", F.concat("stem", F.lit(".png")).alias("file_name"), F.lit(640.0).alias("width"), F.lit(480.0).alias("height"))
-    of = lambda v: pixel_boxes(b, images, variant=v, how="inner").select(F.lit(v).alias("variant"), "stem", "category_id", F.round("area", 2).alias("area"))
-    return of("unclamped").unionByName(of("single_class"))
+    both = pixel_variants(_yolo(spark, sf), _yolo_images(spark, sf), ["unclamped", "single_class"], how="inner")
+    return both.select("variant", "stem", "category_id", F.round("area", 2).alias("area"))
 
 
 @query(f"SELECT l_orderkey, round(sum(x1 * w / 640), 4) AS x1, round(sum(y2 * h / 640), 4) AS y2 FROM (SELECT *, {BOX}, 300 + l_orderkey % 7 AS w, 200 + l_orderkey % 5 AS h FROM lineitem) GROUP BY l_orderkey")

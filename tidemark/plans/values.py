@@ -205,11 +205,19 @@ def q_class_report(spark, sf):
     return metrics.class_report(table(spark, sf, "labels"), "toxic", "quality").select("label", F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"), "support")
 
 
+YOLO_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 def _yolo(spark, sf):
     li = table(spark, sf, "lineitem")
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     line = F.format_string("0 %.4f %.4f %.4f %.4f", F.col("l_discount") * 5, F.col("l_tax") * 5, F.col("l_quantity") / 100, F.col("l_discount") * 3)
-    return parse_boxes(li.select(key.alias("stem"), F.lit(0).alias("line"), line.alias("value")))
+    return parse_boxes(li.select(F.concat_ws("-", *YOLO_KEY).alias("stem"), F.lit(0).alias("line"), line.alias("value")))
+
+
+def _yolo_images(spark, sf):
+    """The images of all lines, whether or not these parse."""
+    stems = table(spark, sf, "lineitem").select(F.concat_ws("-", *YOLO_KEY).alias("stem")).distinct()
+    return stems.select("stem", F.concat("stem", F.lit(".png")).alias("file_name"), F.lit(640.0).alias("width"), F.lit(480.0).alias("height"))
 
 
 YOLO = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS stem, round(l_discount * 5, 4) AS cx, round(l_tax * 5, 4) AS cy, round(l_quantity / 100, 4) AS w, round(l_discount * 3, 4) AS h FROM lineitem"
@@ -217,9 +225,7 @@ YOLO = "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l
 
 @query(f"""SELECT stem, round(greatest(0, cx * 640 - w * 640 / 2), 4) AS x, round(greatest(0, cy * 480 - h * 480 / 2), 4) AS y, round(greatest(1, w * 640), 4) AS w, round(greatest(1, h * 480), 4) AS h, round(greatest(1, w * 640) * greatest(1, h * 480), 2) AS area FROM ({YOLO})""")
 def q_yolo_coco(spark, sf):
-    b = _yolo(spark, sf)
-    images = b.select("stem").distinct().select("stem", F.concat("stem", F.lit(".png")).alias("file_name"), F.lit(640.0).alias("width"), F.lit(480.0).alias("height"))
-    return pixel_boxes(b, images).select("stem", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("bw", 4).alias("w"), F.round("bh", 4).alias("h"), F.round("area", 2).alias("area"))
+    return pixel_boxes(_yolo(spark, sf), _yolo_images(spark, sf)).select("stem", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("bw", 4).alias("w"), F.round("bh", 4).alias("h"), F.round("area", 2).alias("area"))
 
 
 BOX = "l_quantity * 10 AS x1, l_discount * 1000 AS y1, l_quantity * 10 + 50 AS x2, l_discount * 1000 + 40 AS y2"

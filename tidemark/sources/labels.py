@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.boxes import from_centre
@@ -15,8 +17,10 @@ def parse_boxes(lines: DataFrame, *, strict: bool = False) -> DataFrame:
     """lines (stem, line, value) to stem, line, cls, cx, cy, w, h. Tolerant: five tokens or more; strict: five. Lines that do not parse are left out."""
     t = F.split(F.trim("value"), r"\s+")
     names = ["cls", "cx", "cy", "w", "h"]
-    cols = [F.try_element_at(t, F.lit(k + 1)).try_cast("double").alias(n) for k, n in enumerate(names)]
-    rows = lines.where(F.size(t) == 5 if strict else F.size(t) >= 5).select("stem", "line", *cols).dropna(subset=names)
+    fits = (lambda p: F.size(p) == 5) if strict else (lambda p: F.size(p) >= 5)
+    numbers = lambda p: F.struct(*[p[k].try_cast("double").alias(n) for k, n in enumerate(names)])
+    # through a generator, so that a line is split and cast once: a filter on the columns would repeat it for each of them
+    rows = lines.select("stem", "line", F.inline(F.transform(F.filter(F.array(t), fits), numbers))).dropna(subset=names)
     return rows.withColumn("cls", F.col("cls").cast("int"))
 
 
@@ -32,12 +36,20 @@ def pixel_boxes(boxes: DataFrame, images: DataFrame, *, variant: str = "clamped"
 
     how='left' keeps images without boxes, 'inner' drops them.
     """
-    j = images.join(boxes, "stem", how)
-    x, y, w, h, area = from_centre(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.col("width"), F.col("height"), clamped_area=variant != "unclamped")
-    category = F.lit(1) if variant == "single_class" else F.col("cls") + 1
+    return pixel_variants(boxes, images, [variant], how=how).drop("variant")
+
+
+def pixel_variants(boxes: DataFrame, images: DataFrame, variants: Sequence[str], *, how: str = "left") -> DataFrame:
+    """What pixel_boxes() gives for each of several variants, named in the column variant, over one join of the boxes with their images."""
     there = F.col("cx").isNotNull()
-    pick = lambda c: F.when(there, c)
-    return j.select(*images.columns, "line", pick(category).alias("category_id"), pick(x).alias("x"), pick(y).alias("y"), pick(w).alias("bw"), pick(h).alias("bh"), pick(area).alias("area"))
+
+    def one(variant: str) -> Column:
+        x, y, w, h, area = from_centre(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.col("width"), F.col("height"), clamped_area=variant != "unclamped")
+        category = F.lit(1) if variant == "single_class" else F.col("cls") + 1
+        named = {"category_id": category, "x": x, "y": y, "bw": w, "bh": h, "area": area}
+        return F.struct(F.lit(variant).alias("variant"), *[F.when(there, v).alias(n) for n, v in named.items()])
+
+    return images.join(boxes, "stem", how).select(*images.columns, "line", F.inline(F.array(*map(one, variants))))
 
 
 def box_lines(boxes: DataFrame, images: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.functions import geo
-from tidemark.operators import ranking
+from tidemark.operators import detection, ranking
 from tidemark.plans import registry
 from tidemark.sources import tables
 
@@ -38,3 +39,21 @@ def test_lines_are_parsed_and_joined_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
     assert plan.count("split(") == 1
+
+
+def test_boxes_are_placed_on_levels_that_there_are(spark):
+    """Boxes of one level lie in the cells of that level only, and know how many these are."""
+    rows = spark.createDataFrame([(10.0, 10.0, 60.0, 50.0)], "a double, b double, c double, d double")
+    corners = ["a", "b", "c", "d"]
+    placed = detection._placed(rows, corners, 1, detection._levels(rows, corners)).collect()
+    assert {(r["_lx"], r["_ly"]) for r in placed} == {(5, 5)}
+    assert {r["_n"] for r in placed} == {len(placed)} == {1}
+    assert {r["_lx"] for r in detection._placed(rows, corners, 1, ([4, 5, 6, 7], [5])).collect()} == {5, 6}
+
+
+def test_rounds_leave_other_tables(spark):
+    """Suppression deletes its own rounds' tables, not its caller's."""
+    mine = session.written(spark.range(3))
+    rows = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 9.0, 0.9), (1, 1.0, 0.0, 10.0, 9.0, 0.8)], "g int, x1 double, y1 double, x2 double, y2 double, score double")
+    assert detection.suppressed_in_rounds(rows, ["g"]).count() == 1
+    assert mine.count() == 3

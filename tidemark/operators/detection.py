@@ -16,6 +16,8 @@ from tidemark.operators.ranking import numbered, split_by_rank
 from tidemark.session import discard, own_run, written
 
 IOUS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+#: Images of so many boxes of a category or fewer are not laid out in cells.
+FEW = 64
 
 
 def suppressed(df: DataFrame, group: Sequence[str], *, score: str = "score", box: Sequence[str] = ("x1", "y1", "x2", "y2"), score_min: float = 0.30, iou_max: float = 0.50, top: int | None = 20) -> DataFrame:
@@ -37,27 +39,53 @@ def suppressed(df: DataFrame, group: Sequence[str], *, score: str = "score", box
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-@own_run
 def _reach(iou_least: float) -> int:
     """Powers of two by which the sides of boxes can differ whose overlap is over iou_least."""
     return max(0, math.ceil(math.log2(1 / iou_least)))
 
 
-def _placed(rows: DataFrame, corners: Sequence[str], reach: int) -> DataFrame:
-    """Boxes with an extent in the cells (_lx, _ly, _cx, _cy; sides _sx, _sy) of the levels of their sides (_ox, _oy) and of `reach` above: boxes of like sides that overlap share one."""
+def _wide(rows: DataFrame, corners: Sequence[str]) -> DataFrame:
+    """Boxes with an extent."""
+    x1, y1, x2, y2 = (F.col(c) for c in corners)
+    return rows.where((x2 > x1) & (y2 > y1))
+
+
+def _levels(rows: DataFrame, corners: Sequence[str]) -> tuple[list[int], list[int]]:
+    """The levels of the boxes' widths and of their heights that there are: powers of two, so a few dozen."""
+    x1, y1, x2, y2 = (F.col(c) for c in corners)
+    own = lambda lo, hi: F.collect_set(F.floor(F.log2(hi - lo)).cast("int"))
+    found = _wide(rows, corners).agg(own(x1, x2), own(y1, y2)).first()
+    return sorted(found[0]), sorted(found[1])
+
+
+def _placed(rows: DataFrame, corners: Sequence[str], reach: int, levels: tuple[list[int], list[int]]) -> DataFrame:
+    """Boxes with an extent in the cells (_lx, _ly, _cx, _cy; _n of them a box) of the levels of their sides (_ox, _oy) and, up to `reach` above, of the given ones: boxes of like sides that overlap
+    share one if each other's levels are given."""
     x1, y1, x2, y2 = (F.col(c) for c in corners)
-    wide = rows.where((x2 > x1) & (y2 > y1))
-    for axis, lo, hi in (("x", x1, x2), ("y", y1, y2)):
+    wide = _wide(rows, corners)
+
+    def placed(axis: str, lo: Column, hi: Column, there: list[int]) -> Column:
         own = F.floor(F.log2(hi - lo)).cast("int")
-        wide = wide.withColumn(f"_o{axis}", own).withColumn(f"_l{axis}", F.explode(F.sequence(own, own + reach))).withColumn(f"_s{axis}", F.pow(F.lit(2.0), F.col(f"_l{axis}") + 1))
-        wide = wide.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor(lo / F.col(f"_s{axis}")), F.floor(hi / F.col(f"_s{axis}")))))
-    return wide
+        at = F.array_union(F.array(own), F.filter(F.array(*map(F.lit, there)).cast("array<int>"), lambda m: (m > own) & (m <= own + reach)))
+        return F.flatten(F.transform(at, lambda m: F.transform(F.sequence(F.floor(lo / _side(m)), F.floor(hi / _side(m))), lambda c: F.struct(m.alias(f"_l{axis}"), c.alias(f"_c{axis}")))))
+
+    for axis, lo, hi, there in (("x", x1, x2, levels[0]), ("y", y1, y2, levels[1])):
+        wide = wide.withColumns({f"_o{axis}": F.floor(F.log2(hi - lo)).cast("int"), f"_{axis}": placed(axis, lo, hi, there)})
+    wide = wide.withColumn("_n", F.size("_x") * F.size("_y"))
+    wide = wide.select(*[c for c in wide.columns if c != "_x"], F.inline("_x"))
+    return wide.select(*[c for c in wide.columns if c != "_y"], F.inline("_y"))
+
 
+def _side(level: Column) -> Column:
+    """The side of a level's cells: over that of its boxes."""
+    return F.pow(F.lit(2.0), level + 1)
 
+
+@own_run
 def suppressed_in_rounds(df: DataFrame, group: Sequence[str], *, score: str = "score", box: Sequence[str] = ("x1", "y1", "x2", "y2"), score_min: float = 0.30, iou_max: float = 0.50, top: int | None = 20, heads_of_cell: int = 32) -> DataFrame:
     """What suppressed() gives, for images of any number of boxes: no image is one row or one task.
 
-    Boxes that can overlap by more than iou_max have like sides, so each lies in the few cells of its sides' powers of two and of those up to 1 / iou_max as large. In a round each cell's best
+    Boxes that can overlap by more than iou_max have like sides, so each lies in the few cells of its sides' powers of two and of those up to 1 / iou_max as large that other boxes have. In a round each cell's best
     undecided boxes are its heads, heads_of_cell at most. A box that is a head of all its cells has all undecided boxes that could drop it beside it there, and is kept if none of the better ones overlaps it;
     what a kept box overlaps is dropped, and the others go on to the next round. Pairs are made of heads of one cell, and of kept heads with the boxes of their cells. iou_max must be
     above 0. Equal boxes of equal score are kept once. Boxes without an extent overlap nothing and are kept.
@@ -70,14 +98,15 @@ def suppressed_in_rounds(df: DataFrame, group: Sequence[str], *, score: str = "s
     flat = rows.withColumn("_r", F.struct("_m", *c))
     extent = (F.col("_2") > F.col("_0")) & (F.col("_3") > F.col("_1"))
     cell = [*keys, "_lx", "_ly", "_cx", "_cy"]
-    left = written(_placed(flat, c, _reach(iou_max)).select(*cell, "_r"))
+    levels = _levels(df.where(F.col(score) >= score_min).select(*[F.col(b).cast("double").alias(k) for b, k in zip(box, c)]), c)
+    left = written(_placed(flat, c, _reach(iou_max), levels).select(*cell, "_r", F.col("_n").alias("_cells")))
     kept = [flat.where(~extent).select(*keys, "_r")]
     at = lambda s: tuple(F.col(s)[k] for k in c)
     over = iou(at("_b"), at("_r")) > iou_max
     while not left.isEmpty():
         heads = left.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy("_r"))).where(F.col("_n") <= heads_of_cell).drop("_n")
         heads = written(heads)
-        whole = left.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n")).join(heads.groupBy(*keys, "_r").agg(F.count(F.lit(1)).alias("_n")), [*keys, "_r", "_n"], "left_semi").drop("_n")
+        whole = heads.groupBy(*keys, "_r", "_cells").agg(F.count(F.lit(1)).alias("_n")).where("_n = _cells").select(*keys, "_r")
         better = heads.select(*cell, F.col("_r").alias("_b"))
         blocked = heads.join(better, cell).where((F.col("_b") < F.col("_r")) & over).select(*keys, "_r")
         chosen = written(whole.join(blocked, [*keys, "_r"], "left_anti"))
@@ -107,21 +136,41 @@ def _candidates(d: DataFrame, t: DataFrame, keys: Sequence[str], corners: Sequen
     reach = _reach(least)
     cell = [*keys, "_lx", "_ly", "_cx", "_cy"]
     own = ["_ox", "_oy"]
-    right = _placed(t, corners, reach).drop("_sx", "_sy").withColumnsRenamed({c: f"_{c}" for c in [*t.columns, *own] if c not in keys})
-    both = _placed(d, corners, reach).join(right, cell)
+    right = _placed(t, corners, reach, _levels(d, corners)).drop("_n").withColumnsRenamed({c: f"_{c}" for c in [*t.columns, *own] if c not in keys})
+    both = _placed(d, corners, reach, _levels(t, corners)).drop("_n").join(right, cell)
     x, y = corners[:2]
     once = (F.col("_lx") == F.greatest("_ox", "__ox")) & (F.col("_ly") == F.greatest("_oy", "__oy"))
-    once = once & (F.floor(F.greatest(x, f"_{x}") / F.col("_sx")) == F.col("_cx")) & (F.floor(F.greatest(y, f"_{y}") / F.col("_sy")) == F.col("_cy"))
+    once = once & (F.floor(F.greatest(x, f"_{x}") / _side(F.col("_lx"))) == F.col("_cx")) & (F.floor(F.greatest(y, f"_{y}") / _side(F.col("_ly"))) == F.col("_cy"))
+    return _overlapping(both.where(once), corners, least)
+
+
+def _overlapping(both: DataFrame, corners: Sequence[str], least: float) -> DataFrame:
     over = iou(tuple(F.col(c) for c in corners), tuple(F.col(f"_{c}") for c in corners))
-    return both.where(once).withColumn("over", over).where(F.col("over") >= least)
+    return both.withColumn("over", over).where(F.col("over") >= least)
 
 
-def matches(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Sequence[float] = IOUS) -> DataFrame:
-    """category_id, iou, score, tp for every detection: greedy matching by falling score within an image and category.
+def _pairs(d: DataFrame, t: DataFrame, keys: Sequence[str], corners: Sequence[str], least: float) -> DataFrame:
+    """_candidates() over cells in images of many boxes of t only; elsewhere the few boxes of an image meet all its detections, whose number is bounded."""
+    slim = d.select(*keys, "det", *corners)
+    named = lambda df: _wide(df, corners).select(*keys, *[F.col(c).alias(f"_{c}") for c in df.columns if c not in keys])
+    many = written(t.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select(*keys))
+    cells = not many.isEmpty()
+    few = t.join(many, keys, "left_anti") if cells else t
+    found = _overlapping(_wide(slim, corners).join(named(few), keys), corners, least).select(*keys, "det", *[f"_{c}" for c in t.columns if c not in keys], "over")
+    if not cells:
+        return found
+    large = [written(df.join(many, keys, "left_semi")) for df in (slim, t)]
+    return found.unionByName(_candidates(*large, keys, corners, least).select(*found.columns))
+
 
-    truths may have iscrowd: a detection that matches only crowds is ignored. An image's best max_dets detections of a category meet its boxes in cells of like sides; of the boxes that one overlaps, its
+def _graded(dets: DataFrame, truths: DataFrame, max_dets: int, ious: Sequence[float]) -> DataFrame:
+    """category_id, score, hits (bit k: matched at the level ious[k]) and crowd (the part of it that lies in a crowd, null without crowds) for every detection: greedy matching by falling score within an image and category.
+
+    An image's best max_dets detections of a category meet its boxes, where these are many in cells of like sides; of the boxes that one overlaps, its
     best max_dets are enough, as other detections take fewer. So what a task matches at a time is at most max_dets squared pairs, however many boxes an image has; detections without a pair never reach it.
     """
+    if len(ious) > 62:
+        raise ValueError("62 levels at most")
     keys, corners = ["image_id", "category_id"], ["x1", "y1", "x2", "y2"]
     place = Window.partitionBy(*keys).orderBy(F.desc("score"), *corners)
     doubles = [F.col(c).cast("double").alias(c) for c in corners]
@@ -131,27 +180,29 @@ def matches(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Se
     t = written(truths.select(*keys, *doubles, F.coalesce(crowd, F.lit(0)).alias("crowd")).withColumn("id", F.monotonically_increasing_id()))
     # the last of equals is taken
     best = Window.partitionBy(*keys, "det").orderBy(F.desc("over"), *[F.desc(f"_{c}") for c in (*corners, "id")])
-    pairs = _candidates(d, t.where("crowd = 0"), keys, corners, min(ious)).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= max_dets)
+    pairs = _pairs(d, t.where("crowd = 0").drop("crowd"), keys, corners, min(ious)).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= max_dets)
     pairs = pairs.select(*keys, "det", "nth", F.col("_id").alias("truth"), "over")
-    # a crowd may be much larger than what lies in it: each meets the few detections of its image
-    c = t.where("crowd = 1").select(*keys, *[F.col(k).alias(f"_{k}") for k in corners])
-    inter = F.greatest(F.lit(0.0), F.least("x2", "_x2") - F.greatest("x1", "_x1")) * F.greatest(F.lit(0.0), F.least("y2", "_y2") - F.greatest("y1", "_y1"))
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    in_crowd = d.join(c, keys).groupBy(*keys, "det").agg(F.max(F.when(area > 0, inter / area)).alias("crowd"))
+    in_crowd = None
+    if "iscrowd" in truths.columns:
+        # a crowd may be much larger than what lies in it: each meets the few detections of its image
+        c = t.where("crowd = 1").select(*keys, *[F.col(k).alias(f"_{k}") for k in corners])
+        inter = F.greatest(F.lit(0.0), F.least("x2", "_x2") - F.greatest("x1", "_x1")) * F.greatest(F.lit(0.0), F.least("y2", "_y2") - F.greatest("y1", "_y1"))
+        area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+        in_crowd = d.join(c, keys).groupBy(*keys, "det").agg(F.max(F.when(area > 0, inter / area)).alias("crowd"))
     kind = dict(dets.dtypes)
 
-    def greedy(det: np.ndarray, truth: np.ndarray, over: np.ndarray) -> list[tuple[int, float]]:
-        """(detection, level) of what is matched in one image and category; pairs by detection and falling overlap."""
-        out = []
-        for level in ious:
+    def greedy(det: np.ndarray, truth: np.ndarray, over: np.ndarray) -> list[tuple[int, int]]:
+        """(detection, hits) of what is matched in one image and category; pairs by detection and falling overlap."""
+        out: dict[int, int] = {}
+        for bit, level in enumerate(ious):
             used: set[int] = set()
             done = -1
             for k, g, o in zip(det, truth, over):
                 if k != done and o >= level and g not in used:
                     used.add(g)
                     done = k
-                    out.append((k, level))
-        return out
+                    out[k] = out.get(k, 0) | 1 << bit
+        return list(out.items())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -159,8 +210,8 @@ def matches(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Se
         def matched(pdf: pd.DataFrame, edges: np.ndarray) -> pd.DataFrame:
             det, truth, over = pdf["det"].to_numpy(), pdf["truth"].to_numpy(), pdf["over"].to_numpy()
             image, category = pdf["image_id"].to_numpy(), pdf["category_id"].to_numpy()
-            rows = [(image[p], category[p], *r, 1) for p, q in zip(edges, edges[1:]) for r in greedy(det[p:q], truth[p:q], over[p:q])]
-            return pd.DataFrame(rows, columns=[*keys, "det", "iou", "tp"])
+            rows = [(image[p], category[p], *r) for p, q in zip(edges, edges[1:]) for r in greedy(det[p:q], truth[p:q], over[p:q])]
+            return pd.DataFrame(rows, columns=[*keys, "det", "hits"])
 
         for pdf in frames:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -175,18 +226,36 @@ def matches(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Se
 
     # images are matched from sorted partitions: a call for each image costs more than its matching
     rows = pairs.repartition(*keys).sortWithinPartitions(*keys, "det", "nth")
-    found = rows.mapInPandas(run, f"image_id {kind['image_id']}, category_id {kind['category_id']}, det int, iou double, tp int")
-    levels = d.join(in_crowd, [*keys, "det"], "left").select(*keys, "det", "score", "crowd", F.explode(F.array(*map(F.lit, ious))).alias("iou"))
-    out = levels.join(found, [*keys, "det", "iou"], "left").where(F.col("tp").isNotNull() | F.col("crowd").isNull() | (F.col("crowd") < F.col("iou")))
-    return out.select("category_id", "iou", "score", F.coalesce("tp", F.lit(0)).alias("tp"))
+    found = rows.mapInPandas(run, f"image_id {kind['image_id']}, category_id {kind['category_id']}, det int, hits long")
+    out = d.join(found, [*keys, "det"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    out = out.join(in_crowd, [*keys, "det"], "left") if in_crowd is not None else out.withColumn("crowd", F.lit(None).cast("double"))
+    return out.select("category_id", "score", "hits", "crowd")
+
+
+def _level(k: int, iou_least: float) -> tuple[Column, Column]:
+    """Whether a graded detection is matched at level k, and whether it counts there: one that matches only crowds is ignored."""
+    hit = F.shiftright("hits", k).bitwiseAND(1) == 1
+    return hit, hit | F.col("crowd").isNull() | (F.col("crowd") < iou_least)
+
+
+def matches(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Sequence[float] = IOUS) -> DataFrame:
+    """category_id, iou, score, tp for every detection: greedy matching by falling score within an image and category.
+
+    truths may have iscrowd: a detection that matches only crowds is ignored.
+    """
+    at = [F.struct(F.lit(v).alias("iou"), "score", hit.cast("int").alias("tp"), counts.alias("counts")) for v, (hit, counts) in ((v, _level(k, v)) for k, v in enumerate(ious))]
+    return _graded(dets, truths, max_dets, ious).select("category_id", F.inline(F.array(*at))).where("counts").drop("counts")
 
 
 def average_precision(dets: DataFrame, truths: DataFrame, *, max_dets: int = 100, ious: Sequence[float] = IOUS) -> DataFrame:
     """category_id, iou, ap: precision at 101 recalls, each the best at that recall or more, averaged; 0 without a match."""
-    found = matches(dets, truths, max_dets=max_dets, ious=ious)
+    found = _graded(dets, truths, max_dets, ious)
     real = truths.where("coalesce(iscrowd, 0) = 0") if "iscrowd" in truths.columns else truths
     n = real.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = found.groupBy("category_id", "iou", "score").agg(F.sum("tp").alias("t"), F.count(F.lit(1)).alias("c"))
+    # a row a score, not one for each of its levels, is shuffled
+    sums = found.groupBy("category_id", "score").agg(*[F.count_if(v).alias(f"{n}{k}") for k, level in enumerate(ious) for n, v in zip("tc", _level(k, level))])
+    at = [F.struct(F.lit(v).alias("iou"), "score", F.col(f"t{k}").alias("t"), F.col(f"c{k}").alias("c")) for k, v in enumerate(ious)]
+    counts = sums.select("category_id", F.inline(F.array(*at))).where("c > 0")
     steps = running_sums(counts, ["category_id", "iou"], "score", ["t", "c"]).select("category_id", "iou", F.col("t_upto").alias("tp"), F.col("c_upto").alias("seen")).join(n, "category_id")
     curve = steps.select("category_id", "iou", (F.col("tp") / F.col("n")).alias("recall"), (F.col("tp") / F.col("seen")).alias("precision"))
     # each recall level from the one before this step up to it takes this step's precision if no later one is better

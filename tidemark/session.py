@@ -46,10 +46,26 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether the shuffles of an execution are deleted when it ends; else they lie on the executors' disks until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffles of what is executed here are deleted at its end."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write df once into the shared folder and read it back: one evaluation for all readers, no lineage, and safe from lost executors."""
+    """Write df once into the shared folder and read it back: one evaluation for all readers, no lineage, and safe from lost executors. Nobody reads the write's shuffles again, so they go with it."""
     path = folder(df.sparkSession, "table")
-    df.write.parquet(path)
+    with _cleaned(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

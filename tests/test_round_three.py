@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import session
 from tidemark.functions import geo
-from tidemark.operators import detection, ranking
+from tidemark.operators import arrangement, detection, ranking
 from tidemark.plans import registry
 from tidemark.sources import tables
 
@@ -57,3 +57,30 @@ def test_rounds_leave_other_tables(spark):
     rows = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 9.0, 0.9), (1, 1.0, 0.0, 10.0, 9.0, 0.8)], "g int, x1 double, y1 double, x2 double, y2 double, score double")
     assert detection.suppressed_in_rounds(rows, ["g"]).count() == 1
     assert mine.count() == 3
+
+
+def test_matches_are_one_row_a_detection(spark):
+    """Ten levels of a detection are bits of one row until they are counted."""
+    box = [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 1, 50.0, 50.0, 60.0, 60.0, 0.8)]
+    d = spark.createDataFrame(box, "image_id int, category_id int, x1 double, y1 double, x2 double, y2 double, score double")
+    t = d.drop("score").withColumn("x1", F.col("x1") + 2)
+    got = {r["score"]: r["hits"] for r in detection._graded(d, t, 100, detection.IOUS).collect()}
+    assert got == {0.9: 0b1111111, 0.8: 0b1111111}  # they overlap by 0.8
+
+
+def _squares(spark, n):
+    """n small squares along a diagonal, far apart, of one key."""
+    at = F.col("id") * 1000.0
+    ring = F.array(*[F.array(at + a, at + b) for a, b in ((0, 0), (4, 0), (4, 4), (0, 4))])
+    return arrangement.ring_edges(spark.range(n).select(F.array(ring).alias("r"), (F.col("id") % 1).alias("g")), F.col("g"), F.col("r"), 1.0)
+
+
+def test_cells_follow_the_edges_not_their_box(spark):
+    """Edges that do not fill their key's box: cells stay small, and so do the pairs in them."""
+    assert {r["s"] for r in arrangement._gridded(_squares(spark, 200)).select("s").distinct().collect()} == {8}
+
+
+def test_arrangements_broadcast_nothing(spark):
+    edges = _squares(spark, 3)
+    for df in (arrangement._gridded(edges), arrangement.wound(arrangement.noded(edges))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -46,7 +46,7 @@ def boxes_that_meet(left: DataFrame, right: DataFrame, *, left_id: str, right_id
 
     a, b = placed(sides[0], levels[1]), placed(sides[1], levels[0])
     b = b.select("r", "at", "cx", "cy", F.col("level").alias("_level"), *[F.col(c).alias(f"_{c}") for c in BOX])
-    both = a.join(b, ["at", "cx", "cy"]).where((F.col("at") == F.greatest("level", "_level")) & (F.col("xmin") <= F.col("_xmax")) & (F.col("_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("_ymax")) & (F.col("_ymin") <= F.col("ymax")))
+    both = a.join(b.hint("merge"), ["at", "cx", "cy"]).where((F.col("at") == F.greatest("level", "_level")) & (F.col("xmin") <= F.col("_xmax")) & (F.col("_xmin") <= F.col("xmax")) & (F.col("ymin") <= F.col("_ymax")) & (F.col("_ymin") <= F.col("ymax")))
     shared = [F.greatest("xmin", "_xmin").alias("xmin"), F.greatest("ymin", "_ymin").alias("ymin"), F.least("xmax", "_xmax").alias("xmax"), F.least("ymax", "_ymax").alias("ymax")]
     corner = both.select(F.col("l").alias(left_id), F.col("r").alias(right_id), *shared, "cx", "cy", "_s")
     return corner.where((F.floor(F.col("xmin") / F.col("_s")) == F.col("cx")) & (F.floor(F.col("ymin") / F.col("_s")) == F.col("cy"))).select(left_id, right_id, *BOX)
@@ -57,7 +57,7 @@ def _of_pairs(geoms: DataFrame, pairs: DataFrame, ids: list[str], own: str, ring
     low, high = (lambda c: F.floor(F.col(c) / precision).cast("long") - 1), (lambda c: F.ceil(F.col(c) / precision).cast("long") + 1)
     boxes = pairs.select(*[F.col(i).alias(f"_{i}") for i in ids], low("xmin").alias("_x0"), low("ymin").alias("_y0"), high("xmax").alias("_x1"), high("ymax").alias("_y1"))
     edges = arrangement.ring_edges(geoms, F.col(own), F.col(rings), precision, layer=layer)
-    met = edges.join(boxes, edges["key"] == boxes[f"_{own}"]).drop("key").withColumn("key", F.struct(*[F.col(f"_{i}").alias(i) for i in ids]))
+    met = edges.join(boxes.hint("merge"), edges["key"] == boxes[f"_{own}"]).drop("key").withColumn("key", F.struct(*[F.col(f"_{i}").alias(i) for i in ids]))
     drawn = arrangement.clamped(met.select("key", *arrangement.EDGE, "a", "b", "_x0", "_y0", "_x1", "_y1"), tuple(F.col(c) for c in ("_x0", "_y0", "_x1", "_y1")))
     return drawn.select("key", *arrangement.EDGE, "a", "b")
 
@@ -80,7 +80,7 @@ def overlay(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, l
 def meeting(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, precision: float = PRECISION) -> DataFrame:
     """The left rows whose polygons (rings) share an area with any of the right ones."""
     shared = overlay(left, right, left_id=left_id, right_id=right_id, precision=precision)
-    return left.join(shared.select(F.col("key")[left_id].alias(left_id)).distinct(), left_id, "left_semi")
+    return left.join(shared.select(F.col("key")[left_id].alias(left_id)).distinct().hint("merge"), left_id, "left_semi")
 
 
 def combined(left: DataFrame, right: DataFrame, how: str, *, key: Column, left_rings: str = "rings", right_rings: str = "rings", precision: float = PRECISION) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Coordinates are whole numbers of a precision step. An edge is a row (key, x1, y1, x2, y2, a, b): it goes upwards, or to the right if level, and a and b say how often
 layer A and layer B run along it that way, less the runs the other way. Rows of one key form one arrangement. Every step is a join or a sum within cells of a grid
-laid over each key, so no large arrangement is one task or one row; the grid's side follows the key's edges. Points at which edges cross each other or a cell's border are rounded,
+laid over each key, so no large arrangement is one task or one row; the grid's side follows the key's edges. Joins ask for a merge: tables of whole numbers are many times
+smaller as files than as rows, so the planner would broadcast, by file sizes, what the driver cannot hold. Points at which edges cross each other or a cell's border are rounded,
 so what comes out is right to half a step.
 """
 
@@ -91,14 +92,15 @@ def clamped(edges: DataFrame, box: tuple[Column, Column, Column, Column]) -> Dat
 def _gridded(edges: DataFrame) -> DataFrame:
     """Edges relative to their key's lower left corner (x0, y0), with the side s of the key's cells, cut at the cells' borders.
 
-    A key of few edges is one cell, and none of them is cut. Else s is a power of two over the edges' mean extent and over the side that holds four edges when evenly spread.
+    A key of few edges is one cell, and none of them is cut. Else s is a power of two over the edges' mean extent and over the side that holds four edges when evenly spread, or twice that extent if less:
+    edges seldom fill their key's box, and cells that grow with the box would hold ever more of them. Cells without edges cost nothing, and pieces stay within a few times the edges.
     """
     far = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
     x0, y0, n = F.min(F.least("x1", "x2")), F.min("y1"), F.count(F.lit(1))
     w, h = F.max(F.greatest("x1", "x2")) - x0, F.max("y2") - y0
-    side = F.when(n <= ONE_CELL, F.greatest(w, h) + 1.0).otherwise(F.greatest(F.avg(far), F.sqrt(4.0 * w * h / n), F.lit(4.0)))
+    side = F.when(n <= ONE_CELL, F.greatest(w, h) + 1.0).otherwise(F.greatest(F.avg(far), F.least(F.sqrt(4.0 * w * h / n), 2 * F.avg(far)), F.lit(4.0)))
     sides = edges.groupBy("key").agg(F.pow(F.lit(2.0), F.ceil(F.log2(side))).cast("long").alias("s"), x0.alias("x0"), y0.alias("y0"))
-    out = edges.join(sides, "key").withColumns({c: F.col(c) - F.col(f"{c[0]}0") for c in EDGE})
+    out = edges.join(sides.hint("merge"), "key").withColumns({c: F.col(c) - F.col(f"{c[0]}0") for c in EDGE})
     for axis, lo, hi in (("x", F.least("x1", "x2"), F.greatest("x1", "x2")), ("y", F.col("y1"), F.col("y2"))):
         first, last = F.floor(lo / F.col("s")) + 1, F.ceil(hi / F.col("s")) - 1
         out = cut(out, axis, F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * F.col("s"))).otherwise(F.array().cast("array<bigint>")))
@@ -128,7 +130,7 @@ def noded(edges: DataFrame) -> DataFrame:
         left, right = placed.alias("l"), placed.withColumnsRenamed({"e": "f", "fresh": "fresh_f"}).alias("r")
         e, f = F.col("e"), F.col("f")
         meet = (F.least(e["x1"], e["x2"]) <= F.greatest(f["x1"], f["x2"])) & (F.least(f["x1"], f["x2"]) <= F.greatest(e["x1"], e["x2"])) & (e["y1"] <= f["y2"]) & (f["y1"] <= e["y2"])
-        pairs = left.join(right, ["key", "ci", "cj"]).where((e < f) & (F.col("fresh") | F.col("fresh_f")) & meet)
+        pairs = left.join(right.hint("merge"), ["key", "ci", "cj"]).where((e < f) & (F.col("fresh") | F.col("fresh_f")) & meet)
         cuts = pairs.select("key", F.explode(_cuts(e, f)).alias("_c")).groupBy("key", "_c.e").agg(F.collect_set("_c.p").alias("p"))
         cuts = written(cuts.select("key", *[F.col("e")[c].alias(c) for c in EDGE], "p"))
         if cuts.isEmpty():
@@ -138,7 +140,7 @@ def noded(edges: DataFrame) -> DataFrame:
         along = F.array_sort(F.transform("p", lambda p: F.struct(((p["x"] - F.col("x1")) * dx + (p["y"] - F.col("y1")) * dy).alias("t"), p["x"].alias("x"), p["y"].alias("y"))))
         ends = lambda x, y: F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
         points = F.concat(ends("x1", "y1"), F.coalesce(F.transform(along, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.array().cast("array<struct<x:bigint,y:bigint>>")), ends("x2", "y2"))
-        split = _pieces(out.join(cuts, ["key", *EDGE], "left").withColumn("fresh", F.col("p").isNotNull()), points).drop("p")
+        split = _pieces(out.join(cuts.hint("merge"), ["key", *EDGE], "left").withColumn("fresh", F.col("p").isNotNull()), points).drop("p")
         out = written(split.groupBy("key", *GRID, *EDGE).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("fresh").alias("fresh")).where("a != 0 or b != 0"))
         discard(spark, keep=[out])
     raise RuntimeError(f"edges still cross after {MOST_ROUNDS} rounds")
@@ -184,10 +186,10 @@ def wound(nodes: DataFrame) -> DataFrame:
     begins = (F.least("ox1", "ox2") == F.col("xl")) & (F.col("ox1") != F.col("ox2")) & (start > F.col("yb")) & (2 * start <= my)
     spans = (2 * F.col("oy1") <= my) & (my < 2 * F.col("oy2"))
     passed = spans & (_cross(F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1"), mx - 2 * F.col("ox1"), my - 2 * F.col("oy1")) < 0)
-    met = e.join(others, ["key", "ci", "cj"])
+    met = e.join(others.hint("merge"), ["key", "ci", "cj"])
     step = lambda c: F.sum(F.when(begins, F.when(rightward, F.col(c)).otherwise(-F.col(c))).otherwise(0) - F.when(passed, F.col(c)).otherwise(0))
     local = met.groupBy("key", "x0", "y0", "ci", "cj", *EDGE, "a", "b").agg(step("oa").alias("la"), step("ob").alias("lb"))
-    out = local.join(corners, ["key", "ci", "cj"])
+    out = local.join(corners.hint("merge"), ["key", "ci", "cj"])
     return out.select("key", *[(F.col(c) + F.col(f"{c[0]}0")).alias(c) for c in EDGE], "a", "b", (F.col("wa") + F.col("la")).alias("wa"), (F.col("wb") + F.col("lb")).alias("wb"))
 
 
@@ -217,17 +219,17 @@ def rings(edges: DataFrame, precision: float) -> DataFrame:
     e = written(edges.withColumn("id", F.monotonically_increasing_id()))
     turn = F.pmod(F.atan2(F.col("y1") - F.col("y2"), F.col("x1") - F.col("x2")) - F.atan2(F.col("_y") - F.col("y2"), F.col("_x") - F.col("x2")), F.lit(6.283185307179586))
     ahead = e.select("key", F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("_x"), F.col("y2").alias("_y"), F.col("id").alias("_next"))
-    nxt = e.join(ahead, ["key", "x2", "y2"]).groupBy("id").agg(F.min_by("_next", F.when(turn <= 0, 7.0).otherwise(turn)).alias("ptr"))
+    nxt = e.join(ahead.hint("merge"), ["key", "x2", "y2"]).groupBy("id").agg(F.min_by("_next", F.when(turn <= 0, 7.0).otherwise(turn)).alias("ptr"))
     at = written(nxt.select("id", "ptr", F.when(F.col("ptr") < F.col("id"), F.col("ptr")).otherwise(F.col("id")).alias("least"), F.when(F.col("ptr") < F.col("id"), 1).otherwise(0).cast("long").alias("steps"), F.lit(True).alias("moved")))
     ahead_of = lambda df: df.select(F.col("id").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("least").alias("_least"), F.col("steps").alias("_steps"))
     reach = 1
     while not at.where("moved").isEmpty():
         nearer = F.col("_least") < F.col("least")
-        at = written(at.join(ahead_of(at), "ptr").select("id", F.col("_ptr").alias("ptr"), F.least("least", "_least").alias("least"), F.when(nearer, F.col("_steps") + reach).otherwise(F.col("steps")).alias("steps"), nearer.alias("moved")))
+        at = written(at.join(ahead_of(at).hint("merge"), "ptr").select("id", F.col("_ptr").alias("ptr"), F.least("least", "_least").alias("least"), F.when(nearer, F.col("_steps") + reach).otherwise(F.col("steps")).alias("steps"), nearer.alias("moved")))
         reach *= 2
         discard(spark, keep=[e, at])
     points = F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("t"), F.col("x1").alias("x"), F.col("y1").alias("y"))))
-    whole = e.join(at.select("id", "least", "steps"), "id").groupBy("key", F.col("least").alias("ring_id")).agg(points.alias("_p"), (F.sum((F.col("x1") - F.col("x2")) * (F.col("y1") + F.col("y2"))) / 2.0 * precision * precision).alias("area"))
+    whole = e.join(at.select("id", "least", "steps").hint("merge"), "id").groupBy("key", F.col("least").alias("ring_id")).agg(points.alias("_p"), (F.sum((F.col("x1") - F.col("x2")) * (F.col("y1") + F.col("y2"))) / 2.0 * precision * precision).alias("area"))
     n = F.size("_p")
     near = lambda i, k: F.element_at("_p", F.pmod(i + k, n).cast("int") + 1)
     bends = lambda p, i: _cross(p["x"] - near(i, -1)["x"], p["y"] - near(i, -1)["y"], near(i, 1)["x"] - p["x"], near(i, 1)["y"] - p["y"]) != 0

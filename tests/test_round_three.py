@@ -7,7 +7,7 @@ from tidemark import session
 from tidemark.functions import geo
 from tidemark.operators import arrangement, detection, ranking
 from tidemark.plans import registry
-from tidemark.sources import tables
+from tidemark.sources import store, tables
 
 
 def test_shares_are_as_written(spark):
@@ -84,3 +84,11 @@ def test_arrangements_broadcast_nothing(spark):
     edges = _squares(spark, 3)
     for df in (arrangement._gridded(edges), arrangement.wound(arrangement.noded(edges))):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spread_files_move_by_task(spark, tmp_path):
+    """Files of each task land in one folder below the path, none twice, and nothing pending stays."""
+    rows = spark.range(0, 30, numPartitions=3).select(F.concat("id", F.lit(".txt")).alias("name"), F.lit(b"x").alias("content"))
+    store.write_files(rows, str(tmp_path), spread=True)
+    assert len(list(tmp_path.iterdir())) == 3
+    assert sorted(p.name for p in tmp_path.glob("*/*.txt")) == sorted(f"{k}.txt" for k in range(30))

@@ -49,6 +49,7 @@ class _FileWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.job = uuid.uuid4().hex
+        self.spread = options.get("spread") == "true"
 
     def _pending(self) -> str:
         return f"{located(self.path)[1]}/_pending-{self.job}"
@@ -73,7 +74,10 @@ class _FileWriter(DataSourceWriter):
         if len(set(names)) < len(names):
             self.abort(messages)
             raise ValueError("two rows have one file name")
-        for m in messages:
+        for k, m in enumerate(messages):
+            if m and self.spread:
+                store.move(m.folder, f"{root}/{self.job}-{k}")  # one move a task
+                continue
             for name in m.names if m else ():
                 store.move(f"{m.folder}/{name}", f"{root}/{name}")
         self.abort(messages)
@@ -100,17 +104,17 @@ class FileSink(DataSource):
         return _FileWriter(self.options)
 
 
-def write_files(rows: DataFrame, path: str) -> None:
-    """Write each row (name, content) as a file of the folder.
+def write_files(rows: DataFrame, path: str, *, spread: bool = False) -> None:
+    """Write each row (name, content) as a file of the folder; spread puts each task's files into a folder of their own below it, moved there as one, for very many files.
 
     Tasks write into a pending folder of their attempt; files appear under their names only when all tasks are through, and a failed job leaves none. A task that
-    runs again has a folder of its own, so its first attempt leaves nothing either. Names are single ones, unlike each other; files of the same names are replaced. Null contents are empty files.
+    runs again has a folder of its own, so its first attempt leaves nothing either. Names are single ones, unlike each other; files of the same names are replaced, but not if spread. Null contents are empty files.
     """
     spark = rows.sparkSession
     spark.dataSource.register(FileSink)
     store, at = located(path)
     store.create_dir(at)
-    rows.select("name", "content").write.format("tidemark_files").mode("append").save(path)
+    rows.select("name", "content").write.format("tidemark_files").option("spread", str(spread).lower()).mode("append").save(path)
 
 
 def registered(spark: SparkSession, source: type[DataSource], **options: object):

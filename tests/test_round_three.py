@@ -92,3 +92,23 @@ def test_spread_files_move_by_task(spark, tmp_path):
     store.write_files(rows, str(tmp_path), spread=True)
     assert len(list(tmp_path.iterdir())) == 3
     assert sorted(p.name for p in tmp_path.glob("*/*.txt")) == sorted(f"{k}.txt" for k in range(30))
+
+
+def test_label_files_make_room(spark):
+    """Every image has its label file, and none lies on the disk any more once it was read."""
+    from pathlib import Path
+
+    df = registry.queries()["q_box_files"](spark, "/root/testdata/sf0.001")
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert not list(Path(session.shared_folder(spark).removeprefix("file:")).rglob("o*.txt"))
+
+
+def test_files_go_through_the_disk(spark):
+    rows = spark.createDataFrame([(f"{k}.txt", bytes([k, 0, 255]) * (k % 3)) for k in range(25)] + [("none", None)], "name string, content binary")
+    got = {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in store.through_files(rows, at_once=4).collect()}
+    assert got == {r["name"]: bytes(r["content"] or b"") for r in rows.collect()}
+    for name in ("../up", "_hidden"):
+        with pytest.raises(Exception, match="not a file name"):
+            store.through_files(rows.withColumn("name", F.lit(name))).collect()
+    with pytest.raises(Exception, match="one file name"):
+        store.through_files(rows.coalesce(1).withColumn("name", F.lit("a"))).collect()

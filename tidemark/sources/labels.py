@@ -25,9 +25,14 @@ def parse_boxes(lines: DataFrame, *, strict: bool = False) -> DataFrame:
 
 
 def read_boxes(spark: SparkSession, path: str, *, strict: bool = False) -> DataFrame:
-    """Every label file below path; files are read whole, so the last line needs no end."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select(stem(F.col("path")).alias("stem"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    """Every label file below path; files are read whole, so the last line needs no end, and as bytes: the reader of whole texts sets up a job's configuration for each file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return file_boxes(files.select(F.col("_metadata.file_path").alias("path"), "content"), strict=strict)
+
+
+def file_boxes(files: DataFrame, *, strict: bool = False) -> DataFrame:
+    """The boxes of label files (path, content)."""
+    lines = files.select(stem(F.col("path")).alias("stem"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line", "value"))
     return parse_boxes(lines, strict=strict)
 
 

@@ -6,7 +6,7 @@ import fnmatch
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark import TaskContext
@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tidemark.session import folder
+
+#: Files of a task that lie on the disk at once in through_files(); a small file takes a whole block of it.
+AT_ONCE = 2_000
+
 
 def located(path: str):
     """The file system of a path or address, and the path within it."""
@@ -37,6 +42,19 @@ def listed(path: str, pattern: str = "*") -> list[str]:
     return sorted(i.path for i in found if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, pattern) and not hidden(i.path))
 
 
+def _put(store, at: str, rows: Iterable[tuple[str, bytes | None]]) -> list[str]:
+    """Write each (name, content) as a file of a new folder; their names."""
+    store.create_dir(at)
+    names = []
+    for name, content in rows:
+        if not name or "/" in name or name[0] in "_.":
+            raise ValueError(f"not a file name: {name!r}")
+        with store.open_output_stream(f"{at}/{name}", compression=None) as f:
+            f.write(bytes(content or b""))
+        names.append(name)
+    return names
+
+
 @dataclass
 class Pending(WriterCommitMessage):
     """A task's folder of files that are not there yet for readers, and their names."""
@@ -57,16 +75,8 @@ class _FileWriter(DataSourceWriter):
     def write(self, iterator: Iterator[Row]) -> Pending:
         store, _ = located(self.path)
         task = TaskContext.get()
-        folder = f"{self._pending()}/{task.partitionId()}-{task.taskAttemptId()}"
-        store.create_dir(folder)
-        names = []
-        for name, content in iterator:
-            if not name or "/" in name or name[0] in "_.":
-                raise ValueError(f"not a file name: {name!r}")
-            with store.open_output_stream(f"{folder}/{name}", compression=None) as f:
-                f.write(bytes(content or b""))
-            names.append(name)
-        return Pending(folder, names)
+        at = f"{self._pending()}/{task.partitionId()}-{task.taskAttemptId()}"
+        return Pending(at, _put(store, at, iterator))
 
     def commit(self, messages: list[Pending | None]) -> None:
         store, root = located(self.path)
@@ -117,6 +127,37 @@ def write_files(rows: DataFrame, path: str, *, spread: bool = False) -> None:
     rows.select("name", "content").write.format("tidemark_files").option("spread", str(spread).lower()).mode("append").save(path)
 
 
+def through_files(rows: DataFrame, *, at_once: int = AT_ONCE) -> DataFrame:
+    """path, content: each row (name, content) written as a file of the shared folder and read back from there, for more small files than the disk has room for.
+
+    A task writes at_once files into a folder of its own, reads what it finds in it and deletes it before the next. Names are as in write_files(); they must be unlike each other, which is seen only of files that lie there at once.
+    """
+    path = folder(rows.sparkSession, "files")
+
+    def through(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, root = located(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, at_once):
+                part, own = batch.slice(k, at_once).to_pydict(), f"{root}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
+                try:
+                    names = _put(store, own, zip(part["name"], part["content"]))
+                    if len(set(names)) < len(names):
+                        raise ValueError("two rows have one file name")
+                    found = [i.path for i in store.get_file_info(fs.FileSelector(own))]
+                    contents = []
+                    for p in found:
+                        with store.open_input_file(p) as f:
+                            contents.append(f.read())
+                finally:
+                    store.delete_dir(own)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return rows.select("name", "content").mapInArrow(through, "path string, content binary")
+
+
 def registered(spark: SparkSession, source: type[DataSource], **options: object):
     """A reader of a data source with the options that are not None."""
     spark.dataSource.register(source)

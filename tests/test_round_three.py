@@ -112,3 +112,18 @@ def test_files_go_through_the_disk(spark):
             store.through_files(rows.withColumn("name", F.lit(name))).collect()
     with pytest.raises(Exception, match="one file name"):
         store.through_files(rows.coalesce(1).withColumn("name", F.lit("a"))).collect()
+
+
+def test_few_links_are_left_to_rounds(spark):
+    """Runs of a block are one part before the rounds begin, none that lie apart are, and parts know touching runs of other batches."""
+    from tidemark.operators import components
+
+    px = spark.range(512 * 100).select(F.lit("a").alias("key"), (F.col("id") / 100).cast("int").alias("i"), (F.col("id") % 100).cast("int").alias("j")).where("(i + j) % 2 = 0")  # a chessboard
+    rs = session.written(components.runs(px).withColumn("id", F.monotonically_increasing_id()))
+    assert components.merged(rs, True).select("part").distinct().count() <= 8 < 25_600 == rs.count() == components.merged(rs, False).select("part").distinct().count()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        assert [tuple(r) for r in components.boxes(px).collect()] == [("a", 0, 0, 100, 512, 25_600)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

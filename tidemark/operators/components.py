@@ -1,19 +1,24 @@
 """Connected components of links, and of the pixels of rasters of any size.
 
-Pixels become runs along their rows, cut at every 64th column, so that a raster is never one row or one task; runs that touch are links, and rounds of stars over the
-links join them.
+Pixels become runs along their rows, cut at every 64th column, so that a raster is never one row or one task; runs that touch are links. Those between runs of a block that
+one batch holds are joined there, and rounds of stars over the links that are left join the blocks' parts.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.raster import dilated
 from tidemark.session import discard, own_run, written
 
 #: Columns a run spans at most.
 SPAN = 64
+#: Rows of a block, whose runs lie together while they are joined within a batch.
+BLOCK = 256
 MOST_ROUNDS = 100
 
 
@@ -85,10 +90,62 @@ def beside(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(b.select("key", "i", "j0", F.col("id").alias("b")), ["key", "i", "j0"]).select("a", "b")
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that it reaches over the links a[k], b[k]: larger roots hang under smaller ones until no link has two."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _links(pdf: pd.DataFrame, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the runs (k, i, j0, j1), in order of key, row and column, that touch: one row apart (at corners too, if reach is 1), or side by side."""
+    k, i, j0, j1 = (pdf[c].to_numpy(np.int64) for c in ("k", "i", "j0", "j1"))
+    new = np.diff(k) != 0
+    y = np.concatenate([[0], np.cumsum(np.where(new | (np.diff(i) > 1), 2, np.diff(i)))])  # the next row is one more, any other at least two
+    least = j0.min()
+    wide = j1.max() - least + 4
+    begin, end = y * wide + j0 - least + 1, y * wide + j1 - least + 1  # both in order, as runs lie apart
+    lo, hi = np.searchsorted(end, begin + wide - reach), np.searchsorted(begin, end + wide + reach, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(pdf)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    side = np.flatnonzero(end[:-1] + 1 == begin[1:])
+    return np.concatenate([a, side]), np.concatenate([b, side + 1])
+
+
+def merged(rs: DataFrame, diagonal: bool) -> DataFrame:
+    """Runs (with id) and part: the least id of the runs of their batch that they are connected with. Which runs share a batch is left open; links between parts are not lost, touching() finds them.
+
+    Blocks of a raster lie together, so that few links are left; a batch is as long as Arrow's are.
+    """
+
+    def parts(frames):
+        for pdf in frames:
+            at = pdf.assign(k=pd.factorize(pdf["key"])[0]).sort_values(["k", "i", "j0"], ignore_index=True)
+            ids = at["id"].to_numpy()
+            root = joined(len(at), *_links(at, int(diagonal)))
+            least = ids.copy()
+            np.minimum.at(least, root, ids)
+            yield at.assign(part=least[root])[[*pdf.columns, "part"]]
+
+    block = F.floor(F.col("i") / BLOCK)
+    near = rs.repartition("key", block).sortWithinPartitions("key", block, "b", "i", "j0")
+    return near.mapInPandas(parts, StructType([*rs.schema, StructField("part", LongType())]))
+
+
 def labelled(rs: DataFrame, diagonal: bool) -> DataFrame:
     """Runs (with id) and their component: eight-connected if diagonal, else four-connected."""
-    found = components(touching(rs, rs, below=1, diagonal=diagonal).unionByName(beside(rs, rs)))
-    return rs.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rs = written(merged(rs, diagonal))
+    parts = rs.drop("id").withColumnRenamed("part", "id")
+    found = components(touching(parts, parts, below=1, diagonal=diagonal).unionByName(beside(parts, parts)).where("a != b").distinct())
+    return rs.join(found.select(F.col("id").alias("part"), "component"), "part", "left").withColumn("component", F.coalesce("component", "part")).drop("part")
 
 
 def boxes(pixels: DataFrame, *, min_area: int = 1, outer: bool = True) -> DataFrame:

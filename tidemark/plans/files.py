@@ -11,7 +11,7 @@ from tidemark.functions.geo import ring_area
 from tidemark.plans.base import query, table
 from tidemark.session import folder
 from tidemark.sources import netcdf, pages, shapes, tiff
-from tidemark.sources.store import write_files
+from tidemark.sources.store import read_files, write_files
 
 #: 400 vectors of 64 make up a raster of 160 x 160, 20 by 20 squares of 8 x 8.
 MOSAIC = """m AS (SELECT vec_id // 400 AS k, (vec_id % 400 // 20 * 8 + (n - 1) // 8)::int AS i, (vec_id % 20 * 8 + (n - 1) % 8)::int AS j, embedding[n]::double AS v FROM embeddings, range(1, 65) t(n))"""
@@ -94,8 +94,8 @@ def q_files_written(spark, sf):
     path = folder(spark, "files")
     d = table(spark, sf, "documents")
     write_files(d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")), path)
-    back = spark.read.format("binaryFile").load(path)
-    return back.select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("bigint").alias("doc_id"), F.col("length").alias("n_bytes"), F.md5("content").alias("md5"))
+    back = read_files(spark, path)
+    return back.select(F.regexp_extract("path", r"/(-?[0-9]+)\.txt$", 1).cast("bigint").alias("doc_id"), F.col("length").alias("n_bytes"), F.md5("content").alias("md5"))
 
 
 @query("""SELECT o_orderkey, cover, x::double AS x FROM (SELECT o_orderkey, o_orderdate, o_orderkey * 7 % 101 AS cover, o_orderkey * 13 % 360 - 180 AS x, o_orderpriority FROM orders)

@@ -11,13 +11,15 @@ from dataclasses import dataclass
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tidemark.session import folder
 
 #: Files of a task that lie on the disk at once in through_files(); a small file takes a whole block of it.
 AT_ONCE = 2_000
+#: Bytes of a batch that read_files() gives; a larger file is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def located(path: str):
@@ -158,6 +160,75 @@ def through_files(rows: DataFrame, *, at_once: int = AT_ONCE) -> DataFrame:
     return rows.select("name", "content").mapInArrow(through, "path string, content binary")
 
 
+@dataclass
+class Below(InputPartition):
+    """What lies directly in a folder, or, if deep, at any depth below it; rel is its place below the path."""
+
+    rel: str
+    deep: bool
+
+
+class _FolderReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.content = options["path"].rstrip("/"), options.get("content") == "true"
+
+    def partitions(self) -> list[Below]:
+        """The path's own files, and one for each folder in it: what these hold is listed by tasks."""
+        from pyarrow import fs
+
+        store, at = located(self.path)
+        found = store.get_file_info(fs.FileSelector(at))
+        return [Below("", False), *[Below(f"/{i.base_name}", True) for i in found if i.type == fs.FileType.Directory and i.base_name[0] not in "_."]]
+
+    def read(self, partition: Below):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, at = located(self.path)
+        hidden = lambda p: any(s[:1] in "_." for s in p[len(at) :].strip("/").split("/"))
+        found = store.get_file_info(fs.FileSelector(at + partition.rel, recursive=partition.deep))
+        rows, held = [], 0
+        names = ["path", "name", "length", "modified", *(["content"] if self.content else [])]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.binary()]
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        for i in found:
+            if i.type != fs.FileType.File or hidden(i.path):
+                continue
+            row = (self.path + i.path[len(at) :], i.base_name, i.size, i.mtime_ns // 1000)
+            if self.content:
+                with store.open_input_file(i.path) as f:
+                    row += (f.read(),)
+                held += i.size
+            rows.append(row)
+            if held >= BATCH_BYTES or len(rows) >= 10_000:
+                yield batch()
+                rows, held = [], 0
+        if rows:
+            yield batch()
+
+
+class FolderSource(DataSource):
+    """Files of a folder. Options: path, content (whether they are read)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidemark_folder"
+
+    def schema(self) -> str:
+        return "path string, name string, length long, modified timestamp" + (", content binary" if self.options.get("content") == "true" else "")
+
+    def reader(self, schema: StructType) -> _FolderReader:
+        return _FolderReader(self.options)
+
+
+def read_files(spark: SparkSession, path: str, *, content: bool = True) -> DataFrame:
+    """path, name, length, modified and content of the files in a folder and at any depth below it, empty ones too, which Spark's own file readers leave out; names that begin with _ or . are left out.
+
+    The driver sees what lies directly in the folder; a task lists, and reads, each folder below. So very many files should lie in folders, as write_files(spread=True) puts them. Paths begin with the path given.
+    """
+    return registered(spark, FolderSource, path=path, content=str(content).lower()).load()
+
+
 def registered(spark: SparkSession, source: type[DataSource], **options: object):
     """A reader of a data source with the options that are not None."""
     spark.dataSource.register(source)

@@ -2,6 +2,9 @@
 
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from tidemark.plans import registry
 from tidemark.sources import store
 
@@ -31,3 +34,21 @@ def test_files_of_a_folder(spark, tmp_path):
         assert {r["path"].removeprefix(path.rstrip("/")): (r["name"], r["length"], bytes(r["content"])) for r in rows} == {"/a.txt": ("a.txt", 1, b"a"), "/empty": ("empty", 0, b""), "/x/b.txt": ("b.txt", 2, b"bb"), "/x/y/c.txt": ("c.txt", 3, b"ccc")}
     listing = store.read_files(spark, str(tmp_path), content=False)
     assert listing.columns == ["path", "name", "length", "modified"] and sorted(r["length"] for r in listing.collect()) == [0, 1, 2, 3]
+
+
+def test_spread_files_lie_in_folders(spark, tmp_path):
+    """A task's files lie in folders of at most 2,000, no names go to the driver, and equal names are seen across folders and tasks."""
+    rows = spark.range(0, 4500, numPartitions=2).select(F.concat("id", F.lit(".txt")).alias("name"), F.lit(b"x").alias("content"))
+    store.write_files(rows, str(tmp_path / "out"), spread=True)
+    assert sorted(len(list(p.iterdir())) for p in (tmp_path / "out").iterdir()) == [250, 250, 2000, 2000]
+    assert store.read_files(spark, str(tmp_path / "out"), content=False).select("name").distinct().count() == 4500
+    for k in (2000, 4000):  # in another folder of its task, and of another task
+        with pytest.raises(Exception, match="one file name"):
+            store.write_files(rows.withColumn("name", F.when(F.col("name") == f"{k}.txt", "0.txt").otherwise(F.col("name"))), str(tmp_path / "twice"), spread=True)
+        assert list((tmp_path / "twice").iterdir()) == []
+
+
+def test_written_files_are_listed_by_tasks(spark, tmp_path):
+    """The plan has no list of files in it, and a part for the folder and for each folder in it."""
+    df = registry.queries()["q_files_written"](spark, documents(spark, tmp_path, {k: "a" for k in range(5)}))
+    assert not df.inputFiles() and df.count() == 5

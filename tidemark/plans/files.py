@@ -93,7 +93,7 @@ def q_files_written(spark, sf):
     """Documents as one file each, read back."""
     path = folder(spark, "files")
     d = table(spark, sf, "documents")
-    write_files(d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")), path)
+    write_files(d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")), path, spread=True)
     back = read_files(spark, path)
     return back.select(F.regexp_extract("path", r"/(-?[0-9]+)\.txt$", 1).cast("bigint").alias("doc_id"), F.col("length").alias("n_bytes"), F.md5("content").alias("md5"))
 

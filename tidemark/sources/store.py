@@ -8,6 +8,7 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -18,6 +19,8 @@ from tidemark.session import folder
 
 #: Files of a task that lie on the disk at once in through_files(); a small file takes a whole block of it.
 AT_ONCE = 2_000
+#: Files of a folder where a task writes very many: what one task lists and reads of them later.
+IN_FOLDER = 2_000
 #: Bytes of a batch that read_files() gives; a larger file is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -44,9 +47,18 @@ def listed(path: str, pattern: str = "*") -> list[str]:
     return sorted(i.path for i in found if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, pattern) and not hidden(i.path))
 
 
-def _put(store, at: str, rows: Iterable[tuple[str, bytes | None]]) -> list[str]:
-    """Write each (name, content) as a file of a new folder; their names."""
-    store.create_dir(at)
+def _delete(store, at: str) -> None:
+    """Delete a folder that tasks of a failed job may still write into: moved first, so that they find it gone."""
+    from pyarrow import fs
+
+    if store.get_file_info(at).type != fs.FileType.NotFound:
+        store.move(at, f"{at}-gone")
+        store.delete_dir(f"{at}-gone")
+
+
+def _put(store, at: str, rows: Iterable[tuple[str, bytes | None]], *, recursive: bool = True) -> list[str]:
+    """Write each (name, content) as a file of a new folder; their names, which must be unlike each other. The folder that it lies in must be there, unless recursive."""
+    store.create_dir(at, recursive=recursive)
     names = []
     for name, content in rows:
         if not name or "/" in name or name[0] in "_.":
@@ -54,21 +66,23 @@ def _put(store, at: str, rows: Iterable[tuple[str, bytes | None]]) -> list[str]:
         with store.open_output_stream(f"{at}/{name}", compression=None) as f:
             f.write(bytes(content or b""))
         names.append(name)
+    if len(set(names)) < len(names):
+        raise ValueError("two rows have one file name")
     return names
 
 
 @dataclass
 class Pending(WriterCommitMessage):
-    """A task's folder of files that are not there yet for readers, and their names."""
+    """A task's folders of files that are not there yet for readers, and the files' names, or none if the folders are moved as they are."""
 
-    folder: str
+    folders: list[str]
     names: list[str]
 
 
 class _FileWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
-        self.job = uuid.uuid4().hex
+        self.job = options["job"]
         self.spread = options.get("spread") == "true"
 
     def _pending(self) -> str:
@@ -78,7 +92,13 @@ class _FileWriter(DataSourceWriter):
         store, _ = located(self.path)
         task = TaskContext.get()
         at = f"{self._pending()}/{task.partitionId()}-{task.taskAttemptId()}"
-        return Pending(at, _put(store, at, iterator))
+        if not self.spread:
+            return Pending([at], _put(store, at, iterator, recursive=False))
+        folders: list[str] = []
+        while first := next(iterator, None):
+            folders.append(f"{at}-{len(folders)}")
+            _put(store, folders[-1], chain([first], islice(iterator, IN_FOLDER - 1)), recursive=False)
+        return Pending(folders, [])
 
     def commit(self, messages: list[Pending | None]) -> None:
         store, root = located(self.path)
@@ -86,20 +106,17 @@ class _FileWriter(DataSourceWriter):
         if len(set(names)) < len(names):
             self.abort(messages)
             raise ValueError("two rows have one file name")
-        for k, m in enumerate(messages):
-            if m and self.spread:
-                store.move(m.folder, f"{root}/{self.job}-{k}")  # one move a task
-                continue
-            for name in m.names if m else ():
-                store.move(f"{m.folder}/{name}", f"{root}/{name}")
+        for m in filter(None, messages):
+            if self.spread:
+                for at in m.folders:
+                    store.move(at, f"{root}/{self.job}-{at.rsplit('/', 1)[-1]}")  # one move a folder
+            else:
+                for name in m.names:
+                    store.move(f"{m.folders[0]}/{name}", f"{root}/{name}")
         self.abort(messages)
 
     def abort(self, messages: list[Pending | None]) -> None:
-        store, _ = located(self.path)
-        from pyarrow import fs
-
-        if store.get_file_info(self._pending()).type != fs.FileType.NotFound:
-            store.delete_dir(self._pending())
+        _delete(located(self.path)[0], self._pending())
 
 
 class FileSink(DataSource):
@@ -117,7 +134,7 @@ class FileSink(DataSource):
 
 
 def write_files(rows: DataFrame, path: str, *, spread: bool = False) -> None:
-    """Write each row (name, content) as a file of the folder; spread puts each task's files into a folder of their own below it, moved there as one, for very many files.
+    """Write each row (name, content) as a file of the folder; spread puts them, up to 2,000 of a task at once, into folders of their own below it, for very many files: the driver moves folders and sees no names.
 
     Tasks write into a pending folder of their attempt; files appear under their names only when all tasks are through, and a failed job leaves none. A task that
     runs again has a folder of its own, so its first attempt leaves nothing either. Names are single ones, unlike each other; files of the same names are replaced, but not if spread. Null contents are empty files.
@@ -125,8 +142,25 @@ def write_files(rows: DataFrame, path: str, *, spread: bool = False) -> None:
     spark = rows.sparkSession
     spark.dataSource.register(FileSink)
     store, at = located(path)
-    store.create_dir(at)
-    rows.select("name", "content").write.format("tidemark_files").option("spread", str(spread).lower()).mode("append").save(path)
+
+    def write(below: str) -> None:
+        job = uuid.uuid4().hex
+        store.create_dir(f"{at}{below}/_pending-{job}")
+        rows.select("name", "content").write.format("tidemark_files").option("spread", str(spread).lower()).option("job", job).mode("append").save(path.rstrip("/") + below)
+
+    if not spread:
+        return write("")
+    from pyarrow import fs
+
+    held = f"/_held-{uuid.uuid4().hex}"  # readers do not see it; tasks compare the names in there
+    try:
+        write(held)
+        if read_files(spark, path.rstrip("/") + held, content=False).groupBy("name").count().where("count > 1").limit(1).count():
+            raise ValueError("two rows have one file name")
+        for i in store.get_file_info(fs.FileSelector(at + held)):
+            store.move(i.path, f"{at}/{i.base_name}")
+    finally:
+        _delete(store, at + held)
 
 
 def through_files(rows: DataFrame, *, at_once: int = AT_ONCE) -> DataFrame:
@@ -145,9 +179,7 @@ def through_files(rows: DataFrame, *, at_once: int = AT_ONCE) -> DataFrame:
             for k in range(0, batch.num_rows, at_once):
                 part, own = batch.slice(k, at_once).to_pydict(), f"{root}/{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}"
                 try:
-                    names = _put(store, own, zip(part["name"], part["content"]))
-                    if len(set(names)) < len(names):
-                        raise ValueError("two rows have one file name")
+                    _put(store, own, zip(part["name"], part["content"]))
                     found = [i.path for i in store.get_file_info(fs.FileSelector(own))]
                     contents = []
                     for p in found:

@@ -5,8 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import names
 from tidemark.plans import registry
-from tidemark.sources import store
+from tidemark.sources import store, tables
 
 
 def documents(spark, path, texts):
@@ -37,14 +38,15 @@ def test_files_of_a_folder(spark, tmp_path):
 
 
 def test_spread_files_lie_in_folders(spark, tmp_path):
-    """A task's files lie in folders of at most 2,000, no names go to the driver, and equal names are seen across folders and tasks."""
-    rows = spark.range(0, 4500, numPartitions=2).select(F.concat("id", F.lit(".txt")).alias("name"), F.lit(b"x").alias("content"))
-    store.write_files(rows, str(tmp_path / "out"), spread=True)
-    assert sorted(len(list(p.iterdir())) for p in (tmp_path / "out").iterdir()) == [250, 250, 2000, 2000]
-    assert store.read_files(spark, str(tmp_path / "out"), content=False).select("name").distinct().count() == 4500
-    for k in (2000, 4000):  # in another folder of its task, and of another task
+    """A task's files lie in folders of at most so many, no names go to the driver, and equal names are seen across folders and tasks."""
+    rows = spark.range(0, 90, numPartitions=2).select(F.concat("id", F.lit(".txt")).alias("name"), F.lit(b"x").alias("content"))
+    store.write_files(rows, str(tmp_path / "out"), spread=True, in_folder=40)
+    assert sorted(len(list(p.iterdir())) for p in (tmp_path / "out").iterdir()) == [5, 5, 40, 40]
+    assert store.read_files(spark, str(tmp_path / "out"), content=False).select("name").distinct().count() == 90
+    for k in (1, 41, 80):  # in its folder, in another of its task, and of another task
+        again = rows.withColumn("name", F.when(F.col("name") == f"{k}.txt", "0.txt").otherwise(F.col("name")))
         with pytest.raises(Exception, match="one file name"):
-            store.write_files(rows.withColumn("name", F.when(F.col("name") == f"{k}.txt", "0.txt").otherwise(F.col("name"))), str(tmp_path / "twice"), spread=True)
+            store.write_files(again, str(tmp_path / "twice"), spread=True, in_folder=40)
         assert list((tmp_path / "twice").iterdir()) == []
 
 
@@ -63,3 +65,20 @@ def test_packed_files_are_listed_by_tasks(spark, tmp_path):
     got = df.collect()
     assert {r["doc_id"]: (r["n_bytes"], r["sha1"]) for r in got} == {k: (len(b), hashlib.sha1(b).hexdigest()) for k, b in want.items()}
     assert len(got) == len(want)
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    """Files of folders in a folder, empty ones too, without a list of them in the plan."""
+    store.write_files(spark.createDataFrame([("a", b"x"), ("b", b"")], "name string, content binary"), str(tmp_path), spread=True)
+    listing = tables.list_files(spark, str(tmp_path), recursive=True)
+    assert not listing.inputFiles() and listing.columns == ["path", "name", "length", "modified"]
+    assert {r["name"]: r["length"] for r in listing.collect()} == {"a": 1, "b": 0}
+
+
+def test_product_files_are_listed_once(spark):
+    """Ranges are drawn from a written listing, and a name is cut from its path without a search from each of its places."""
+    df = registry.queries()["q_product_files"](spark, "/root/testdata/sf0.001")
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey % 6 in (0, 2, 3)").count()
+    rows = [("a/b.txt", "b.txt"), ("a/", ""), ("a", "a"), ("/x/y/z", "z"), ("", ""), (None, None)]
+    named = spark.createDataFrame(rows, "path string, want string").withColumn("got", names.file_name(F.col("path")))
+    assert "regexp" not in named._jdf.queryExecution().optimizedPlan().toString() and all(r["got"] == r["want"] for r in named.collect())

@@ -40,7 +40,7 @@ def utm_epsg(tile: Column, scene: Column | None = None, default: int = 32639) ->
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def stem(path: Column) -> Column:

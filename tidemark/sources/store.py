@@ -20,7 +20,7 @@ from tidemark.session import folder
 #: Files of a task that lie on the disk at once in through_files(); a small file takes a whole block of it.
 AT_ONCE = 2_000
 #: Files of a folder where a task writes very many: what one task lists and reads of them later.
-IN_FOLDER = 2_000
+IN_FOLDER = 10_000
 #: Bytes of a batch that read_files() gives; a larger file is a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -83,7 +83,7 @@ class _FileWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.job = options["job"]
-        self.spread = options.get("spread") == "true"
+        self.spread, self.in_folder = options.get("spread") == "true", int(options.get("infolder", IN_FOLDER))
 
     def _pending(self) -> str:
         return f"{located(self.path)[1]}/_pending-{self.job}"
@@ -97,7 +97,7 @@ class _FileWriter(DataSourceWriter):
         folders: list[str] = []
         while first := next(iterator, None):
             folders.append(f"{at}-{len(folders)}")
-            _put(store, folders[-1], chain([first], islice(iterator, IN_FOLDER - 1)), recursive=False)
+            _put(store, folders[-1], chain([first], islice(iterator, self.in_folder - 1)), recursive=False)
         return Pending(folders, [])
 
     def commit(self, messages: list[Pending | None]) -> None:
@@ -133,8 +133,8 @@ class FileSink(DataSource):
         return _FileWriter(self.options)
 
 
-def write_files(rows: DataFrame, path: str, *, spread: bool = False) -> None:
-    """Write each row (name, content) as a file of the folder; spread puts them, up to 2,000 of a task at once, into folders of their own below it, for very many files: the driver moves folders and sees no names.
+def write_files(rows: DataFrame, path: str, *, spread: bool = False, in_folder: int = IN_FOLDER) -> None:
+    """Write each row (name, content) as a file of the folder; spread puts a task's files, in_folder at most in each, into folders of their own below it, for very many files: the driver moves folders and sees no names.
 
     Tasks write into a pending folder of their attempt; files appear under their names only when all tasks are through, and a failed job leaves none. A task that
     runs again has a folder of its own, so its first attempt leaves nothing either. Names are single ones, unlike each other; files of the same names are replaced, but not if spread. Null contents are empty files.
@@ -146,7 +146,7 @@ def write_files(rows: DataFrame, path: str, *, spread: bool = False) -> None:
     def write(below: str) -> None:
         job = uuid.uuid4().hex
         store.create_dir(f"{at}{below}/_pending-{job}")
-        rows.select("name", "content").write.format("tidemark_files").option("spread", str(spread).lower()).option("job", job).mode("append").save(path.rstrip("/") + below)
+        rows.select("name", "content").write.format("tidemark_files").options(spread=str(spread).lower(), infolder=in_folder, job=job).mode("append").save(path.rstrip("/") + below)
 
     if not spread:
         return write("")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.store import read_files
+
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text; empty cells are empty text, never null."""
@@ -19,8 +21,13 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, pattern: str, *, recursive: bool = False) -> DataFrame:
-    """path, name, length and modified of the files that match a glob or lie in a folder; contents are not read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(pattern)
+    """path, name, length and modified of the files that match a glob or lie in a folder; contents are not read.
+
+    Recursive: of a folder, empty ones too, each folder in it listed by a task. Otherwise Spark lists them on the driver and leaves out empty ones.
+    """
+    if recursive:
+        return read_files(spark, pattern, content=False)
+    rows = spark.read.format("binaryFile").load(pattern)
     return rows.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified"))
 
 
